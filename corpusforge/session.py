@@ -21,16 +21,21 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     )
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder for materialised tables; set here where the session names none."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpusforge-checkpoint-"))
+    return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Materialise ``df`` once in the folder all executors share and cut its lineage.
 
     The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests, a laptop)
     a temporary folder is taken.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpusforge-checkpoint-"))
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
