@@ -13,7 +13,9 @@ null ids are kept; an empty table gives an empty result; other columns are ignor
 
 from __future__ import annotations
 
+import functools
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,32 +29,50 @@ from corpusforge.llm.common import slices
 from corpusforge.session import checkpointed
 
 END_ID = 2
+END = np.array([END_ID], "<u4").tobytes()
+#: Letters below U+0100 and the ASCII marks behind them.
+PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-/:-@\[-`{-~]*)")
 
 
 class WordCache:
     """Token ids of texts as little-endian bytes, by white-space separated chunks.
 
     The tokenizer drops white space and never joins over it, so a text's ids are those of its chunks.
-    The cache holds at most ``limit`` chunks and is then begun anew.
+    It also parts letters from the marks behind them and ignores case, so a plain word with marks takes
+    the ids of the word and of the marks. Words and chunks are kept until there are about ``limit`` of
+    them; then that cache is begun anew.
     """
 
-    def __init__(self, path: str, limit: int = 300_000) -> None:
+    def __init__(self, path: str, limit: int = 1_000_000) -> None:
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.encoder, self.limit, self.known = Tokenizer.from_file(path), limit, {}
+        self.encoder, self.limit = Tokenizer.from_file(path), limit
+        self.words: dict[str, bytes] = {"": b""}
+        self.chunks: dict[str, bytes] = {}
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
-        chunks = [(t or "").split(" ") if "\n" not in (t or "") else (t or "").replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > self.limit:
-            self.known = {}
-        new = list({c for cs in chunks for c in cs if c not in self.known})
-        for start in range(0, len(new), 20_000):
-            part = new[start : start + 20_000]
-            for c, e in zip(part, self.encoder.encode_batch(part, add_special_tokens=False), strict=True):
-                self.known[c] = np.array(e.ids, "<u4").tobytes()
-        end = np.array([END_ID], "<u4").tobytes()
-        return [b"".join([self.known[c] for c in cs]) + end for cs in chunks]
+        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        if len(self.words) > self.limit:
+            self.words = {"": b""}
+        if len(self.chunks) > self.limit:
+            self.chunks = {}
+        new = set().union(*split).difference(self.chunks)
+        parted = [(c, m[1].lower(), m[2]) if (m := PLAIN.fullmatch(c)) else (c, c, "") for c in new]
+        unseen = list({w for _, word, marks in parted for w in (word, marks)}.difference(self.words))
+        for start in range(0, len(unseen), 20_000):
+            some = unseen[start : start + 20_000]
+            for w, e in zip(some, self.encoder.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self.words[w] = np.array(e.ids, "<u4").tobytes()
+        words = self.words
+        self.chunks.update((c, words[word] + words[marks]) for c, word, marks in parted)
+        return [b"".join(map(self.chunks.__getitem__, cs)) + END for cs in split]
+
+
+@functools.cache
+def word_cache(path: str) -> WordCache:
+    """The cache of this Python worker, which serves all its tasks."""
+    return WordCache(path)
 
 
 def cut_lengths(n: int, capacity: int, cuts: int = 3, waste: float = 0.02) -> list[int]:
@@ -73,7 +93,7 @@ def pieces(documents: DataFrame, tokenizer: str, capacity: int = 4096, text_col:
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordCache(tokenizer)
+        cache = word_cache(tokenizer)
         for batch in slices(batches, "text", 2 << 20):
             out: list[list] = [[] for _ in range(5 + with_ids)]
             for doc, data in zip(batch.column("doc_id").to_pylist(), cache.ids(batch.column("text").to_pylist()), strict=True):
