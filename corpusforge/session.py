@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SHIPPED: set[str] = set()
+
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "corpusforge") -> SparkSession:
     """A local session with UTC time and adaptive execution, as tests and the bench use it."""
@@ -22,6 +26,16 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     )
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors, once for each application, so that Arrow tasks can import it."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        _SHIPPED.add(context.applicationId)
+        archive = f"{tempfile.mkdtemp(prefix='corpusforge-code-')}/corpusforge"
+        context.addPyFile(shutil.make_archive(archive, "zip", Path(__file__).resolve().parents[1], "corpusforge"))
+    return spark
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder for materialised tables; set here where the session names none."""
     context = spark.sparkContext
