@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusforge.llm.common import crc_fold, fit_logistic, labelled_sample, sigmoid, slices
-from corpusforge.session import checkpointed
+from corpusforge.session import checkpointed, ship
 
 OWN = 20
 
@@ -196,6 +196,7 @@ def classify(documents: DataFrame, labels: DataFrame, sample_rows: int = 1500, f
 
     ``sample_rows`` bounds the labelled rows that the field is fitted on.
     """
+    ship(documents.sparkSession)
     sample = labelled_sample(documents, labels, "quality", sample_rows, crc_fold(F.col("doc_id"), folds) != held)
     sent = documents.sparkSession.sparkContext.broadcast(fit(checkpointed(sample)))
 

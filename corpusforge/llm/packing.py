@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusforge.llm.common import slices
-from corpusforge.session import checkpointed
+from corpusforge.session import checkpointed, ship
 
 END_ID = 2
 END = np.array([END_ID], "<u4").tobytes()
@@ -106,6 +106,7 @@ def pieces(documents: DataFrame, tokenizer: str, capacity: int = 4096, text_col:
             kinds = [pa.int64()] * 5 + [pa.binary()] * with_ids
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
 
+    ship(documents.sparkSession)
     return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusforge.llm.common import fit_logistic, labelled_sample, sigmoid, slices
+from corpusforge.session import ship
 
 SYMBOLS = "#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
@@ -174,6 +175,7 @@ def quality_rules(documents: DataFrame, labels: DataFrame, threshold: float = 0.
 
     ``sample_rows`` bounds the labelled rows that the model is fitted on.
     """
+    ship(documents.sparkSession)
     sent = documents.sparkSession.sparkContext.broadcast(fit(labelled_sample(documents, labels, "quality", sample_rows), bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

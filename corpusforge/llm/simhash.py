@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusforge.llm.common import slices
-from corpusforge.session import checkpointed
+from corpusforge.session import checkpointed, ship
 
 #: Fingerprints link at so many differing bits; the exact way below holds for this number alone.
 BITS = 2
@@ -63,6 +63,7 @@ def fingerprints(documents: DataFrame, text_col: str = "text", id_col: str = "do
             made = [fingerprint(shingle_hashes(t, width, seed)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(made, np.uint64).view(np.int64), pa.int64())], names=["doc_id", "fp"])
 
+    ship(documents.sparkSession)
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, fp long")
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusforge.llm.common import crc_fold, fit_logistic, labelled_sample, sigmoid, slices
-from corpusforge.session import checkpointed
+from corpusforge.session import checkpointed, ship
 
 INSULT, THREAT, TARGET, NEGATION, REPORT, STOP, OTHER = "insult", "threat", "target", "negation", "report", "stop", "other"
 SEEDS = {
@@ -201,6 +201,7 @@ def fit(sample: DataFrame, lexicon_rows: int = 2000) -> Grammar:
 
 def train(documents: DataFrame, labels: DataFrame, sample_rows: int = 2000, folds: int = 5, held: int = 0, lexicon_rows: int = 2000) -> Grammar:
     """Fit on labels outside the held-out fold: at most ``sample_rows`` rows of each class."""
+    ship(documents.sparkSession)
     outside = crc_fold(F.col("doc_id"), folds) != held
     taken = [labelled_sample(documents, labels, "toxic", sample_rows, outside & (F.col("label") == v)) for v in (0, 1)]
     return fit(checkpointed(taken[0].union(taken[1])), lexicon_rows)
