@@ -62,9 +62,9 @@ def compose(names: tuple[str, ...]) -> tuple[dict[tuple[int, str], int], dict[in
 
 
 STEP, SEEN = compose((INSULT, THREAT, TARGET, NEGATION, REPORT))
-#: Kinds of matched clauses, and their weights where nothing is learned.
+#: Kinds of matched clauses; weights of each kind, of how many there are, and the bias, where nothing is learned.
 EVENTS = ("insult", "insult_aimed", "insult_negated", "insult_reported", "threat_aimed", "threat_softened")
-FIXED = np.array([3.0, 4.0, 1.5, 1.5, 2.0, 0.2, -2.5])
+FIXED = np.array([3.0, 4.0, 1.5, 1.5, 2.0, 0.2, 0.5, -2.5])
 
 
 def event_of(seen: frozenset[str]) -> str | None:
@@ -120,7 +120,7 @@ class Grammar:
 
     def vector(self, text: str | None) -> list[float]:
         found = self.clauses(text)
-        return [float(np.log1p(found[e])) for e in EVENTS]
+        return [*(float(found[e] > 0) for e in EVENTS), float(np.log1p(found.total()))]
 
     def score(self, text: str | None) -> float:
         return float(sigmoid(np.array(np.array(self.vector(text)) @ self.weights[:-1] + self.weights[-1])))
@@ -135,11 +135,15 @@ def _terms(word: str) -> list[str]:
     return [word, *[word[:n] + "*" for n in PREFIXES if len(word) > n]]
 
 
-def learned_entries(sample: DataFrame, lexicon_rows: int, contexts: int = 6, share: float = 0.98) -> list[tuple[str, int, int]]:
+def learned_entries(sample: DataFrame, lexicon_rows: int, chance: float = 1e-9, share: float = 0.999) -> list[tuple[str, int, int]]:
     """(term, toxic contexts, other contexts) of terms that mark toxic texts.
 
-    A context is the pair of neighbouring words, so copies of one text count once.
+    A context is the pair of neighbouring words, so copies of one text count once. A term needs so many
+    contexts that they would all fall in toxic texts by accident with less than ``chance``.
     """
+    counts = {r.label: r.n for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    rate = min(0.9, (counts.get(1, 0) + 1) / (sum(counts.values()) + 1))
+    contexts = max(6, int(np.ceil(np.log(chance) / np.log(rate))))
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
@@ -194,8 +198,9 @@ def fit(sample: DataFrame, lexicon_rows: int = 2000) -> Grammar:
         return Grammar(words, frozenset(prefixes), FIXED)
     vectors = np.array([np.frombuffer(r.vector) for r in rows])
     weights = fit_logistic(vectors, labels, l2=1e-3)
-    # A clause never speaks against toxicity, and one insult weighs no less than the fixed weight.
+    # A clause never speaks against toxicity, and an aimed insult is no milder than one at large.
     weights[:-1] = np.maximum(weights[:-1], 0.0)
+    weights[1] = max(weights[0], weights[1])
     return Grammar(words, frozenset(prefixes), weights)
 
 
