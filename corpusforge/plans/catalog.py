@@ -1,3 +1,3 @@
 """Imports every plan module, so that its queries register."""
 
-from corpusforge.plans import retrieval, sensitive  # noqa: F401
+from corpusforge.plans import corpus, retrieval, sensitive  # noqa: F401

@@ -113,15 +113,15 @@ DICE = f"2.0 * len(list_intersect({PAIRS.format('x')}, {PAIRS.format('y')})) / (
 @query(
     "win4_rerank_dice",
     f"""WITH {HYBRID}, o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS old FROM fu),
-    p AS (SELECT o.*, left(b.text, 200) AS x, left(t.text, 200) AS y FROM o LEFT JOIN benchmark b ON b.item_id = qid LEFT JOIN documents t USING (doc_id)),
-    r AS (SELECT *, CASE WHEN old <= 20 THEN round({DICE}, 6) END AS rerank FROM p)
+    p AS (SELECT o.*, left(coalesce(b.text, ''), 200) AS x, left(coalesce(t.text, ''), 200) AS y FROM o LEFT JOIN benchmark b ON b.item_id = qid LEFT JOIN documents t USING (doc_id)),
+    r AS (SELECT *, CASE WHEN old <= 20 THEN coalesce(round({DICE}, 6), 0) END AS rerank FROM p)
     SELECT qid, doc_id, score, old, rerank, row_number() OVER (PARTITION BY qid ORDER BY rerank DESC NULLS LAST, old) AS rank FROM r""",
 )
 def win4(spark, d):
     texts = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.substring("text", 1, 200).alias("x"))
     docs = _docs(spark, d).select("doc_id", F.substring("text", 1, 200).alias("y"))
     pairs = _hybrid(spark, d).join(texts, "qid", "left").join(docs, "doc_id", "left")
-    return R.rerank(pairs, F.round(dice(F.col("x"), F.col("y")), 6)).select("qid", "doc_id", "score", "old", "rerank", "rank")
+    return R.rerank(pairs, F.round(dice(F.coalesce("x", F.lit("")), F.coalesce("y", F.lit(""))), 6)).select("qid", "doc_id", "score", "old", "rerank", "rank")
 
 
 @query(
@@ -135,7 +135,7 @@ def j22(spark, d):
     return asked.select("item_id").distinct().join(hits, "item_id", "left_anti")
 
 
-KW = "(SELECT item_id, list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: length(w) > 6))[1:5] AS kw FROM benchmark)"
+KW = "(SELECT item_id, list_sort(list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: length(w) > 6)))[1:5] AS kw FROM benchmark)"
 
 
 @query(
@@ -165,10 +165,10 @@ def flt6(spark, d):
 
 @query(
     "snk7_search_export",
-    f"""WITH {BM25}, t AS ({TOP.format('bm', 5)}) SELECT qid, count(*) AS n, string_agg(doc_id || ':' || printf('%.4f', score), ',' ORDER BY rank) AS hits FROM t GROUP BY qid""",
+    f"""WITH {BM25}, t AS ({TOP.format('bm', 5)}) SELECT qid, count(*) AS n, string_agg(doc_id || ':' || floor(score * 10000 + 0.5)::BIGINT, ',' ORDER BY rank) AS hits FROM t GROUP BY qid""",
 )
 def snk7(spark, d):
-    hits = R.top(_bm25(spark, d), 5).withColumn("h", F.struct("rank", F.concat_ws(":", "doc_id", F.format_string("%.4f", "score")).alias("t")))
+    hits = R.top(_bm25(spark, d), 5).withColumn("h", F.struct("rank", F.concat_ws(":", "doc_id", F.floor(F.col("score") * 10000 + 0.5)).alias("t")))
     return hits.groupBy("qid").agg(F.count("*").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list("h")), lambda h: h["t"]), ",").alias("hits"))
 
 
