@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Navigation terms that results must agree on.
@@ -68,3 +68,150 @@ def language_score(r: Column) -> Column:
 def excess_penalty(ratio: Column, most: float, weight: float = 25.0) -> Column:
     """0 up to ``most``, then linear to ``weight`` at 1."""
     return F.when(ratio <= most, 0.0).otherwise((F.least(ratio, F.lit(1.0)) - most) / (1.0 - most) * weight)
+
+
+# Patterns of special pages that results must agree on.
+SPECIAL = {
+    "script_placeholder": (
+        "请(?:开启|启用|打开)[Jj]ava[Ss]cript", "您的浏览器(?:不支持|需要|必须)", "请(?:使用|升级).*浏览器", "JavaScript\\s*(?:未启用|被禁用|is\\s+disabled)",
+        "(?i)JavaScript\\s+is\\s+(?:required|not\\s+available|disabled)", "(?i)Please\\s+enable\\s+JavaScript", "(?i)This\\s+(?:page|site)\\s+requires?\\s+JavaScript",
+        "(?i)Your\\s+browser\\s+(?:does\\s+not\\s+support|is\\s+not\\s+supported)",
+    ),
+    "login": (
+        "登录后(?:查看|可见|阅读|浏览)", "请先登录", "登录(?:才能|即可|后方可)", "您需要登录", "(?i)(?:Sign|Log)\\s+in\\s+to\\s+(?:view|read|continue|access)",
+        "(?i)Please\\s+(?:sign|log)\\s+in", "(?i)You\\s+(?:need|must)\\s+(?:to\\s+)?(?:sign|log)\\s+in", "(?i)(?:Sign|Log)\\s+in\\s+required",
+    ),
+    "captcha": (
+        "验证码", "安全验证", "人机验证", "(?i)CAPTCHA", "(?i)verify\\s+(?:you\\s+are|that\\s+you\\s+are)\\s+(?:a\\s+)?human", "(?i)security\\s+(?:verification|check)",
+        "(?i)prove\\s+you\\s+(?:are|'re)\\s+(?:human|not\\s+a\\s+robot)", "请输入(?:验证码|图片中的|图中的)", "滑动验证", "点击(?:验证|确认)",
+    ),
+    "not_found": (
+        "(?:页面|内容|文章)(?:不存在|已删除|已下架|已失效|未找到)", "(?i)Page\\s+(?:not\\s+found|does\\s+not\\s+exist)", "(?i)404\\s*(?:Not\\s+Found|Page)?",
+        "(?i)Content\\s+(?:not\\s+found|removed|deleted|unavailable)", "链接已失效",
+    ),
+}
+# Issue codes in report order, and those that make a text incomplete at once.
+ISSUES = (
+    "title_missing", "text_too_short", "too_few_paragraphs", "navigation_ratio_high", "duplication_ratio_high", "natural_language_ratio_low",
+    "script_placeholder", "login_required", "captcha_detected", "menu_or_footer_only", "possibly_truncated",
+)
+FATAL = ("script_placeholder", "login_required", "captcha_detected")
+# Markdown and HTML marks taken out of a text, in this order.
+NOISE = (
+    ("!\\[[^\\]]*\\]\\([^)]*\\)", ""), ("```[^`]*```", " "), ("`[^`]+`", " "), ("\\[([^\\]]*)\\]\\([^)]*\\)", "$1"), ("\\*\\*(.+?)\\*\\*", "$1"), ("__(.+?)__", "$1"),
+    ("\\*(.+?)\\*", "$1"), ("_(.+?)_", "$1"), ("~~(.+?)~~", "$1"), ("(?m)^#{1,6}\\s+", ""), ("<[^>]+>", " "), ("&[a-zA-Z]+;|&#[0-9]+;", " "), ("https?://\\S+", " "),
+    ("[ \\t]+", " "), ("\\n{3,}", "\n\n"), ("^\\s+|\\s+$", ""),
+)
+SENTENCE_END = "[。！？.!?…\"”'》)】]\\s*$"
+
+
+def plain_text(text: Column) -> Column:
+    """Readable text without Markdown and HTML marks; null gives an empty text."""
+    out = F.coalesce(text, F.lit(""))
+    for pattern, put in NOISE:
+        out = F.regexp_replace(out, pattern, put)
+    return out
+
+
+def special_ratio(text: Column, kind: str) -> Column:
+    """Characters matched by the patterns of one kind of special page, as a share of the text, 1 at most."""
+    found = [F.aggregate(F.regexp_extract_all(text, F.lit(p), F.lit(0)), F.lit(0), lambda n, m: n + F.length(m)) for p in SPECIAL[kind]]
+    return F.least(sum(found[1:], found[0]) / F.greatest(F.length(text), F.lit(1)), F.lit(1.0))
+
+
+def paragraphs(text: Column) -> Column:
+    return F.split(text, "\\n\\s*\\n")
+
+
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, "^\\s+|\\s+$", "")
+
+
+def valid_paragraph(p: Column) -> Column:
+    """20 characters or more, not a bare address, and navigation lines at most three fifths of several lines."""
+    bare = stripped(p)
+    lines = F.split(bare, "\\n")
+    menu = (F.size(lines) > 1) & (F.size(F.filter(lines, navigation_line)) / F.size(lines) > 0.6)
+    return (F.length(bare) >= 20) & ~bare.rlike("^https?://\\S+$") & ~menu
+
+
+def n_paragraphs(text: Column) -> Column:
+    return F.when(F.length(text) == 0, 0).otherwise(F.size(paragraphs(text)))
+
+
+def n_valid_paragraphs(text: Column) -> Column:
+    return F.size(F.filter(paragraphs(text), valid_paragraph))
+
+
+def n_headings(text: Column) -> Column:
+    return F.regexp_count(text, F.lit("(?m)^#{1,6}\\s+\\S"))
+
+
+def n_code_blocks(text: Column) -> Column:
+    return F.floor(F.regexp_count(text, F.lit("```")) / 2).cast("int")
+
+
+def truncated(text: Column) -> Column:
+    """The last paragraph is under a quarter of the others' mean length, or over 20 characters without a sentence's end."""
+    parts = F.filter(F.transform(paragraphs(text), stripped), lambda p: p != "")
+    last = F.element_at(parts, -1)
+    before = F.aggregate(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), F.lit(0), lambda n, p: n + F.length(p)) / (F.size(parts) - 1)
+    open_end = (F.length(last) > 20) & ~last.rlike(SENTENCE_END)
+    return F.when(F.size(parts) < 2, False).otherwise((F.length(last) / before < 0.25) | open_end)
+
+
+def paragraph_score(n: Column) -> Column:
+    """0 to 25 by the number of valid paragraphs."""
+    return (
+        F.when(n <= 0, 0.0).when(n == 1, 5.0).when(n == 2, 10.0).when(n <= 5, 15.0 + 5.0 * ((n - 3) / 3))
+        .otherwise(F.least(F.lit(25.0), 20.0 + 5.0 * F.least((n - 6) / 10, F.lit(1.0))))
+    )
+
+
+def structure_score(titled: Column, headings: Column, blocks: Column) -> Column:
+    """0 to 20 for a title, headings and code blocks."""
+    parts = F.when(titled, 10.0).otherwise(0.0) + F.when(headings >= 1, 5.0).otherwise(0.0) + F.least(F.lit(5.0), blocks * 2.5)
+    return F.least(parts, F.lit(20.0))
+
+
+def special_penalty(ratio: Column, length: Column) -> Column:
+    """40 for a short text with over a tenth of special patterns, else linear above three tenths."""
+    return F.when((length < 500) & (ratio > 0.1), 40.0).when(ratio > 0.3, (ratio - 0.3) / 0.7 * 40.0).otherwise(0.0)
+
+
+def special_page(ratio: Column, length: Column) -> Column:
+    return (ratio > 0.3) | ((length < 500) & (ratio > 0.1))
+
+
+def report(rows: DataFrame, title: Column, content: Column, html: Column | None = None) -> DataFrame:
+    """Adds the quality report of each row: measures, score (0 to 100), issues and whether the text is complete.
+
+    The longer of the plain content and the visible HTML is judged. Nulls count as empty texts. All
+    measures are row expressions, so the report needs no shuffle.
+    """
+    from corpusforge.functions.text import visible_text
+
+    plain, seen = plain_text(content), visible_text(F.coalesce(html, F.lit(""))) if html is not None else F.lit("")
+    out = rows.withColumn("titled", F.length(stripped(F.coalesce(title, F.lit("")))) > 0)
+    out = out.withColumn("_content", F.coalesce(content, F.lit(""))).withColumn("_plain", plain).withColumn("_seen", seen)
+    out = out.withColumn("_text", F.when(F.length("_plain") >= F.length("_seen"), F.col("_plain")).otherwise(F.col("_seen")))
+    text = F.col("_text")
+    out = out.withColumns({
+        "analysis_length": F.length(text), "n_paragraphs": n_paragraphs(text), "n_valid": n_valid_paragraphs(text), "n_headings": n_headings(F.col("_content")),
+        "n_code": n_code_blocks(F.col("_content")), "nav_ratio": navigation_ratio(text), "dup_ratio": duplication_ratio(text), "lang_ratio": language_ratio(text),
+        "script_ratio": special_ratio(text, "script_placeholder"), "login_ratio": special_ratio(text, "login"), "captcha_ratio": special_ratio(text, "captcha"),
+    }).withColumn("cut", (F.col("n_paragraphs") >= 2) & truncated(text))
+    n, c = F.col("analysis_length"), F.col
+    plus = length_score(n.cast("double")) + paragraph_score(c("n_valid")) + language_score(c("lang_ratio")) + structure_score(c("titled"), c("n_headings"), c("n_code"))
+    minus = excess_penalty(c("nav_ratio"), 0.4) + excess_penalty(c("dup_ratio"), 0.35)
+    for kind in ("script_ratio", "login_ratio", "captcha_ratio"):
+        minus = minus + special_penalty(c(kind), n)
+    flags = (
+        ~c("titled"), n < 200, c("n_valid") < 1, c("nav_ratio") > 0.4, c("dup_ratio") > 0.35, c("lang_ratio") < 0.25, special_page(c("script_ratio"), n),
+        special_page(c("login_ratio"), n), special_page(c("captcha_ratio"), n), (c("n_valid") <= 1) & (c("nav_ratio") > 0.5), c("cut"),
+    )
+    empty = (n == 0) & ~c("titled")
+    issues = F.when(empty, F.array(F.lit("text_too_short"), F.lit("title_missing"))).otherwise(F.array_compact(F.array(*[F.when(f, code) for f, code in zip(flags, ISSUES)])))
+    out = out.withColumn("issues", issues).withColumn("score", F.when(empty, 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(100), F.bround(plus - minus).cast("int")))))
+    complete = ~F.arrays_overlap("issues", F.array(*[F.lit(f) for f in FATAL])) & (c("score") >= 35) & (n >= 200) & (c("n_valid") >= 1)
+    return out.withColumn("complete", complete).drop("_content", "_plain", "_seen", "_text")
