@@ -1,3 +1,3 @@
 """Imports every plan module, so that its queries register."""
 
-from corpusforge.plans import corpus, quality, retrieval, sensitive, streams  # noqa: F401
+from corpusforge.plans import corpus, quality, retrieval, sensitive, streams, web  # noqa: F401

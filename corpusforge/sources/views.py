@@ -28,13 +28,86 @@ SELECT doc_id, concat('doc-', doc_id) AS stem,
 FROM {documents}
 """
 
-REGISTRY = """
+def _issn(number: str) -> str:
+    """An identifier of seven digits and a check digit modulo 11, as SQL; the number is under ten million."""
+    seven = f"lpad(CAST({number} AS STRING), 7, '0')"
+    total = " + ".join(f"{9 - i} * CAST(substr({seven}, {i}, 1) AS INT)" for i in range(1, 8))
+    check = f"(11 - ({total}) % 11) % 11"
+    return f"concat(substr({seven}, 1, 4), '-', substr({seven}, 5, 3), CASE WHEN {check} = 10 THEN 'X' ELSE CAST({check} AS STRING) END)"
+
+
+def _registry_issn(key: str) -> str:
+    wrong = f"concat(substr(lpad(CAST({key} AS STRING), 7, '0'), 1, 4), '-', substr(lpad(CAST({key} AS STRING), 7, '0'), 5, 3), 'Y')"
+    return f"CASE WHEN {key} % 7 = 0 THEN '' WHEN {key} % 29 = 0 THEN {wrong} ELSE {_issn(key)} END"
+
+
+def _registry_eissn(key: str) -> str:
+    return f"CASE WHEN {key} % 4 = 0 THEN {_issn(key + ' + 5000000')} ELSE '' END"
+
+
+_JOURNAL = "concat(p_name, ' ', p_brand, ' ', p_partkey % 40)"
+
+REGISTRY = f"""
 SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'CSSCI' WHEN 1 THEN 'PKU_CORE' WHEN 2 THEN 'AMI' WHEN 3 THEN 'CSCD' ELSE 'CUSTOM' END AS scheme,
   CASE p_size % 3 WHEN 0 THEN '2021-2022' WHEN 1 THEN '2023' ELSE '2025-2026' END AS edition,
-  concat(p_name, ' ', p_brand, ' ', p_partkey % 40) AS journal_name,
-  CASE WHEN p_partkey % 7 = 0 THEN '' ELSE concat(substr(lpad(CAST(p_partkey % 50 AS STRING), 7, '0'), 1, 4), '-', substr(lpad(CAST(p_partkey % 50 AS STRING), 7, '0'), 5, 3), CAST(p_partkey % 10 AS STRING)) END AS issn,
-  lower(p_type) AS level, p_brand AS category
-FROM {part}
+  {_JOURNAL} AS journal_name, {_registry_issn('p_partkey')} AS issn, {_registry_eissn('p_partkey')} AS eissn,
+  CASE WHEN p_partkey % 2 = 0 THEN {_registry_issn('p_partkey')} ELSE '' END AS issn_l, lower(p_type) AS level, p_brand AS category
+FROM {{part}}
+"""
+
+#: The first two lines of every order as bibliographic works.
+WORKS = f"""
+SELECT concat('w', l_orderkey, '-', l_linenumber) AS work_id, l_orderkey AS n, c_custkey AS author_key, CAST(l_orderkey % 5 + 1 AS INT) AS n_authors,
+  concat(CASE WHEN l_orderkey % 5 = 0 THEN 'https://doi.org/' WHEN l_orderkey % 5 = 1 THEN 'DOI: ' ELSE '' END, '10.', 1000 + l_suppkey % 9000, '/O', l_orderkey, '.', l_linenumber) AS doi,
+  concat(p_name, ' in ', lower(c_mktsegment)) AS title,
+  CASE l_orderkey % 3 WHEN 0 THEN {_JOURNAL} WHEN 1 THEN upper({_JOURNAL}) ELSE concat({_JOURNAL}, 'x') END AS journal_name,
+  CASE WHEN l_orderkey % 4 = 1 THEN '' ELSE {_registry_issn('p_partkey')} END AS issn,
+  CASE WHEN l_orderkey % 8 = 1 THEN {_registry_eissn('p_partkey')} ELSE '' END AS eissn,
+  CASE WHEN l_orderkey % 8 = 5 AND p_partkey % 2 = 0 THEN {_registry_issn('p_partkey')} ELSE '' END AS issn_l,
+  CAST(1990 + (l_orderkey + l_partkey) % 35 AS INT) AS year, CAST(l_linenumber AS STRING) AS volume,
+  CASE WHEN l_orderkey % 6 = 0 THEN '' ELSE CAST(l_orderkey % 12 + 1 AS STRING) END AS issue, concat(l_partkey % 300 + 1, '-', l_partkey % 300 + 9) AS page,
+  p_brand AS publisher, CASE WHEN l_orderkey % 50 = 0 THEN 'thesis' ELSE 'article-journal' END AS pub_type,
+  CAST(l_orderkey % 120 AS INT) AS cited_by_count, l_orderkey % 9 = 0 AS needs_review, l_orderkey % 37 = 0 AS locked
+FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey JOIN {{customer}} ON o_custkey = c_custkey JOIN {{part}} ON l_partkey = p_partkey
+WHERE l_linenumber <= 2
+"""
+
+# Two digits for the place on the page, then the link; @ becomes a number of the page.
+_LINK_SHAPES = (
+    "https://github.com/org@/repo@", "https://github.com/org@/repo@/blob/main/docs/readme.md", "https://github.com/org@/repo@/tree/dev/src",
+    "https://raw.githubusercontent.com/org@/repo@/main/a.py", "https://site@.example/login?next=1", "mailto:team@.example", "https://site@.example/static/app.css",
+    "https://arxiv.org/abs/2401.0@", "https://site@.example/docs/guide#frag", "https://site@.example/docs/guide", "https://www.youtube.com/watch?v=@",
+    "https://cdn@.example/media/clip.mp4?Token=abc&id=@&Token=zz&id=7&blank", "https://site@.example/share/logo.png", "https://blog@.example/post/@?uid=1&page=2",
+)
+LINKS = f"""
+SELECT page_id, CAST(substr(shape, 1, 2) AS INT) AS pos, replace(substr(shape, 3), '@', CAST(page_id % 50 AS STRING)) AS url
+FROM (SELECT page_id, explode(array({", ".join(f"'{i:02d}{u}'" for i, u in enumerate(_LINK_SHAPES))})) AS shape FROM {{pages}}) AS shapes
+"""
+
+HTML_MEDIA = """
+SELECT page_id, url, replace(CASE page_id % 6
+  WHEN 0 THEN '<p><img srcset="/a-480.jpg 480w, /b-@.jpg 1024w" src="/p.gif"></p>'
+  WHEN 1 THEN '<img data-src="/img/@.png" src="data:image/gif;base64,R0"><img src="//cdn.example/x.webp">'
+  WHEN 2 THEN '<img src="/pixel.gif" width="1" height="1"><img src="/ok.png" width="2px"><img src="pic/@.png" width="640">'
+  WHEN 3 THEN '<video src="https://cdn.example/@.mp4"></video><source src="/alt/@.webm"><a href="https://youtu.be/@">v</a>'
+  WHEN 4 THEN '<iframe src="https://player.vimeo.com/video/@"></iframe><iframe src="https://ads.example/f"></iframe>'
+  ELSE '<div style="background-image:url(/bg/@.jpg)"></div><img src="/loading.gif"><img data-original="https://i.example/@.jpg" src="/blank.gif">' END, '@', CAST(page_id AS STRING)) AS media
+FROM {pages}
+"""
+
+FILES = """
+SELECT doc_id, concat(CASE doc_id % 3 WHEN 0 THEN 'inbox/' WHEN 1 THEN 'chat/' ELSE 'scan/.git/' END, name) AS path, name, ext, size_bytes, sample,
+  CASE doc_id % 3 WHEN 0 THEN 'inbox' WHEN 1 THEN 'chat' ELSE 'scan' END AS source_label, doc_id % 4 = 0 AS processed, magic
+FROM (
+  SELECT *, concat(CASE WHEN doc_id % 40 = 0 THEN '.env' WHEN doc_id % 40 = 1 THEN concat('id_rsa', doc_id) WHEN doc_id % 12 = 0 THEN 'report' ELSE concat('file-', doc_id) END, ext) AS name
+  FROM (
+    SELECT doc_id, CASE doc_id % 14 WHEN 0 THEN '.pdf' WHEN 1 THEN '.docx' WHEN 2 THEN '.pptx' WHEN 3 THEN '.md' WHEN 4 THEN '.txt' WHEN 5 THEN '.doc' WHEN 6 THEN '.csv' WHEN 7 THEN '.html' WHEN 8 THEN '.py' WHEN 9 THEN '.png' WHEN 10 THEN '.zip' WHEN 11 THEN '.json' WHEN 12 THEN '.ppt' ELSE '.xlsx' END AS ext,
+      n_chars * (1 + doc_id % 9) AS size_bytes,
+      concat(CASE doc_id % 7 WHEN 0 THEN 'university research ' WHEN 1 THEN '作业 ' WHEN 2 THEN '格式 ' WHEN 3 THEN '项目 ' WHEN 4 THEN 'pattern ' WHEN 5 THEN 'api_key = abcdefghij0123456789xy ' ELSE '' END, substr(text, 1, 200)) AS sample,
+      CASE doc_id % 8 WHEN 0 THEN 'FFD8FFE000104A464946000101' WHEN 1 THEN '89504E470D0A1A0A0000000D' WHEN 2 THEN '474946383961' WHEN 3 THEN '52494646AABBCCDD57454250' WHEN 4 THEN '0000001C6674797061766966' WHEN 5 THEN '20203C737667' WHEN 6 THEN '3C3F786D6C20' ELSE '25504446' END AS magic
+    FROM {documents}
+  ) AS a
+) AS b
 """
 
 CACHE = """
@@ -81,4 +154,4 @@ def duck(sql: str) -> str:
     """The same view for DuckDB."""
     for t in TABLES:
         sql = sql.replace("{" + t + "}", t)
-    return sql.replace("AS STRING", "AS VARCHAR")
+    return sql.replace("AS STRING", "AS VARCHAR").replace("explode(array(", "unnest(list_value(")
