@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusforge.functions.text import dice
 from corpusforge.operators.corpus import issn_valid
+from corpusforge.session import checkpointed
 
 CJK = "[\\x{4E00}-\\x{9FFF}\\x{3400}-\\x{4DBF}]"
 #: Characters left out before names are compared.
@@ -52,8 +53,8 @@ def similar_names(names: DataFrame, registry: DataFrame) -> DataFrame:
     Candidates come from an equality join: registry names give their pieces of the lengths asked for (at most 30),
     so no pair is formed that shares no piece. Scores under 0.8 are left out; ties go to the smallest key.
     """
-    known = registry.select("p_partkey", name_key(F.col("journal_name")).alias("known")).groupBy("known").agg(F.min("p_partkey").alias("p_partkey"))
-    left, found = names.select("name").where("name <> ''").distinct(), None
+    known = checkpointed(registry.select("p_partkey", name_key(F.col("journal_name")).alias("known")).groupBy("known").agg(F.min("p_partkey").alias("p_partkey")))
+    left, found = checkpointed(names.select("name").where("name <> ''").distinct()), None
     for width in BLOCKS:
         asked = left.withColumn("piece", F.substring("name", 1, width))
         lengths = asked.select(F.length("piece").alias("w")).distinct()  # at most `width` rows
@@ -85,6 +86,7 @@ def match_works(works: DataFrame, registry: DataFrame) -> DataFrame:
         rows = rows.select("work_id", "p_partkey", F.lit(place).alias("place"), F.lit(method).alias("method"), F.lit(confidence).alias("confidence"))
         tried = rows if tried is None else tried.union(rows)
     exact = tried.groupBy("work_id").agg(F.min_by(F.struct("p_partkey", "method", "confidence"), "place").alias("m")).select("work_id", "m.*")
+    exact = checkpointed(exact)  # used three times
     rest = works.join(exact, "work_id", "left_anti").select("work_id", name_key(F.col("journal_name")).alias("name"))
     alike = rest.join(similar_names(rest, registry), "name").select("work_id", "p_partkey", F.lit("similar").alias("method"), F.col("score").alias("confidence"))
     return exact.union(alike).withColumn("review", (F.col("method") == "name") | ((F.col("method") == "similar") & (F.col("confidence") < 0.92)))

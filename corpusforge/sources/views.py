@@ -28,21 +28,22 @@ SELECT doc_id, concat('doc-', doc_id) AS stem,
 FROM {documents}
 """
 
-def _issn(number: str) -> str:
-    """An identifier of seven digits and a check digit modulo 11, as SQL; the number is under ten million."""
-    seven = f"lpad(CAST({number} AS STRING), 7, '0')"
+def _check(seven: str) -> str:
+    """The check digit modulo 11 of seven digits, as SQL."""
     total = " + ".join(f"{9 - i} * CAST(substr({seven}, {i}, 1) AS INT)" for i in range(1, 8))
-    check = f"(11 - ({total}) % 11) % 11"
-    return f"concat(substr({seven}, 1, 4), '-', substr({seven}, 5, 3), CASE WHEN {check} = 10 THEN 'X' ELSE CAST({check} AS STRING) END)"
+    return f"(11 - ({total}) % 11) % 11"
 
 
-def _registry_issn(key: str) -> str:
-    wrong = f"concat(substr(lpad(CAST({key} AS STRING), 7, '0'), 1, 4), '-', substr(lpad(CAST({key} AS STRING), 7, '0'), 5, 3), 'Y')"
-    return f"CASE WHEN {key} % 7 = 0 THEN '' WHEN {key} % 29 = 0 THEN {wrong} ELSE {_issn(key)} END"
+def _issn(seven: str, check: str) -> str:
+    return f"concat(substr({seven}, 1, 4), '-', substr({seven}, 5, 3), CASE WHEN {check} = 10 THEN 'X' ELSE CAST({check} AS STRING) END)"
 
 
-def _registry_eissn(key: str) -> str:
-    return f"CASE WHEN {key} % 4 = 0 THEN {_issn(key + ' + 5000000')} ELSE '' END"
+#: Parts with two numbers of seven digits, their check digits, and identifiers made of them; some are missing or wrong.
+_PARTS = f"""(
+  SELECT *, CASE WHEN p_partkey % 7 = 0 THEN '' WHEN p_partkey % 29 = 0 THEN concat(substr(seven, 1, 4), '-', substr(seven, 5, 3), 'Y') ELSE {_issn('seven', 'digit')} END AS print_issn,
+    CASE WHEN p_partkey % 4 = 0 THEN {_issn('other', 'other_digit')} ELSE '' END AS web_issn
+  FROM (SELECT *, {_check('seven')} AS digit, {_check('other')} AS other_digit
+    FROM (SELECT *, lpad(CAST(p_partkey AS STRING), 7, '0') AS seven, lpad(CAST(p_partkey + 5000000 AS STRING), 7, '0') AS other FROM {{part}}) AS numbered) AS checked) AS parts"""
 
 
 _JOURNAL = "concat(p_name, ' ', p_brand, ' ', p_partkey % 40)"
@@ -50,9 +51,9 @@ _JOURNAL = "concat(p_name, ' ', p_brand, ' ', p_partkey % 40)"
 REGISTRY = f"""
 SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'CSSCI' WHEN 1 THEN 'PKU_CORE' WHEN 2 THEN 'AMI' WHEN 3 THEN 'CSCD' ELSE 'CUSTOM' END AS scheme,
   CASE p_size % 3 WHEN 0 THEN '2021-2022' WHEN 1 THEN '2023' ELSE '2025-2026' END AS edition,
-  {_JOURNAL} AS journal_name, {_registry_issn('p_partkey')} AS issn, {_registry_eissn('p_partkey')} AS eissn,
-  CASE WHEN p_partkey % 2 = 0 THEN {_registry_issn('p_partkey')} ELSE '' END AS issn_l, lower(p_type) AS level, p_brand AS category
-FROM {{part}}
+  {_JOURNAL} AS journal_name, print_issn AS issn, web_issn AS eissn,
+  CASE WHEN p_partkey % 2 = 0 THEN print_issn ELSE '' END AS issn_l, lower(p_type) AS level, p_brand AS category
+FROM {_PARTS}
 """
 
 #: The first two lines of every order as bibliographic works.
@@ -61,14 +62,14 @@ SELECT concat('w', l_orderkey, '-', l_linenumber) AS work_id, l_orderkey AS n, c
   concat(CASE WHEN l_orderkey % 5 = 0 THEN 'https://doi.org/' WHEN l_orderkey % 5 = 1 THEN 'DOI: ' ELSE '' END, '10.', 1000 + l_suppkey % 9000, '/O', l_orderkey, '.', l_linenumber) AS doi,
   concat(p_name, ' in ', lower(c_mktsegment)) AS title,
   CASE l_orderkey % 3 WHEN 0 THEN {_JOURNAL} WHEN 1 THEN upper({_JOURNAL}) ELSE concat({_JOURNAL}, 'x') END AS journal_name,
-  CASE WHEN l_orderkey % 4 = 1 THEN '' ELSE {_registry_issn('p_partkey')} END AS issn,
-  CASE WHEN l_orderkey % 8 = 1 THEN {_registry_eissn('p_partkey')} ELSE '' END AS eissn,
-  CASE WHEN l_orderkey % 8 = 5 AND p_partkey % 2 = 0 THEN {_registry_issn('p_partkey')} ELSE '' END AS issn_l,
+  CASE WHEN l_orderkey % 4 = 1 THEN '' ELSE print_issn END AS issn,
+  CASE WHEN l_orderkey % 8 = 1 THEN web_issn ELSE '' END AS eissn,
+  CASE WHEN l_orderkey % 8 = 5 AND p_partkey % 2 = 0 THEN print_issn ELSE '' END AS issn_l,
   CAST(1990 + (l_orderkey + l_partkey) % 35 AS INT) AS year, CAST(l_linenumber AS STRING) AS volume,
   CASE WHEN l_orderkey % 6 = 0 THEN '' ELSE CAST(l_orderkey % 12 + 1 AS STRING) END AS issue, concat(l_partkey % 300 + 1, '-', l_partkey % 300 + 9) AS page,
   p_brand AS publisher, CASE WHEN l_orderkey % 50 = 0 THEN 'thesis' ELSE 'article-journal' END AS pub_type,
   CAST(l_orderkey % 120 AS INT) AS cited_by_count, l_orderkey % 9 = 0 AS needs_review, l_orderkey % 37 = 0 AS locked
-FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey JOIN {{customer}} ON o_custkey = c_custkey JOIN {{part}} ON l_partkey = p_partkey
+FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey JOIN {{customer}} ON o_custkey = c_custkey JOIN {_PARTS} ON l_partkey = p_partkey
 WHERE l_linenumber <= 2
 """
 
