@@ -34,15 +34,21 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, limit:
     """(text, label) of at most ``limit`` labelled documents, chosen by a hash of the id.
 
     ``limit`` bounds what classifiers are fitted on, and so what is broadcast here. Labels without an
-    id or a value don't count; an id labelled twice takes the larger label; a document that is
-    repeated under one id counts once for each row.
+    id or a value don't count; an id labelled twice takes the larger label; of several rows with one id the
+    smallest text counts, so repeated ids never raise the number of rows.
     """
     chosen = labels.select(F.col("doc_id"), F.col(label).cast("int").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isNotNull())
     if keep is not None:
         chosen = chosen.where(keep)
     chosen = chosen.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     rows = documents.select("doc_id", "text")
-    return rows.join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label")
+    found = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label")
+    return found.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
+
+
+def parts_for(n: int, least: int = 64, most: int = 16384, rows: int = 1_000_000) -> int:
+    """Into how many parts n rows are dealt, so that one holds about ``rows`` of them."""
+    return max(least, min(most, n // rows))
 
 
 def fit_logistic(rows: np.ndarray, labels: np.ndarray, l2: float = 1e-3, steps: int = 60) -> np.ndarray:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusforge.llm.common import slices
+from corpusforge.llm.common import parts_for, slices
 from corpusforge.session import checkpointed, ship
 
 END_ID = 2
@@ -124,11 +124,15 @@ def best_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
-def pack(documents: DataFrame, tokenizer: str, capacity: int = 4096, parts: int = 64, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Every piece with its sequence_id and its offset there."""
-    made = pieces(documents, tokenizer, capacity, text_col, id_col)
+def pack(documents: DataFrame, tokenizer: str, capacity: int = 4096, parts: int | None = None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """Every piece with its sequence_id and its offset there.
+
+    A class's pieces are numbered in ``parts`` parts; by default that number grows with the pieces.
+    """
+    made = checkpointed(pieces(documents, tokenizer, capacity, text_col, id_col))
+    parts = parts_for(made.count()) if parts is None else parts
     order = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-    made = checkpointed(made.withColumn("k", F.floor(F.lit(capacity) / F.col("length"))).withColumn("part", F.pmod(F.xxhash64("doc_id", "start"), F.lit(parts))))
+    made = made.withColumn("k", F.floor(F.lit(capacity) / F.col("length"))).withColumn("part", F.pmod(F.xxhash64("doc_id", "start"), F.lit(parts)))
     # Numbers within a class: within each of its parts, after the pieces of the parts before.
     counts = made.groupBy("k", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("k").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

@@ -17,6 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusforge.llm.common import parts_for
 from corpusforge.session import checkpointed
 
 LAW = "bytes"
@@ -34,12 +35,13 @@ def place(loads: np.ndarray, shards: int) -> np.ndarray:
     return out
 
 
-def shard_documents(documents: DataFrame, shards: int = 16, bundles: int = 4096, pieces: int = 64, slices: int = 64, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def shard_documents(documents: DataFrame, shards: int = 16, bundles: int = 4096, pieces: int = 64, slices: int | None = None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc_id, size, tokens, text_crc32, shard and slot of every row.
 
     A group with over 1/(shards * pieces) of all bytes or rows is cut. At most 2 * shards * pieces
     groups can be that large, and each is cut into pieces of about that size, so units number at most
-    bundles + 6 * shards * pieces, whatever the input.
+    bundles + 6 * shards * pieces, whatever the input. A shard's rows are numbered in ``slices`` slices; by
+    default that number grows with the rows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = checkpointed(
@@ -54,6 +56,7 @@ def shard_documents(documents: DataFrame, shards: int = 16, bundles: int = 4096,
     total = rows.agg(F.sum("size").alias("size"), F.count("*").alias("n")).first()
     if not total.n:
         return rows.select("doc_id", "size", "tokens", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
+    slices = parts_for(total.n // shards) if slices is None else slices
     part_size, part_rows = max(1, total.size // (shards * pieces)), max(1, total.n // (shards * pieces))
     hot = (
         rows.groupBy("group").agg(F.sum("size").alias("s"), F.count("*").alias("n"))
