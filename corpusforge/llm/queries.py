@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusforge.llm import chat, crf_quality, decontam, packing, quality_rules, secrets, sharding, simhash, toxicity, url_filters
+from corpusforge.llm.oracles import oracle_sql  # noqa: F401
 from corpusforge.session import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -69,26 +70,3 @@ QUERIES = (
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {q.__name__: q for q in QUERIES}
-
-
-_ESCAPE = "regexp_replace({}, '([<\\[])(\\\\*)(\\||/?s>|/?INST\\])', '\\1\\\\\\2\\3', 'g')"
-
-OP6_SQL = """
-WITH rows AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
-  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
-)
-SELECT conv_id, count(*) AS n_turns,
-       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
-       coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0)::BIGINT AS loss_chars,
-       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-       sum(8 + length(%ROLE%) + 1 + length(%TEXT%) + 8)::BIGINT AS formatted_chars,
-       0::BIGINT AS n_attachments, 0::BIGINT AS expanded_tokens
-FROM rows GROUP BY conv_id
-"""
-
-
-def oracle_sql() -> dict[str, str]:
-    role = _ESCAPE.format("replace(replace(role, '%', '%25'), chr(10), '%0A')")
-    return {"op6_chat_formatting": OP6_SQL.replace("%ROLE%", role).replace("%TEXT%", _ESCAPE.format("text"))}
