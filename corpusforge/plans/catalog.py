@@ -1,3 +1,3 @@
 """Imports every plan module, so that its queries register."""
 
-from corpusforge.plans import corpus, files, linkage, quality, retrieval, sensitive, streams, web  # noqa: F401
+from corpusforge.plans import corpus, files, linkage, quality, reading, retrieval, sensitive, streams, web  # noqa: F401
