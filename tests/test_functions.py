@@ -46,3 +46,21 @@ def test_snippet(spark):
 def test_redaction(spark):
     assert one(spark, sensitive.redacted, "mail a@b.org now") == "mail [REDACTED_email] now"
     assert one(spark, lambda t: sensitive.gate(t)["blocked"], "password=12345678") is True
+
+
+def test_page_texts_with_nulls_and_empty(spark):
+    from corpusforge.functions import extraction as X
+    from corpusforge.functions import reading as R
+
+    rows = spark.createDataFrame([(0, None), (1, ""), (2, "title: A: b\nx"), (3, "null"), (4, "one data\n\ndata data " + "x" * 300)], "id int, text string")
+    found = {
+        r.id: r
+        for r in rows.select(
+            "id", R.noise(F.col("text")).alias("noise"), R.title(F.col("text"), F.lit("stem")).alias("title"), R.snippet(F.col("text"), ("data",)).alias("snippet"),
+            X.extraction_warnings(F.col("text"), F.lit(".txt")).alias("warnings"),
+        ).collect()
+    }
+    assert [found[i].noise for i in range(5)] == [True, True, False, True, False]
+    assert [found[i].title for i in range(3)] == ["stem", "stem", "A: b"]
+    assert found[0].snippet is None and found[1].snippet == "" and found[4].snippet.startswith("data data x") and len(found[4].snippet) == 201
+    assert found[0].warnings == found[1].warnings == "empty" and found[3].warnings == "too_few_chars,header_only,too_few_paragraphs" and found[4].warnings == ""
