@@ -155,15 +155,32 @@ def digest(found: DataFrame) -> DataFrame:
 def proximity_matches(documents: DataFrame, benchmark: DataFrame, window: int = 13, reach: int = 26, anchors: int = 3) -> DataFrame:
     """(doc_id, item_id, start, end): stretches of at most ``reach`` words that hold all anchors of a window, in any order.
 
+    A term that is an anchor twice must be there twice. Of stretches within each other the shortest are given.
     Postings are filed by half-overlapping stretches of the document, so that terms that lie close
-    meet in one file; no pairs of postings are made.
+    meet in one file; no pairs of postings are made. In each file, of 2 * ``reach`` words at most, a stretch ends at
+    each posting and begins where the last ones of all anchors up to there begin.
     """
     items, index, anchored = _anchored(documents, benchmark, window, anchors, anchors)
-    at = anchored.select("item", "window", "term_id", "need").withColumn("need", F.col("need")).distinct()
+    # Windows of an item with the same anchors have the same matches.
+    by_window = anchored.groupBy("item", "window").agg(F.sort_array(F.collect_list("term_id")).alias("terms"))
+    sought = checkpointed(by_window.select("item", "terms").distinct().withColumn("sought", F.xxhash64("item", "terms")))
+    kinds = F.array_distinct("terms")
+    wanted = sought.select("item", "sought", F.transform(kinds, lambda t: F.struct(t.alias("term_id"), F.size(F.filter("terms", lambda x: x == t)).alias("times"))).alias("wanted"))
+    at = sought.select("sought", F.posexplode(kinds).alias("k", "term_id")).withColumn("bit", F.expr("shiftleft(1, k)")).drop("k")
+    rows = sought.count()
     block = F.floor(F.col("pos") / reach)
-    filed = index.join(_small(at, anchored.count()), "term_id").withColumn("file", F.explode(F.array(block, block - 1)))
-    met = filed.groupBy("doc_id", "text_key", "item", "window", "file").agg(
-        F.count_distinct("term_id").alias("terms"), F.max("need").alias("need"), F.min("pos").alias("start"), F.max("pos").alias("last")
-    )
-    close = met.where((F.col("terms") >= F.col("need")) & (F.col("last") - F.col("start") < reach))
-    return close.join(items.select("item", "item_id"), "item").select("doc_id", "item_id", "start", (F.col("last") + 1).alias("end")).distinct()
+    filed = index.join(_small(at, rows * anchors), "term_id").withColumn("file", F.explode(F.array(block, block - 1)))
+    # Repeated documents have the same postings.
+    met = filed.groupBy("doc_id", "text_key", "sought", "file").agg(F.bit_or("bit").alias("bits"), F.collect_set(F.struct("pos", "term_id")).alias("held"))
+    full = met.join(_small(wanted, rows), "sought").where(F.bit_count("bits") == F.size("wanted")).withColumn("held", F.sort_array("held"))
+
+    def begins(end: Column) -> Column:
+        def last(w: Column) -> Column:
+            return F.try_element_at(F.filter("held", lambda h: (h["term_id"] == w["term_id"]) & (h["pos"] <= end)), -w["times"])["pos"]
+
+        firsts = F.transform("wanted", last)
+        return F.when(F.forall(firsts, lambda p: p.isNotNull()), F.array_min(firsts))
+
+    ends = full.select("doc_id", "text_key", "item", "sought", F.explode(F.transform("held", lambda h: F.struct(begins(h["pos"]).alias("start"), h["pos"].alias("last")))).alias("s"))
+    shortest = ends.where(F.col("s.last") - F.col("s.start") < reach).groupBy("doc_id", "text_key", "item", "sought", F.col("s.start").alias("start")).agg(F.min("s.last").alias("last"))
+    return shortest.join(items.select("item", "item_id"), "item").select("doc_id", "item_id", "start", (F.col("last") + 1).alias("end")).distinct()

@@ -31,6 +31,10 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.digest(decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op3_proximity_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.proximity_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -63,7 +67,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = (
-    op1_secret_scans, op2_simhash_near_dedup, op3_benchmark_decontamination, op4_quality_rules, op5_url_filters,
+    op1_secret_scans, op2_simhash_near_dedup, op3_benchmark_decontamination, op3_proximity_matches, op4_quality_rules, op5_url_filters,
     op6_chat_formatting, op7_sharding, op8_quality_classifier, op9_packing, op10_toxicity,
 )
 
