@@ -22,6 +22,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
@@ -37,23 +38,35 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder for materialised tables; set here where the session names none."""
+    """The shared folder for materialised tables, as the session names it in ``spark.checkpoint.dir``.
+
+    Only a local session may leave it unset and gets a temporary folder; on a cluster that would be a folder
+    of one machine, so it is an error there.
+    """
     context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpusforge-checkpoint-"))
-    return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+        if not named and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="corpusforge-checkpoint-"))
+    return named or context.getCheckpointDir()
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Materialise ``df`` once in the folder all executors share and cut its lineage.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests, a laptop)
-    a temporary folder is taken.
+    With ``spark.cleaner.referenceTracking.cleanCheckpoints`` Spark removes the files when nothing refers to them any more.
     """
     checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate tables, in whatever store it lies."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
