@@ -46,6 +46,34 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, limit:
     return found.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
 
 
+def before(values: Column, op, zero: Column, block: int = 256) -> Column:
+    """What ``op`` makes of all earlier elements, for each element of an array (``zero`` for the first).
+
+    Appending to an array copies it, so it is done in blocks: their cost grows with the array and the block, not
+    with the array's square.
+    """
+    none = F.slice(F.array(zero), 2, 0)
+
+    def scanned(some: Column, of) -> Column:
+        start = F.struct(zero.alias("at"), none.alias("out"))
+        return F.aggregate(some, start, lambda acc, v: F.struct(op(acc["at"], of(v)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))
+
+    def joined(blocks: Column) -> Column:
+        starts = scanned(blocks, lambda b: b["at"])["out"]
+        return F.flatten(F.zip_with(blocks, starts, lambda b, at: F.transform(b["out"], lambda v: op(at, v))))
+
+    def whole(held: Column) -> Column:
+        firsts = F.sequence(F.lit(1), F.greatest(F.size(held), F.lit(1)), F.lit(block))
+        return with_value(F.transform(firsts, lambda first: scanned(F.slice(held, first, F.lit(block)), lambda v: v)), joined)
+
+    return with_value(values, whole)
+
+
+def with_value(value: Column, use) -> Column:
+    """``use(value)``, with the value computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def parts_for(n: int, least: int = 64, most: int = 16384, rows: int = 1_000_000) -> int:
     """Into how many parts n rows are dealt, so that one holds about ``rows`` of them."""
     return max(least, min(most, n // rows))
