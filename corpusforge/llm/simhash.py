@@ -69,14 +69,14 @@ def fingerprints(documents: DataFrame, text_col: str = "text", id_col: str = "do
 
 
 def _variants(fps: DataFrame, segments: int = 2) -> DataFrame:
-    """(key, fp): each segment with each of its bits left out."""
+    """(key, fp): each segment with each of its bits left out; the key holds the bit's number and the rest of the segment."""
     width = 64 // segments
     made = []
     for s in range(segments):
         segment = F.shiftrightunsigned("fp", s * width).bitwiseAND(F.lit((1 << width) - 1))
         for p in range(width):
-            made.append(F.struct(F.lit(s * width + p).cast("short").alias("slot"), segment.bitwiseAND(F.lit(((1 << width) - 1) & ~(1 << p))).cast("long").alias("rest")))
-    return fps.select("fp", F.inline(F.array(*made)))
+            made.append(F.lit((s * width + p) << width).bitwiseOR(segment.bitwiseAND(F.lit(((1 << width) - 1) & ~(1 << p)))).cast("long"))
+    return fps.select("fp", F.explode(F.array(*made)).alias("key"))
 
 
 def _signed(x: int) -> int:
@@ -85,14 +85,12 @@ def _signed(x: int) -> int:
 
 def links(fps: DataFrame, bucket: int = 64) -> DataFrame:
     """Edges (u, v), u > v, whose components are those of "differ in at most two bits"."""
-    size = F.count("*").over(Window.partitionBy("slot", "rest"))
-    shared = checkpointed(_variants(fps).withColumn("n", size).where("n > 1"))
+    # Counts are combined before they meet, and the join can split a hot variant: no task gets all of its fingerprints.
+    counts = _variants(fps).groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = checkpointed(_variants(fps).join(counts, "key"))
     small = shared.where(F.col("n") <= bucket)
     a, b = small.alias("a"), small.alias("b")
-    near = (
-        (F.col("a.slot") == F.col("b.slot")) & (F.col("a.rest") == F.col("b.rest")) & (F.col("a.fp") > F.col("b.fp"))
-        & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= BITS)
-    )
+    near = (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") > F.col("b.fp")) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= BITS)
     pairs = a.join(b, near).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
     # The exact way for crowded variants; see the module's docstring.
     crowded = shared.where(F.col("n") > bucket).select("fp").distinct()
@@ -102,11 +100,12 @@ def links(fps: DataFrame, bucket: int = 64) -> DataFrame:
     return pairs.union(stars).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """(node, root) for every node of an edge, root the smallest node it can reach.
 
     Alternating large-star and small-star steps; each halves distances, and no step gathers a
-    neighbourhood in one place: minima are combined before the shuffle and joined back.
+    neighbourhood in one place: minima are combined before the shuffle and joined back. It ends when a round
+    changes nothing; should that not happen within ``rounds`` rounds, it raises an error rather than give less.
     """
     edges, before = checkpointed(edges), None
     for _ in range(rounds):
@@ -121,6 +120,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if state == before:
             break
         before = state
+    else:
+        raise RuntimeError(f"components have not settled in {rounds} rounds")
     roots = edges.select(F.col("v").alias("node")).distinct().withColumn("root", F.col("node"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
 
