@@ -1,12 +1,22 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-A lexicon maps words to classes (insult, threat, target, negation, reported speech, end of clause).
-Small two-state transducers each watch one class; their composition reads a clause and, at its end,
-writes what the clause holds: an insult or threat, aimed at somebody, negated, or reported. Texts are
-scored by the weights of their matched clauses, never by single words.
+A lexicon maps words to classes (insult, threat, target, negation, reported speech, quote, end of clause).
+Small transducers each read the classes in order and keep what matters of the clause so far:
+
+- negation: how many of the next words a negation still covers (``SCOPE``);
+- reported speech: whether a word of saying opened a span, which lasts to the end of the clause, or to the closing
+  quote if a quote follows;
+- target: how many of the next words are near a word for somebody (``NEAR``);
+- match: an insult or threat that was met less than ``AFTER`` words ago and isn't aimed yet.
+
+Their composition is one transducer, whose states are made when a text first needs them (there are a few
+thousand at most). It writes a match with what held when it came: "not an idiot" is a negated insult, "idiot, not" isn't;
+a target just before or just after a match aims it. Texts are scored by the weights of their matched clauses,
+never by single words; a negated or reported match may speak against toxicity.
 
 The lexicon begins with a few common words and is widened from labelled rows: words and word beginnings
-that stand in many different contexts of toxic texts and (almost) none of the others. Clause weights
+that stand in many different contexts of toxic texts and (almost) none of the others. They are threats if a target
+follows most of them, else insults. Words that mostly stand beside matches are targets. Clause weights
 come from a logistic regression on the same rows. ``sample_rows`` bounds those rows for each class,
 ``lexicon_rows`` the learned entries.
 
@@ -30,7 +40,7 @@ from pyspark.sql import functions as F
 from corpusforge.llm.common import crc_fold, fit_logistic, labelled_sample, sigmoid, slices
 from corpusforge.session import checkpointed, ship
 
-INSULT, THREAT, TARGET, NEGATION, REPORT, STOP, OTHER = "insult", "threat", "target", "negation", "report", "stop", "other"
+INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE, STOP, OTHER = "insult", "threat", "target", "negation", "report", "quote", "stop", "other"
 SEEDS = {
     INSULT: "idiot idiots stupid moron morons loser losers scum trash worthless pathetic disgusting imbecile idiota estúpido imbécil idiote connard salaud blöd dummkopf arschloch",
     THREAT: "kill hurt destroy crush strangle tuer frapper töten schlagen matar golpear",
@@ -38,49 +48,66 @@ SEEDS = {
     NEGATION: "not no never neither isn aren wasn don ne pas jamais nicht kein keine nie nunca jamás",
     REPORT: "said says say called calls wrote claimed quoted dit disait appelle sagte sagt nannte dijo dice llamó",
 }
-TOKENS = re.compile(r"[^\W_]+|[.!?;:\n]")
+TOKENS = re.compile(r"[^\W_]+|[.!?;:\n\"\u00AB\u00BB\u201C\u201D\u201E]")
 STOPS = frozenset(".!?;:\n")
+QUOTES = frozenset("\"\u00AB\u00BB\u201C\u201D\u201E")
 PREFIXES = (4, 5, 6)
+SCOPE, NEAR, AFTER = 4, 5, 3
+
+
+def negation(left: int, c: str) -> int:
+    """How many of the next words the last negation covers."""
+    return 0 if c == STOP else SCOPE if c == NEGATION else max(0, left - 1)
+
 
+def reported(state: str, c: str) -> str:
+    """"" or "said" (to the end of the clause) or "quoted" (to the closing quote)."""
+    if state == "quoted":
+        return "" if c == QUOTE else state
+    if c == REPORT:
+        return "said"
+    if c == QUOTE and state == "said":
+        return "quoted"
+    return "" if c == STOP else state
 
-def _watch(name: str) -> dict[tuple[int, str], int]:
-    """A two-state transducer: state 1 from the first word of its class on."""
-    return {(0, name): 1}
 
+def target(left: int, c: str) -> int:
+    """How many of the next words are near the last target."""
+    return 0 if c == STOP else NEAR if c == TARGET else max(0, left - 1)
 
-def compose(names: tuple[str, ...]) -> tuple[dict[tuple[int, str], int], dict[int, frozenset[str]]]:
-    """The product of the watchers: transitions (state, class) -> state, and what each state has seen."""
-    parts = [_watch(n) for n in names]
-    step, seen = {}, {}
-    for state in range(1 << len(names)):
-        bits = [state >> i & 1 for i in range(len(names))]
-        seen[state] = frozenset(n for n, b in zip(names, bits, strict=True) if b)
-        for word_class in names:
-            moved = [p.get((b, word_class), b) for p, b in zip(parts, bits, strict=True)]
-            step[state, word_class] = sum(b << i for i, b in enumerate(moved))
-    return step, seen
 
+State = tuple[int, str, int, str, int]
+#: Nothing is negated, reported, near a target, or waiting to be aimed.
+START: State = (0, "", 0, "", 0)
 
-STEP, SEEN = compose((INSULT, THREAT, TARGET, NEGATION, REPORT))
-#: Kinds of matched clauses; weights of each kind, of how many there are, and the bias, where nothing is learned.
-EVENTS = ("insult", "insult_aimed", "insult_negated", "insult_reported", "threat_aimed", "threat_softened")
-FIXED = np.array([3.0, 4.0, 1.5, 1.5, 2.0, 0.2, 0.5, -2.5])
 
+def step(state: State, c: str) -> tuple[State, str | None]:
+    """The composed transducer: its next state, and the match it writes.
 
-def event_of(seen: frozenset[str]) -> str | None:
-    """What a clause is, by what it holds."""
-    if INSULT in seen:
-        if NEGATION in seen:
-            return "insult_negated"
-        if REPORT in seen:
-            return "insult_reported"
-        return "insult_aimed" if TARGET in seen else "insult"
-    if THREAT in seen and TARGET in seen:
-        return "threat_softened" if NEGATION in seen or REPORT in seen else "threat_aimed"
-    return None
+    A match without a target waits for one for ``AFTER`` words, and is written when it has one or the time or clause is over.
+    """
+    negated, said, near, waiting, left = state
+    written = None
+    if waiting:
+        left -= 1
+        if c == TARGET:
+            written, waiting = f"{waiting}_aimed", ""
+        elif c in (STOP, INSULT, THREAT) or left <= 0:
+            written, waiting = waiting, ""
+    if c in (INSULT, THREAT):
+        mark = "_negated" if negated else "_reported" if said else ""
+        if mark or near:
+            written_now = c + (mark or "_aimed")
+            # What waited is written first; at most one of the two can be lost from one output, so they are joined.
+            written = f"{written} {written_now}" if written else written_now
+        else:
+            waiting, left = c, AFTER
+    return (negation(negated, c), reported(said, c), target(near, c), waiting, left if waiting else 0), written
 
 
-EVENT_OF_STATE = {s: event_of(seen) for s, seen in SEEN.items()}
+#: Kinds of matches; weights of each kind, of how many there are, and the bias, where nothing is learned.
+EVENTS = ("insult", "insult_aimed", "insult_negated", "insult_reported", "threat", "threat_aimed", "threat_negated", "threat_reported")
+FIXED = np.array([3.0, 4.0, -1.0, -0.5, 0.0, 2.0, -1.0, -0.5, 0.5, -2.5])
 
 
 @dataclass
@@ -88,39 +115,39 @@ class Grammar:
     """Lexicon and clause weights (the last is the bias)."""
 
     words: dict[str, str]
-    prefixes: frozenset[str]
+    prefixes: dict[str, str]
     weights: np.ndarray
     cache: dict[str, str] = field(default_factory=dict)
+    arcs: dict[tuple[State, str], tuple[State, str | None]] = field(default_factory=dict)
 
     def class_of(self, word: str) -> str:
         found = self.cache.get(word)
         if found is None:
-            if len(self.cache) > 200_000:
+            if len(self.cache) > 50_000:
                 self.cache.clear()
-            found = STOP if word in STOPS else self.words.get(word) or (INSULT if any(word[:n] in self.prefixes for n in PREFIXES) else OTHER)
+            found = STOP if word in STOPS else QUOTE if word in QUOTES else self.words.get(word) or next((self.prefixes[word[:n]] for n in PREFIXES if word[:n] in self.prefixes), OTHER)
             self.cache[word] = found
         return found
 
     def clauses(self, text: str | None) -> Counter:
-        """How many clauses of each kind a text has."""
-        tokens = TOKENS.findall((text or "").lower())
-        classes = [self.class_of(t) for t in tokens]
+        """How many matches of each kind a text has."""
+        classes = list(map(self.class_of, TOKENS.findall((text or "").lower())))
         if INSULT not in classes and THREAT not in classes:
             return Counter()
-        out, state = Counter(), 0
+        out, state, arcs = Counter(), START, self.arcs
         for c in [*classes, STOP]:
-            if c == STOP:
-                event = EVENT_OF_STATE[state]
-                if event:
-                    out[event] += 1
-                state = 0
-            elif c != OTHER:
-                state = STEP[state, c]
+            arc = arcs.get((state, c))
+            if arc is None:
+                arc = arcs[state, c] = step(state, c)
+            state, written = arc
+            if written:
+                out.update(written.split())
         return out
 
     def vector(self, text: str | None) -> list[float]:
         found = self.clauses(text)
-        return [*(float(found[e] > 0) for e in EVENTS), float(np.log1p(found.total()))]
+        against = sum(found[e] for e in EVENTS if e.endswith(("_negated", "_reported")))
+        return [*(float(found[e] > 0) for e in EVENTS), float(np.log1p(found.total() - against))]
 
     def score(self, text: str | None) -> float:
         return float(sigmoid(np.array(np.array(self.vector(text)) @ self.weights[:-1] + self.weights[-1])))
@@ -130,6 +157,9 @@ def seed_words() -> dict[str, str]:
     return {w: kind for kind, words in SEEDS.items() for w in words.split()}
 
 
+SEEDED = frozenset(seed_words())
+
+
 def _terms(word: str) -> list[str]:
     """A word and its beginnings; beginnings end with a star."""
     return [word, *[word[:n] + "*" for n in PREFIXES if len(word) > n]]
@@ -149,7 +179,7 @@ def learned_entries(sample: DataFrame, lexicon_rows: int, chance: float = 1e-9,
         for batch in slices(batches, "text", 1 << 20):
             out: set[tuple[str, str]] = set()
             for text in batch.column("text").to_pylist():
-                words = [w for w in TOKENS.findall(text.lower()) if w not in STOPS]
+                words = [w for w in TOKENS.findall(text.lower()) if w not in STOPS and w not in QUOTES]
                 for before, word, after in zip(["", *words], words, [*words[1:], ""], strict=False):
                     if len(word) > 3:
                         out.update((t, f"{before} {after}") for t in _terms(word))
@@ -176,15 +206,54 @@ def learned_entries(sample: DataFrame, lexicon_rows: int, chance: float = 1e-9,
     return sorted(good, key=lambda g: (-g[1], g[0]))[:lexicon_rows]
 
 
+def beside(sample: DataFrame, words: dict[str, str], prefixes: dict[str, str], learned: list[str], least: int = 6) -> tuple[set[str], list[str]]:
+    """Of the learned terms those that a target mostly follows; and the words that mostly stand beside a match.
+
+    Counted over the toxic rows of the sample; "beside" is within two words, "mostly" more than half of at least ``least`` times.
+    """
+    grammar, wanted = Grammar(words, prefixes, FIXED), frozenset(learned)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 1 << 20):
+            seen: Counter = Counter()
+            for text in batch.column("text").to_pylist():
+                tokens = TOKENS.findall(text.lower())
+                classes = list(map(grammar.class_of, tokens))
+                for i, (word, c) in enumerate(zip(tokens, classes, strict=True)):
+                    after, near = classes[i + 1 : i + 3], classes[max(0, i - 2) : i + 3]
+                    if c == INSULT:
+                        seen.update((t, "term", TARGET in after) for t in _terms(word) if t in wanted)
+                    elif c == OTHER:
+                        seen[word, "word", INSULT in near or THREAT in near] += 1
+            rows = list(seen.items())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k[0] for k, _ in rows], pa.string()), pa.array([k[1] for k, _ in rows], pa.string()), pa.array([n if k[2] else 0 for k, n in rows], pa.int64()), pa.array([n for _, n in rows], pa.int64())],
+                names=["term", "kind", "met", "n"],
+            )
+
+    counts = sample.where("label = 1").select("text").mapInArrow(run, "term string, kind string, met long, n long").groupBy("term", "kind").agg(F.sum("met").alias("met"), F.sum("n").alias("n"))
+    rows = counts.where((F.col("n") >= least) & (2 * F.col("met") > F.col("n"))).orderBy(F.desc("n"), "term").limit(10_000).collect()
+    return {r.term for r in rows if r.kind == "term"}, [r.term for r in rows if r.kind == "word"]
+
+
 def fit(sample: DataFrame, lexicon_rows: int = 2000) -> Grammar:
     """Lexicon and weights from a bounded sample (doc_id, text, label); label 1 is toxic."""
-    words, prefixes = seed_words(), set()
-    for term, _, _ in learned_entries(sample, lexicon_rows):
-        if term.endswith("*"):
-            prefixes.add(term[:-1])
-        else:
-            words.setdefault(term, INSULT)
-    grammar = Grammar(words, frozenset(prefixes), FIXED)
+    words, prefixes = seed_words(), {}
+    learned = [term for term, _, _ in learned_entries(sample, lexicon_rows)]
+
+    def entered(threats: set[str] = frozenset(), targets=()) -> None:
+        for term in learned:
+            kind = THREAT if term in threats else INSULT
+            if term.endswith("*"):
+                prefixes[term[:-1]] = kind
+            elif term not in SEEDED:
+                words[term] = kind
+        for word in targets:
+            words.setdefault(word, TARGET)
+
+    entered()
+    entered(*beside(sample, dict(words), dict(prefixes), learned))
+    grammar = Grammar(words, prefixes, FIXED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -195,13 +264,9 @@ def fit(sample: DataFrame, lexicon_rows: int = 2000) -> Grammar:
     rows.sort(key=lambda r: (r.doc_id, bytes(r.vector)))
     labels = np.array([r.label for r in rows], np.float64)
     if len(rows) < 8 or not 0 < labels.mean() < 1:
-        return Grammar(words, frozenset(prefixes), FIXED)
+        return grammar
     vectors = np.array([np.frombuffer(r.vector) for r in rows])
-    weights = fit_logistic(vectors, labels, l2=1e-3)
-    # A clause never speaks against toxicity, and an aimed insult is no milder than one at large.
-    weights[:-1] = np.maximum(weights[:-1], 0.0)
-    weights[1] = max(weights[0], weights[1])
-    return Grammar(words, frozenset(prefixes), weights)
+    return Grammar(words, prefixes, fit_logistic(vectors, labels, l2=1e-3))
 
 
 def train(documents: DataFrame, labels: DataFrame, sample_rows: int = 2000, folds: int = 5, held: int = 0, lexicon_rows: int = 2000) -> Grammar:
@@ -230,10 +295,9 @@ def without_toxic(documents: DataFrame, labels: DataFrame, **options) -> DataFra
     """The rows that the grammar doesn't reject, with all their columns."""
     sent = documents.sparkSession.sparkContext.broadcast(train(documents, labels, **options))
 
-    @F.pandas_udf("double")
-    def score(texts):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grammar = sent.value
-        return texts.map(grammar.score).astype(float)
+        for batch in slices(batches, "text"):
+            yield batch.filter(pa.array([grammar.score(t) < 0.5 for t in batch.column("text").to_pylist()], pa.bool_()))
 
-    marked = documents.withColumn("__toxicity", score(F.coalesce("text", F.lit(""))))
-    return marked.where(F.col("__toxicity") < 0.5).drop("__toxicity")
+    return documents.mapInArrow(run, documents.schema)

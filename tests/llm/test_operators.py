@@ -314,9 +314,17 @@ def test_toxicity(documents, labels):
 
 
 def test_grammar():
-    g = toxicity.Grammar(toxicity.seed_words(), frozenset({"zorp"}), toxicity.FIXED)
+    g = toxicity.Grammar(toxicity.seed_words(), {"zorp": "insult"}, toxicity.FIXED)
     assert g.clauses("You are an idiot. She is not an idiot!\nHe said idiot; zorpling") == {"insult_aimed": 1, "insult_negated": 1, "insult_reported": 1, "insult": 1}
-    assert g.clauses("I will hurt you. kill time") == {"threat_aimed": 1}
+    assert g.clauses("I will hurt you. kill time") == {"threat_aimed": 1, "threat": 1}
+    # Order and distance count: a negation covers what follows it, for some words, within its clause.
+    assert g.clauses("idiot not") == g.clauses("not. idiot") == g.clauses("not a b c d e idiot") == {"insult": 1}
+    assert g.clauses("not really an idiot") == {"insult_negated": 1} and g.clauses("will never hurt") == {"threat_negated": 1}
+    # Reported speech lasts to the end of the clause, or to the closing quote.
+    assert g.clauses('He said "a b. idiot c" loser') == {"insult_reported": 1, "insult": 1}
+    assert g.clauses("said a. idiot") == {"insult": 1} and g.clauses("idiot, he said") == {"insult_aimed": 1}
+    assert g.clauses("you a b c d e idiot") == {"insult": 1} and g.clauses("moron idiot you") == {"insult": 1, "insult_aimed": 1}
+    assert g.score("She is not an idiot") < 0.5
     assert g.score("You idiot, you moron") > 0.5 > g.score("A nice day")
 
 
