@@ -28,6 +28,9 @@ from corpusforge.session import checkpointed
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 #: The test items' side is broadcast while it has at most so many rows; beyond that joins shuffle.
 BROADCAST_ROWS = 200_000
+#: Whole documents with hits are told by so many broadcast keys at most; beyond that the join shuffles.
+BROADCAST_HITS = 200_000
+SALTS = 16
 
 
 def words_of(text: Column) -> Column:
@@ -56,7 +59,12 @@ def postings(documents: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
     """The stored index: (doc_id, text_key, pos, term) of the given terms, over whole texts."""
     rows = documents.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), words_of(F.col("text")).alias("words"))
     each = rows.select("doc_id", "text_key", F.posexplode("words").alias("pos", "word"))
-    return each.join(_small(terms.select(F.col("term").alias("word"), "term_id"), n_terms), "word").select("doc_id", "text_key", "pos", "term_id")
+    wanted = terms.select(F.col("term").alias("word"), "term_id")
+    if n_terms <= BROADCAST_ROWS:
+        return each.join(F.broadcast(wanted), "word").select("doc_id", "text_key", "pos", "term_id")
+    # Words differ much in how common they are: each word's rows are dealt over some salts, and the terms repeated for each.
+    salted = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return each.withColumn("salt", F.pmod(F.xxhash64("doc_id", "pos"), F.lit(SALTS))).join(salted, ["word", "salt"]).select("doc_id", "text_key", "pos", "term_id")
 
 
 def _index(documents: DataFrame, items: DataFrame, stored: int) -> tuple[DataFrame, DataFrame]:
@@ -110,36 +118,63 @@ def _runs(equal: Column, m: Column) -> Column:
     return F.array_join(F.transform(parts, lambda r: F.when(r.startswith("1") & (F.length(r) >= m), r).otherwise(F.repeat(F.lit("0"), F.length(r)))), "")
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 13, anchors: int = 2, stored: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: n_words, hits (positions of hit words) and items (ids with occurring windows).
-
-    ``keep`` names columns of ``documents`` to return as well.
-    """
+def _hits(documents: DataFrame, benchmark: DataFrame, window: int, anchors: int, stored: int) -> DataFrame:
+    """(doc_id, text_key, n_words, hits, items) of the documents in which a window occurs; only these texts move."""
     items, index, anchored = _anchored(documents, benchmark, window, anchors, stored)
-    found = _alignments(index, anchored).join(_small(items, items.count()), "item")
-    # What one document's alignments need is gathered in its own row: no more than its length allows.
-    by_doc = found.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("item_id", "shift", "words", "m")).alias("found"))
-    extra = [c for c in keep if c not in ("doc_id",)]
-    rows = documents.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), F.col("text").alias("whole"), *[F.col(c).alias(f"kept_{c}") for c in extra])
-    both = rows.alias("l").join(by_doc.hint("shuffle_hash").alias("r"), same("doc_id", "text_key"), "left").select("l.*", "r.found").withColumn("doc_words", words_of(F.col("whole")))
+    # An item's words are held once for each document that meets it, however often it does.
+    by_item = _alignments(index, anchored).groupBy("doc_id", "text_key", "item").agg(F.collect_list("shift").alias("shifts"))
+    by_doc = by_item.join(_small(items, items.count()), "item").groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("item_id", "shifts", "words", "m")).alias("found"))
+    by_doc = checkpointed(by_doc)
+    some = F.broadcast(by_doc) if by_doc.count() <= BROADCAST_HITS // 10 else by_doc
+    rows = documents.select("doc_id", _text_key(), F.col("text").alias("whole"))
+    both = rows.alias("l").join(some.alias("r"), same("doc_id", "text_key")).select("l.doc_id", "l.text_key", "r.found", words_of(F.col("whole")).alias("doc_words"))
 
     def check(f: Column) -> Column:
-        first = F.greatest(F.lit(0), -f["shift"])
-        here = F.slice(F.col("doc_words"), f["shift"] + first + 1, F.size(f["words"]) - first)
-        there = F.slice(f["words"], first + 1, F.size(f["words"]))
-        marks = _runs(F.zip_with(here, there, lambda a, b: F.coalesce(a == b, F.lit(False))), f["m"])
-        places = F.transform(F.split(marks, ""), lambda c, i: F.when(c == "1", f["shift"] + first + i))
-        return F.struct(f["item_id"].alias("item_id"), F.array_compact(places).alias("places"))
-
-    checked = F.filter(F.transform("found", check), lambda f: F.size(f["places"]) > 0)
-    none = F.array().cast("array<struct<item_id:string,places:array<int>>>")
-    return both.select("doc_id", *[F.col(f"kept_{c}").alias(c) for c in extra], F.size("doc_words").cast("long").alias("n_words"), F.coalesce(checked, none).alias("checked")).select(
-        "doc_id", *extra, "n_words",
+        places = F.flatten(F.transform(f["shifts"], lambda shift: _places(F.col("doc_words"), f["words"], shift, f["m"])))
+        return F.struct(f["item_id"].alias("item_id"), places.alias("places"))
+
+    checked = both.select("doc_id", "text_key", F.size("doc_words").cast("long").alias("n_words"), F.filter(F.transform("found", check), lambda f: F.size(f["places"]) > 0).alias("checked"))
+    return checked.where(F.size("checked") > 0).dropDuplicates(["doc_id", "text_key"]).select(
+        "doc_id", "text_key", "n_words",
         F.array_distinct(F.flatten(F.transform("checked", lambda f: f["places"]))).alias("hits"),
         F.sort_array(F.array_distinct(F.transform("checked", lambda f: f["item_id"]))).alias("items"),
     )
 
 
+def _places(doc_words: Column, words: Column, shift: Column, m: Column) -> Column:
+    """The positions in a document that lie in runs of m words or more which equal an item's words at this alignment."""
+    first = F.greatest(F.lit(0), -shift)
+    here = F.slice(doc_words, shift + first + 1, F.size(words) - first)
+    there = F.slice(words, first + 1, F.size(words))
+    marks = _runs(F.zip_with(here, there, lambda a, b: F.coalesce(a == b, F.lit(False))), m)
+    return F.array_compact(F.transform(F.split(marks, ""), lambda c, i: F.when(c == "1", shift + first + i)))
+
+
+def _text_key() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key")
+
+
+def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 13, anchors: int = 2, stored: int = 3) -> DataFrame:
+    """One row per document: n_words, hits (positions of hit words) and items (ids with occurring windows).
+
+    Documents without hits only give their number of words; their texts aren't shuffled.
+    """
+    found = checkpointed(_hits(documents, benchmark, window, anchors, stored))
+    found = F.broadcast(found) if found.count() <= BROADCAST_HITS // 10 else found
+    rows = documents.select("doc_id", _text_key(), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
+    return rows.alias("l").join(found.alias("r"), same("doc_id", "text_key"), "left").select(
+        "l.doc_id", "l.n_words", F.coalesce("r.hits", F.array().cast("array<int>")).alias("hits"), F.coalesce("r.items", F.array().cast("array<string>")).alias("items")
+    )
+
+
+def without_contaminated(documents: DataFrame, benchmark: DataFrame, window: int = 13, anchors: int = 2, stored: int = 3) -> DataFrame:
+    """The rows that aren't contaminated, with all their columns."""
+    found = _hits(documents, benchmark, window, anchors, stored)
+    bad = checkpointed(found.where(contaminated()).select(F.col("doc_id").alias("bad_id"), F.col("text_key").alias("bad_key")))
+    bad = F.broadcast(bad) if bad.count() <= BROADCAST_HITS else bad
+    return documents.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")) & (_text_key() == F.col("bad_key")), "left_anti")
+
+
 def contaminated() -> Column:
     """A twentieth of the words or more is hit."""
     return (F.size("hits") > 0) & (20 * F.size("hits") >= F.col("n_words"))
