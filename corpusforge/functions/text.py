@@ -39,9 +39,8 @@ def dice(a: Column, b: Column) -> Column:
     """Dice similarity of two texts' sets of character pairs; texts under two characters have none."""
 
     def pairs(t: Column) -> Column:
-        return F.when(F.length(t) < 2, F.array().cast("array<string>")).otherwise(
-            F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 1, F.lit(1))), lambda i: F.substring(t, i, F.lit(2))))
-        )
+        # One regex pass gives all overlapping pairs; a substring would be sought from the text's beginning each time.
+        return F.array_distinct(F.regexp_extract_all(t, F.lit("(?s)(?=(..))"), F.lit(1)))
 
     x, y = pairs(a), pairs(b)
     return F.when(F.size(x) + F.size(y) == 0, 0.0).otherwise(2 * F.size(F.array_intersect(x, y)) / (F.size(x) + F.size(y)))

@@ -73,7 +73,8 @@ def match_works(works: DataFrame, registry: DataFrame) -> DataFrame:
     """The registry row of each work by the first method that finds one, with its confidence and whether to review it.
 
     Identifier, linking identifier, electronic identifier, equal name, similar name. Identifiers with a wrong
-    check digit are not tried. Only works that equality leaves over go through the similarity join.
+    check digit are not tried. Only works that equality leaves over go through the similarity join. Rows with one
+    ``work_id`` are one work: it takes the best match of any of them, of equal ones the smallest registry key.
     """
     ok = lambda c: F.when(issn_valid(F.col(c)), F.col(c)).otherwise("")
     steps = (
@@ -85,10 +86,11 @@ def match_works(works: DataFrame, registry: DataFrame) -> DataFrame:
     for place, (method, confidence, rows) in enumerate(steps):
         rows = rows.select("work_id", "p_partkey", F.lit(place).alias("place"), F.lit(method).alias("method"), F.lit(confidence).alias("confidence"))
         tried = rows if tried is None else tried.union(rows)
-    exact = tried.groupBy("work_id").agg(F.min_by(F.struct("p_partkey", "method", "confidence"), "place").alias("m")).select("work_id", "m.*")
+    exact = tried.groupBy("work_id").agg(F.min_by(F.struct("p_partkey", "method", "confidence"), F.struct("place", "p_partkey")).alias("m")).select("work_id", "m.*")
     exact = checkpointed(exact)  # used three times
     rest = works.join(exact, "work_id", "left_anti").select("work_id", name_key(F.col("journal_name")).alias("name"))
-    alike = rest.join(similar_names(rest, registry), "name").select("work_id", "p_partkey", F.lit("similar").alias("method"), F.col("score").alias("confidence"))
+    scored = rest.join(similar_names(rest, registry), "name").groupBy("work_id").agg(F.max_by(F.struct("p_partkey", "score"), F.struct("score", -F.col("p_partkey"))).alias("b"))
+    alike = scored.select("work_id", "b.p_partkey", F.lit("similar").alias("method"), F.col("b.score").alias("confidence"))
     return exact.union(alike).withColumn("review", (F.col("method") == "name") | ((F.col("method") == "similar") & (F.col("confidence") < 0.92)))
 
 
@@ -187,3 +189,61 @@ def citations(works: DataFrame) -> DataFrame:
     }
     every = F.array(*[F.struct(F.lit(s).alias("style"), t.alias("text")) for s, t in styles.items()])
     return works.select("work_id", F.inline(every))
+
+
+def names_holding(registry: DataFrame, parts: DataFrame, most: int = 10_000) -> DataFrame:
+    """(part, p_partkey) of the registry rows whose name holds a part; parts are broadcast, as a join on "contains" has no key.
+
+    More than ``most`` parts are an error: such a set asks for words, not for parts of names.
+    """
+    asked = parts.count()
+    if asked > most:
+        raise ValueError(f"{asked} parts of names; at most {most} are compared with every name")
+    names = registry.select("p_partkey", name_key(F.col("journal_name")).alias("known"))
+    return names.join(F.broadcast(parts), F.col("known").contains(F.col("part"))).select("part", "p_partkey")
+
+
+def import_outcomes(rows: DataFrame) -> DataFrame:
+    """One row for each key of an import with its number of rows, inserted once, or invalid for rows without scheme or name.
+
+    Repeated keys are counted before they meet, so a key in many rows stays small.
+    """
+    given = (F.coalesce("scheme", F.lit("")) != "") & (F.coalesce("journal_name", F.lit("")) != "")
+    kept = rows.where(given).groupBy("scheme", "edition", "issn", "journal_name").agg(F.count("*").alias("n")).select("scheme", F.lit("inserted").alias("outcome"), "n")
+    return kept.union(rows.where(~given).agg(F.count("*").alias("n")).select(F.lit(None).cast("string"), F.lit("invalid"), "n"))
+
+
+def decoded_works(rows: DataFrame) -> DataFrame:
+    """Works from (work_id, payload) of a source that gives places of publication, dates and page ends."""
+    shape = """title STRING, primary_location STRUCT<source: STRUCT<display_name: STRING, issn_l: STRING, issn: ARRAY<STRING>>>, publication_date STRING, biblio STRUCT<first_page: STRING, last_page: STRING>,
+      type STRING, cited_by_count DOUBLE, open_access STRUCT<oa_status: STRING>"""
+    w = rows.select("work_id", F.from_json("payload", shape).alias("w")).select("work_id", "w.*")
+    first, last = F.nullif("biblio.first_page", F.lit("")), F.nullif("biblio.last_page", F.lit(""))
+    return w.select(
+        "work_id", "title", F.col("primary_location.source.display_name").alias("journal_name"), F.split("publication_date", "-")[0].try_cast("int").alias("year"),
+        F.when(first.isNotNull() & last.isNotNull(), F.concat(first, F.lit("-"), last)).otherwise(first).alias("page"),
+        F.when(F.col("type") == "article", "article-journal").otherwise(F.coalesce(F.nullif("type", F.lit("")), F.lit("article-journal"))).alias("pub_type"),
+        F.col("cited_by_count").alias("cited_by"), F.nullif("open_access.oa_status", F.lit("")).alias("oa_status"),
+    )
+
+
+def source_metrics(rows: DataFrame, key: str) -> DataFrame:
+    """(key, issn, eissn, metric, value): what a source's payload says of it, one row for each given metric."""
+    shape = "display_name STRING, issn ARRAY<STRING>, summary_stats STRUCT<`2yr_mean_citedness`: DOUBLE, h_index: DOUBLE>, works_count DOUBLE, is_in_doaj BOOLEAN"
+    s = rows.select(key, F.from_json("payload", shape).alias("s")).select(key, "s.*")
+    one = lambda name, value: F.struct(F.lit(name).alias("metric"), value.alias("value"))
+    metrics = F.array(
+        one("2yr_mean_citedness", F.col("summary_stats.2yr_mean_citedness")), one("h_index", F.col("summary_stats.h_index")), one("works_count", F.col("works_count")), one("is_in_doaj", F.when(F.col("is_in_doaj"), 1.0))
+    )
+    return s.select(key, F.get("issn", F.lit(0)).alias("issn"), F.get("issn", F.lit(1)).alias("eissn"), F.inline(F.filter(metrics, lambda m: m["value"].isNotNull())))
+
+
+def enriched(works: DataFrame, cached: DataFrame, first: DataFrame, second: DataFrame, ranked: DataFrame) -> DataFrame:
+    """Each work with where its record came from: the cache, the first source, the second one, or none."""
+    named = lambda df, name: df.dropDuplicates(["work_id"]).select("work_id", F.col("title").alias(f"{name}_title"), F.lit(True).alias(name))
+    rows = works
+    for name, df in (("cached", cached), ("first", first), ("second", second)):
+        rows = rows.join(named(df, name), "work_id", "left")
+    status = F.when(~F.col("doi").rlike("^10\\.\\d{4,}/.+"), "invalid_doi").when(F.col("cached"), "cached").when(F.col("first"), "available").when(F.col("second"), "second_only").otherwise("unavailable")
+    title = F.coalesce("cached_title", "first_title", "second_title")
+    return rows.join(ranked, "issn", "left").select("work_id", "doi", status.alias("status"), title.alias("title"), F.coalesce("ranked", F.lit(False)).alias("ranked"))

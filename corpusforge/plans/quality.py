@@ -51,6 +51,10 @@ def q9(spark, d):
     return table(spark, d, "documents").where("trim(text) <> ''").select("doc_id", F.round(Q.length_score(n), 6).alias("length_score"), F.round(Q.language_score(r), 6).alias("language_score"))
 
 
+def _four(x: str) -> str:
+    return f"floor({x}::DOUBLE * 10000 + 0.5::DOUBLE) / 10000::DOUBLE"
+
+
 def _q(s: str) -> str:
     return s.replace("'", "''")
 
@@ -134,7 +138,7 @@ def _report_sql(source: str, keys: str) -> str:
     r AS (SELECT *, n = 0 AND NOT titled AS nothing FROM p),
     i AS (SELECT *, CASE WHEN nothing THEN ['text_too_short', 'title_missing'] ELSE {issues} END AS issues, CASE WHEN nothing THEN 0 ELSE greatest(0, least(100, round_even(raw, 0)::INT)) END AS score FROM r)
     SELECT {keys}, score, array_to_string(issues, ',') AS issues, NOT list_has_any(issues, ['script_placeholder', 'login_required', 'captcha_detected']) AND score >= 35 AND n >= 200 AND nv >= 1 AS complete,
-      n AS analysis_length, nv AS n_valid, round(nr, 4) AS nav_ratio, round(dr, 4) AS dup_ratio, round(lr, 4) AS lang_ratio FROM i"""
+      n AS analysis_length, nv AS n_valid, {_four('nr')} AS nav_ratio, {_four('dr')} AS dup_ratio, {_four('lr')} AS lang_ratio FROM i"""
 
 
 _TAGLESS = "html"
@@ -144,7 +148,8 @@ _SEEN = f"trim(regexp_replace(regexp_replace(regexp_replace({_TAGLESS}, '<[^>]+>
 
 
 def _report_rows(found, key):
-    rounded = [F.round(c, 4).alias(c) for c in ("nav_ratio", "dup_ratio", "lang_ratio")]
+    # Engines differ in how they round a half, so both sides do it by floor.
+    rounded = [(F.floor(F.col(c) * 10000 + 0.5) / 10000.0).alias(c) for c in ("nav_ratio", "dup_ratio", "lang_ratio")]
     return found.select(key, "score", F.array_join("issues", ",").alias("issues"), "complete", "analysis_length", "n_valid", *rounded)
 
 

@@ -106,52 +106,47 @@ def win5(spark, d):
     return R.top(R.fuse(R.top(_bm25(spark, d), R.POOL), R.top(_vectors(spark, d).where("false"), R.POOL)), 10)
 
 
-PAIRS = "list_distinct(list_transform(range(1, length({0})), lambda i: substr({0}, i, 2)))"
+PAIRS = "list_distinct(list_transform(list_zip(string_split({0}, '')[:-2], string_split({0}, '')[2:]), lambda p: p[1] || p[2]))"
 DICE = f"2.0 * len(list_intersect({PAIRS.format('x')}, {PAIRS.format('y')})) / (len({PAIRS.format('x')}) + len({PAIRS.format('y')}))"
 
 
 @query(
     "win4_rerank_dice",
     f"""WITH {HYBRID}, o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS old FROM fu),
-    p AS (SELECT o.*, left(coalesce(b.text, ''), 200) AS x, left(coalesce(t.text, ''), 200) AS y FROM o LEFT JOIN benchmark b ON b.item_id = qid LEFT JOIN documents t USING (doc_id)),
+    p AS (SELECT o.*, coalesce(b.text, '') AS x, coalesce(t.text, '') AS y FROM o LEFT JOIN benchmark b ON b.item_id = qid LEFT JOIN documents t USING (doc_id)),
     r AS (SELECT *, CASE WHEN old <= 20 THEN coalesce(round({DICE}, 6), 0) END AS rerank FROM p)
     SELECT qid, doc_id, score, old, rerank, row_number() OVER (PARTITION BY qid ORDER BY rerank DESC NULLS LAST, old) AS rank FROM r""",
 )
 def win4(spark, d):
-    texts = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.substring("text", 1, 200).alias("x"))
-    docs = _docs(spark, d).select("doc_id", F.substring("text", 1, 200).alias("y"))
+    texts = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("x"))
+    docs = _docs(spark, d).select("doc_id", F.col("text").alias("y"))
     pairs = _hybrid(spark, d).join(texts, "qid", "left").join(docs, "doc_id", "left")
     return R.rerank(pairs, F.round(dice(F.coalesce("x", F.lit("")), F.coalesce("y", F.lit(""))), 6)).select("qid", "doc_id", "score", "old", "rerank", "rank")
 
 
 @query(
     "j22_knowledge_gaps",
-    f"WITH {TF}, q AS (SELECT item_id, unnest({DOC_WORDS}) AS term FROM benchmark WHERE item_id % 2 = 0 UNION ALL SELECT 1000 + item_id, 'zz' || item_id || 'q' FROM benchmark) SELECT DISTINCT item_id FROM q WHERE item_id NOT IN (SELECT item_id FROM q JOIN tf USING (term))",
+    f"WITH {TF}, q AS (SELECT item_id, unnest({DOC_WORDS}) AS term FROM benchmark UNION ALL SELECT -1 - item_id, 'zz' || item_id || 'q' FROM benchmark) SELECT DISTINCT item_id FROM q WHERE item_id NOT IN (SELECT item_id FROM q JOIN tf USING (term))",
 )
 def j22(spark, d):
+    """Questions without a hit: of all items, and of one made-up word for each."""
     items = table(spark, d, "benchmark")
-    asked = items.where("item_id % 2 = 0").select("item_id", "text").union(items.select(F.col("item_id") + 1000, F.concat(F.lit("zz"), "item_id", F.lit("q"))))
-    hits = R.bm25(_docs(spark, d), asked).select(F.col("qid").alias("item_id")).distinct()
-    return asked.select("item_id").distinct().join(hits, "item_id", "left_anti")
+    asked = items.select("item_id", "text").union(items.select(-1 - F.col("item_id"), F.concat(F.lit("zz"), "item_id", F.lit("q"))))
+    return R.without_hits(_docs(spark, d), asked)
 
 
-KW = "(SELECT item_id, list_sort(list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: length(w) > 6)))[1:5] AS kw FROM benchmark)"
+KW = "(SELECT item_id, unnest(list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> ''))) AS k FROM benchmark)"
 
 
 @query(
     "a5_keyword_scores",
-    f"""WITH s AS (SELECT item_id AS qid, doc_id, list_sum(list_transform(kw, lambda k: (length(lower(text)) - length(replace(lower(text), k, ''))) // length(k)))::BIGINT AS hits FROM {KW}, documents WHERE item_id < 10)
-    SELECT qid, doc_id, hits, round(hits / max(hits) OVER (PARTITION BY qid), 2) AS relevance FROM s WHERE hits > 0""",
+    f"""WITH q AS {KW}, n AS (SELECT k, doc_id, (length(low) - length(replace(low, k, ''))) // length(k) AS n FROM (SELECT DISTINCT k FROM q), (SELECT doc_id, lower(text) AS low FROM documents)),
+    s AS (SELECT item_id AS qid, doc_id, sum(n)::BIGINT AS hits FROM q JOIN (SELECT * FROM n WHERE n > 0) USING (k) GROUP BY ALL)
+    SELECT qid, doc_id, hits, round(hits / max(hits) OVER (PARTITION BY qid), 2) AS relevance FROM s""",
 )
 def a5(spark, d):
-    from pyspark.sql import Window
-
-    words = F.slice(F.array_sort(F.array_distinct(F.filter(F.split(F.lower("text"), "\\s+"), lambda w: F.length(w) > 6))), 1, 5)
-    asked = table(spark, d, "benchmark").where("item_id < 10").agg(F.collect_list(F.struct("item_id", words.alias("kw"))).alias("asked")).withColumn("one", F.lit(1))
-    rows = _docs(spark, d).withColumn("one", F.lit(1)).join(F.broadcast(asked), "one").select("doc_id", F.lower("text").alias("low"), F.explode("asked").alias("q"))
-    hits = F.aggregate("q.kw", F.lit(0.0), lambda acc, k: acc + occurrences(F.col("low"), k)).cast("long")
-    scored = rows.select(F.col("q.item_id").alias("qid"), "doc_id", hits.alias("hits")).where("hits > 0")
-    return scored.withColumn("relevance", F.round(F.col("hits") / F.max("hits").over(Window.partitionBy("qid")), 2))
+    """How often each item's words occur in each document, as parts of words too; all items and all their words."""
+    return R.keyword_scores(_docs(spark, d), table(spark, d, "benchmark"))
 
 
 @query(

@@ -23,9 +23,14 @@ SELECT doc_id, concat('doc-', doc_id) AS stem,
       CASE WHEN doc_id % 23 = 0 THEN 'memo' ELSE 'note' END, chr(10),
       CASE WHEN doc_id % 13 = 0 THEN '' ELSE concat('tags: [', lang, ', ', source, ']', chr(10)) END,
       CASE WHEN doc_id % 31 = 0 THEN '' ELSE concat('---', chr(10)) END) END,
-    '# ', replace(substr(text, 1, 40), chr(10), ' '), chr(10), chr(10), substr(text, 1, 600), chr(10), chr(10), substr(text, 601, 600), chr(10), chr(10),
-    '[[doc-', (doc_id * 7 + 3) % 1005, ']] [[doc-', (doc_id * 11 + 1) % 1000, '|label]] `[[ignored]]` [[a/b]]') AS page_text
-FROM {documents}
+    CASE WHEN doc_id % 6 = 0 THEN concat('doi: 10.1234/d', doc_id, chr(10)) ELSE '' END,
+    '# ', replace(substr(text, 1, 40), chr(10), ' '), CASE WHEN doc_id % 12 = 5 THEN ' news' ELSE '' END, chr(10), chr(10),
+    CASE WHEN doc_id % 25 = 2 THEN concat('Table of Contents', chr(10), chr(10)) ELSE '' END,
+    replace(text, chr(10), concat(chr(10), chr(10))), chr(10), chr(10),
+    CASE WHEN doc_id % 10 = 1 THEN concat('arXiv:2401.', lpad(CAST(doc_id % 100000 AS STRING), 5, '0'), chr(10), chr(10)) ELSE '' END,
+    '![chart](img/c', doc_id % 7, '.png "Chart") ![logo](https://cdn.example.org/l', doc_id % 3, '.png) [source](https://site', doc_id % 50, '.example.org/p/', doc_id, ')', CASE WHEN doc_id % 14 = 3 THEN concat(' PMID: ', 10000000 + doc_id) ELSE '' END, chr(10), chr(10),
+    '[[doc-', (doc_id * 7 + 3) % (n_docs + 5), ']] [[doc-', (doc_id * 11 + 1) % n_docs, '|label]] `[[ignored]]` [[a/b]]') AS page_text
+FROM (SELECT *, (SELECT count(*) FROM {documents}) AS n_docs FROM {documents}) AS counted
 """
 
 def _check(seven: str) -> str:
@@ -56,9 +61,9 @@ SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'CSSCI' WHEN 1 THEN 'PKU_CORE'
 FROM {_PARTS}
 """
 
-#: The first two lines of every order as bibliographic works.
+#: Every line of every order as a bibliographic work.
 WORKS = f"""
-SELECT concat('w', l_orderkey, '-', l_linenumber) AS work_id, l_orderkey AS n, c_custkey AS author_key, CAST(l_orderkey % 5 + 1 AS INT) AS n_authors,
+SELECT concat('w', l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey) AS work_id, l_orderkey AS n, c_custkey AS author_key, CAST(l_orderkey % 5 + 1 AS INT) AS n_authors,
   concat(CASE WHEN l_orderkey % 5 = 0 THEN 'https://doi.org/' WHEN l_orderkey % 5 = 1 THEN 'DOI: ' ELSE '' END, '10.', 1000 + l_suppkey % 9000, '/O', l_orderkey, '.', l_linenumber) AS doi,
   concat(p_name, ' in ', lower(c_mktsegment)) AS title,
   CASE l_orderkey % 3 WHEN 0 THEN {_JOURNAL} WHEN 1 THEN upper({_JOURNAL}) ELSE concat({_JOURNAL}, 'x') END AS journal_name,
@@ -70,7 +75,6 @@ SELECT concat('w', l_orderkey, '-', l_linenumber) AS work_id, l_orderkey AS n, c
   p_brand AS publisher, CASE WHEN l_orderkey % 50 = 0 THEN 'thesis' ELSE 'article-journal' END AS pub_type,
   CAST(l_orderkey % 120 AS INT) AS cited_by_count, l_orderkey % 9 = 0 AS needs_review, l_orderkey % 37 = 0 AS locked
 FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey JOIN {{customer}} ON o_custkey = c_custkey JOIN {_PARTS} ON l_partkey = p_partkey
-WHERE l_linenumber <= 2
 """
 
 # Two digits for the place on the page, then the link; @ becomes a number of the page.
@@ -83,16 +87,22 @@ _LINK_SHAPES = (
 LINKS = f"""
 SELECT page_id, CAST(substr(shape, 1, 2) AS INT) AS pos, replace(substr(shape, 3), '@', CAST(page_id % 50 AS STRING)) AS url
 FROM (SELECT page_id, explode(array({", ".join(f"'{i:02d}{u}'" for i, u in enumerate(_LINK_SHAPES))})) AS shape FROM {{pages}}) AS shapes
+UNION ALL
+SELECT page_id, 100 + nth AS pos, CASE WHEN href LIKE '/%' THEN concat(regexp_extract(url, '^([a-z]+://[^/?#]*)', 1), href) ELSE href END AS url
+FROM (SELECT page_id, url, @hrefs@ FROM {{pages}}) AS linked
 """
+#: Numbered links of a page's own HTML; engines differ in how they number what an array holds.
+_HREFS = "regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)"
+_NUMBERED = f"posexplode({_HREFS}) AS (nth, href)", f"unnest({_HREFS}) AS href, CAST(generate_subscripts({_HREFS}, 1) - 1 AS INT) AS nth"
 
 HTML_MEDIA = """
-SELECT page_id, url, replace(CASE page_id % 6
+SELECT page_id, url, concat(html, replace(CASE page_id % 6
   WHEN 0 THEN '<p><img srcset="/a-480.jpg 480w, /b-@.jpg 1024w" src="/p.gif"></p>'
   WHEN 1 THEN '<img data-src="/img/@.png" src="data:image/gif;base64,R0"><img src="//cdn.example/x.webp">'
   WHEN 2 THEN '<img src="/pixel.gif" width="1" height="1"><img src="/ok.png" width="2px"><img src="pic/@.png" width="640">'
   WHEN 3 THEN '<video src="https://cdn.example/@.mp4"></video><source src="/alt/@.webm"><a href="https://youtu.be/@">v</a>'
   WHEN 4 THEN '<iframe src="https://player.vimeo.com/video/@"></iframe><iframe src="https://ads.example/f"></iframe>'
-  ELSE '<div style="background-image:url(/bg/@.jpg)"></div><img src="/loading.gif"><img data-original="https://i.example/@.jpg" src="/blank.gif">' END, '@', CAST(page_id AS STRING)) AS media
+  ELSE '<div style="background-image:url(/bg/@.jpg)"></div><img src="/loading.gif"><img data-original="https://i.example/@.jpg" src="/blank.gif">' END, '@', CAST(page_id AS STRING))) AS media
 FROM {pages}
 """
 
@@ -104,7 +114,7 @@ FROM (
   FROM (
     SELECT doc_id, CASE doc_id % 14 WHEN 0 THEN '.pdf' WHEN 1 THEN '.docx' WHEN 2 THEN '.pptx' WHEN 3 THEN '.md' WHEN 4 THEN '.txt' WHEN 5 THEN '.doc' WHEN 6 THEN '.csv' WHEN 7 THEN '.html' WHEN 8 THEN '.py' WHEN 9 THEN '.png' WHEN 10 THEN '.zip' WHEN 11 THEN '.json' WHEN 12 THEN '.ppt' ELSE '.xlsx' END AS ext,
       n_chars * (1 + doc_id % 9) AS size_bytes,
-      concat(CASE doc_id % 7 WHEN 0 THEN 'university research ' WHEN 1 THEN '作业 ' WHEN 2 THEN '格式 ' WHEN 3 THEN '项目 ' WHEN 4 THEN 'pattern ' WHEN 5 THEN 'api_key = abcdefghij0123456789xy ' ELSE '' END, substr(text, 1, 200)) AS sample,
+      concat(CASE doc_id % 7 WHEN 0 THEN 'university research ' WHEN 1 THEN '作业 ' WHEN 2 THEN '格式 ' WHEN 3 THEN '项目 ' WHEN 4 THEN 'pattern ' WHEN 5 THEN 'api_key = abcdefghij0123456789xy ' ELSE '' END, text) AS sample,
       CASE doc_id % 8 WHEN 0 THEN 'FFD8FFE000104A464946000101' WHEN 1 THEN '89504E470D0A1A0A0000000D' WHEN 2 THEN '474946383961' WHEN 3 THEN '52494646AABBCCDD57454250' WHEN 4 THEN '0000001C6674797061766966' WHEN 5 THEN '20203C737667' WHEN 6 THEN '3C3F786D6C20' ELSE '25504446' END AS magic
     FROM {documents}
   ) AS a
@@ -148,11 +158,12 @@ TABLES = ("documents", "part", "events", "pages", "lineitem", "orders", "custome
 
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     used = {t: table(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in sql}
-    return spark.sql(sql, **used)
+    return spark.sql(sql.replace("@hrefs@", _NUMBERED[0]), **used)
 
 
 def duck(sql: str) -> str:
     """The same view for DuckDB."""
+    sql = sql.replace("@hrefs@", _NUMBERED[1])
     for t in TABLES:
         sql = sql.replace("{" + t + "}", t)
     return sql.replace("AS STRING", "AS VARCHAR").replace("explode(array(", "unnest(list_value(")
