@@ -12,6 +12,7 @@ other columns are ignored; empty tables give empty results. Texts are read whole
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -44,8 +45,8 @@ def powers(n: int, base: np.uint64) -> np.ndarray:
 
 
 def hashed_grams(data: bytes, bits: int) -> list[np.ndarray]:
-    """Slots of word unigrams, word bigrams, character 3-grams and 4-grams of one text (ASCII lower case)."""
-    raw = np.frombuffer(data.lower(), np.uint8)
+    """Slots of word unigrams, word bigrams, character 3-grams and 4-grams of one lower-case text."""
+    raw = np.frombuffer(data, np.uint8)
     shift = np.uint64(64 - bits)
     space = np.isin(raw, np.frombuffer(SPACES, np.uint8))
     edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]]).astype(np.int8)))
@@ -62,23 +63,52 @@ def hashed_grams(data: bytes, bits: int) -> list[np.ndarray]:
     return [x.astype(np.int64) for x in out]
 
 
+#: Long texts go in pieces of about so many bytes, cut at white space; a word of more than two pieces is cut at that length.
 PIECE = 1 << 20
+_SPACE = re.compile(rb"[ \t\n\x0b\x0c\r]")
 
 
-def gram_vector(data: bytes, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Slots and values: each kind's shares, so a text of any length has the same total. Long texts go in pieces."""
-    counts = np.zeros((4, 1 << bits), np.float64)
-    at = 0
+def pieces(data: bytes, size: int = 0) -> Iterator[tuple[int, int]]:
+    """Start and end of each piece; a piece ends before white space."""
+    size, at = size or PIECE, 0
     while at < len(data):
-        end = min(len(data), at + PIECE)
-        while end < len(data) and data[end] not in SPACES and end - at < 2 * PIECE:
-            end += 1
-        for kind, slots in enumerate(hashed_grams(data[at:end], bits)):
-            if len(slots):
-                counts[kind] += np.bincount(slots, minlength=1 << bits)
+        end = min(len(data), at + size)
+        if end < len(data):
+            space = _SPACE.search(data, end, min(len(data), at + 2 * size))
+            end = space.start() if space else min(len(data), at + 2 * size)
+        yield at, end
         at = end
+
+
+def gram_shares(data: bytes, bits: int, piece: int = 0) -> np.ndarray:
+    """For each slot the sum of the four kinds' shares, so a text of any length has the same total.
+
+    Grams that cross the edge of two pieces count: the second one begins with the last word of the first (for word pairs), or
+    with its last three bytes (for character grams), and what lies wholly in those isn't counted again.
+    """
+    low, size = data.lower(), piece or PIECE
+    if len(low) <= size:
+        kinds = [k for k in hashed_grams(low, bits) if len(k)]
+        weights = [np.full(len(k), 1 / len(k)) for k in kinds]
+        return np.bincount(np.concatenate(kinds), np.concatenate(weights), minlength=1 << bits) if kinds else np.zeros(1 << bits)
+    counts = np.zeros((4, 1 << bits))
+    last = b""
+    for at, end in pieces(low, size):
+        own = low[at:end]
+        words, pairs, _, _ = hashed_grams(own, bits)
+        joint = hashed_grams(last + b" " + own, bits)[1]
+        threes, fours = hashed_grams(low[max(0, at - 2) : end], bits)[2], hashed_grams(low[max(0, at - 3) : end], bits)[3]
+        for kind, slots in enumerate((words, joint if last else pairs, threes, fours)):
+            counts[kind] += np.bincount(slots, minlength=1 << bits)
+        found = own.rsplit(None, 1)
+        last = found[-1] if found else last
     total = counts.sum(axis=1, keepdims=True)
-    shares = np.divide(counts, total, out=np.zeros_like(counts), where=total > 0).sum(axis=0)
+    return np.divide(counts, total, out=np.zeros_like(counts), where=total > 0).sum(axis=0)
+
+
+def gram_vector(data: bytes, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Slots and values of a text."""
+    shares = gram_shares(data, bits)
     at = np.flatnonzero(shares)
     return at.astype(np.int32), np.sqrt(shares[at]).astype(np.float32)
 
@@ -94,8 +124,7 @@ class HashedModel:
     bits: int
 
     def score(self, text: str | None) -> float:
-        slots, values = gram_vector((text or "").encode("utf-8", "surrogatepass"), self.bits)
-        raw = float(self.weights[slots] @ values) + self.bias
+        raw = float(self.weights @ np.sqrt(gram_shares((text or "").encode("utf-8", "surrogatepass"), self.bits))) + self.bias
         return float(sigmoid(np.array(self.scale * raw + self.shift)))
 
 
