@@ -1,9 +1,10 @@
 """URL filters: list rules first, then gradient-boosted trees on lexical features.
 
-DataFrame and ML-pipeline operations only. The trees are trained on labelled URLs: by default those
-that a rule judges and those whose host names a known kind of unwanted site. The number of training
-rows is bounded by ``sample_rows``, taken evenly from both classes by a hash of the URL; suffix
-statistics are counted over all labelled URLs.
+DataFrame and ML-pipeline operations only. The trees are trained on labelled URLs: by default a URL is unwanted
+if its host names a known kind of unwanted site, and wanted if not; the rules' verdicts are no labels, as they don't say
+what a page is. The number of training rows is bounded by ``sample_rows``, taken evenly from both classes by a hash of
+the distinct URLs. Suffix statistics are counted over all labelled URLs but those of a host's own fold, so no host's label
+comes back to it that way.
 
 Defined cases: a null URL or one without ``://`` has empty host and path, fits no rule, and is judged
 by its (empty) features; without labelled URLs of both kinds the method allows; repeated rows get the
@@ -29,9 +30,13 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-#: Host words that label a URL as unwanted where no rule judges it; host words of usual sites.
-UNWANTED = ("pills", "casino", "adult", "porn", "viagra", "xxx", "bet365", "poker")
-FEATURES = ("url_chars", "host_chars", "path_chars", "query_chars", "depth", "labels", "digit_ratio", "hyphens", "params", "entropy", "tail_digits", "has_fragment", "is_https", "suffix_share", "suffix_log_n")
+#: Host words that label a URL as unwanted.
+UNWANTED = ("pills", "casino", "adult", "porn", "viagra", "xxx", "bets", "bet365", "poker", "jackpot", "escort", "replica", "payday", "spam", "ads-", "adserver", "tracker")
+#: The suffixes' table is broadcast while it has at most so many rows; beyond that its join is salted.
+BROADCAST_ROWS = 200_000
+FOLDS, SALTS = 5, 16
+#: None tells one host from all others: trees that know a few hosts by heart say nothing of new ones.
+FEATURES = ("url_chars", "path_chars", "query_chars", "depth", "labels", "digit_ratio", "hyphens", "params", "entropy", "tail_digits", "has_fragment", "is_https", "suffix_share", "suffix_log_n")
 
 
 def host_of(url: Column) -> Column:
@@ -68,45 +73,62 @@ def lexical(urls: DataFrame) -> DataFrame:
     return urls.withColumns(
         {
             "suffix": F.array_join(F.slice(F.split(host, "\\."), F.greatest(F.size(F.split(host, "\\.")) - 1, F.lit(1)), F.lit(2)), "."),
-            "url_chars": double(F.length(url)), "host_chars": double(F.length(host)), "path_chars": double(F.length(path)), "query_chars": double(F.length(query)),
+            "url_chars": double(F.length(url)), "path_chars": double(F.length(path)), "query_chars": double(F.length(query)),
             "depth": double(F.size(F.split(path, "/"))), "labels": double(F.size(F.split(host, "\\."))),
             "digit_ratio": digits / F.greatest(F.length(url), F.lit(1)),
             "hyphens": double(F.length(host) - F.length(F.replace(host, F.lit("-")))),
             "params": F.when(query == "", 0.0).otherwise(double(F.size(F.split(query, "&")))),
-            "entropy": _entropy(host), "tail_digits": double(F.length(F.regexp_extract(path, "([0-9]*)[^0-9]*$", 1))),
+            "entropy": _entropy(url), "tail_digits": double(F.length(F.regexp_extract(path, "([0-9]*)[^0-9]*$", 1))),
             "has_fragment": double(url.contains("#").cast("int")), "is_https": double(url.startswith("https:").cast("int")),
         }
     )
 
 
-def default_labels(host: Column, verdict: Column) -> Column:
-    """1 block, 0 allow, null unknown: unwanted host words first, then the rules' verdicts."""
+def default_labels(host: Column) -> Column:
+    """1 if the host names a known kind of unwanted site, else 0; null without a host."""
     unwanted = F.lit(False)
     for word in UNWANTED:
         unwanted = unwanted | host.contains(word)
-    return F.when(unwanted, 1.0).when(verdict == "block", 1.0).when(verdict == "allow", 0.0)
+    return F.when(host != "", unwanted.cast("double"))
 
 
-def judge_urls(pages: DataFrame, label: Column | None = None, rules=RULES, sample_rows: int = 4000, trees: int = 8, depth: int = 4, keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
+def suffix_statistics(labelled: DataFrame) -> DataFrame:
+    """(suffix, fold, suffix_share, suffix_log_n): the share of unwanted URLs and the number of URLs, without the hosts of that fold."""
+    own = labelled.groupBy("suffix", "fold").agg(F.sum("label").alias("own_bad"), F.count("*").alias("own_n"))
+    every = own.groupBy("suffix").agg(F.sum("own_bad").alias("bad"), F.sum("own_n").alias("n"))
+    folds = every.withColumn("fold", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(FOLDS - 1).cast("long"))))
+    rest = folds.join(own, ["suffix", "fold"], "left").select("suffix", "fold", (F.col("bad") - F.coalesce("own_bad", F.lit(0.0))).alias("bad"), (F.col("n") - F.coalesce("own_n", F.lit(0))).alias("n"))
+    return rest.select("suffix", "fold", ((F.col("bad") + 1) / (F.col("n") + 2)).alias("suffix_share"), F.log1p("n").alias("suffix_log_n"))
+
+
+def judge_urls(pages: DataFrame, label: Column | None = None, rules=RULES, sample_rows: int = 4000, trees: int = 8, depth: int = 3, keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """host, path, rule, verdict and the trees' score for every row of ``pages`` (url).
 
-    ``label`` gives 1.0 (block), 0.0 (allow) or null from host, path and rule verdict.
+    ``label`` gives 1.0 (block), 0.0 (allow) or null from url, host, path and suffix.
     """
     named = [F.col(k).alias(f"kept_{k}") for k in keep]
     rows = lexical(pages.select(*named, "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")))
-    rows = rows.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
-    rows = rows.withColumn("label", default_labels(F.col("host"), F.col("fit.verdict")) if label is None else label)
+    rows = rows.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules)).withColumn("fold", F.pmod(F.xxhash64("host"), F.lit(FOLDS)))
+    rows = rows.withColumn("label", default_labels(F.col("host")) if label is None else label)
     rows = checkpointed(rows)
     labelled = rows.where("label is not null")
-    suffixes = labelled.groupBy("suffix").agg(F.sum("label").alias("bad"), F.count("*").alias("n"))
-    known = suffixes.select("suffix", ((F.col("bad") + 1) / (F.col("n") + 2)).alias("suffix_share"), F.log1p("n").alias("suffix_log_n"))
+    known = checkpointed(suffix_statistics(labelled))
+    small = known.count() <= BROADCAST_ROWS
 
     def with_suffix(df: DataFrame) -> DataFrame:
-        return df.join(known, "suffix", "left").fillna({"suffix_share": 0.5, "suffix_log_n": 0.0})
+        if small:
+            joined = df.join(F.broadcast(known), ["suffix", "fold"], "left")
+        else:
+            salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+            joined = df.withColumn("salt", F.pmod(F.xxhash64("url"), F.lit(SALTS))).join(salted, ["suffix", "fold", "salt"], "left").drop("salt")
+        return joined.fillna({"suffix_share": 0.5, "suffix_log_n": 0.0})
 
     assemble = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
     half = sample_rows // 2
-    taken = [labelled.where(F.col("label") == v).orderBy(F.xxhash64("url"), "url", *[f"kept_{k}" for k in keep]).limit(half) for v in (0.0, 1.0)]
+    # Repeated URLs count once, so that one of them can't fill a class.
+    wanted = ["label", "url", "suffix", "fold", *(f for f in FEATURES if not f.startswith("suffix_"))]
+    distinct = labelled.select(*wanted).dropDuplicates(["url"])
+    taken = [distinct.where(F.col("label") == v).orderBy(F.xxhash64("url"), "url").limit(half) for v in (0.0, 1.0)]
     sample = checkpointed(assemble.transform(with_suffix(taken[0].union(taken[1]))).select("features", "label"))
     shown = [F.col(f"kept_{k}").alias(k) for k in keep]
     listed = F.col("fit.verdict")
