@@ -1,10 +1,11 @@
 """Sharding by vector bin packing over bytes, tokens and rows.
 
 Equal texts form a group, and a group goes to one shard unless it is so large that shards couldn't be
-near equal in size; such a group is cut into pieces by a hash of its rows. Small groups are first
-bundled by a hash of their text. Bundles and pieces are a bounded number of units, whose loads are
-counted exactly over all rows; each unit, largest first, goes where the dot product of its load with
-the shards' residual capacity is highest. The law that holds is ``bytes``: sizes are near equal.
+near equal in size; such a group is cut into pieces by a hash of its rows' numbers in the input's files, so equal
+rows spread, too. What is placed are not single groups: small groups are first bundled by a hash of their text. Bundles and
+pieces are a bounded number of units, whose loads are counted exactly over all rows; each unit, largest first,
+goes where the dot product of its load with the shards' residual capacity is highest. The law that holds is ``bytes``: sizes
+are near equal. They differ by one unit at most: by 1/1024 of all bytes for 16 shards, or one text if that is larger.
 
 Defined cases: a null text has no bytes (size 1) and an unsigned crc of 0; null ids are placed like any
 other; repeated rows are rows of their own, each with its own slot; empty tables give an empty result;
@@ -51,6 +52,7 @@ def shard_documents(documents: DataFrame, shards: int = 16, bundles: int = 4096,
             F.size(F.array_remove(F.split(text, "[ \\t-\\r]+"), "")).cast("long").alias("tokens"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
             F.xxhash64(text).alias("group"),
+            F.monotonically_increasing_id().alias("row"),
         )
     )
     total = rows.agg(F.sum("size").alias("size"), F.count("*").alias("n")).first()
@@ -63,22 +65,21 @@ def shard_documents(documents: DataFrame, shards: int = 16, bundles: int = 4096,
         .where((F.col("n") > 1) & ((F.col("s") > part_size) | (F.col("n") > part_rows)))
         .select("group", F.greatest(F.ceil(F.col("s") / part_size), F.ceil(F.col("n") / part_rows)).alias("cuts"))
     )
-    # Rows of a cut group are told apart by id; a text_crc32 and an id that repeat together stay together.
     unit = F.when(F.col("cuts").isNull(), F.struct(F.lit(0).cast("long").alias("group"), F.pmod("group", F.lit(bundles)).alias("piece"))).otherwise(
-        F.struct(F.col("group").alias("group"), F.pmod(F.xxhash64("doc_id"), F.col("cuts")).alias("piece"))
+        F.struct(F.col("group").alias("group"), F.pmod(F.xxhash64("row"), F.col("cuts")).alias("piece"))
     )
-    marked = rows.join(F.broadcast(hot), "group", "left").select("doc_id", "size", "tokens", "text_crc32", unit.alias("unit"))
+    marked = rows.join(F.broadcast(hot), "group", "left").select("doc_id", "size", "tokens", "text_crc32", "row", unit.alias("unit"))
     units = marked.groupBy("unit").agg(F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count("*").alias("n")).collect()
     units.sort(key=lambda u: tuple(u.unit))
     # Bytes are the law, so they weigh most; tokens and rows decide between shards that are alike in them.
     loads = np.array([[u.size, u.size, u.tokens, u.n] for u in units], np.float64)
     placed = documents.sparkSession.createDataFrame([((u.unit.group, u.unit.piece), int(s)) for u, s in zip(units, place(loads, shards), strict=True)], "unit struct<group:bigint,piece:bigint>, shard int")
-    homed = marked.join(F.broadcast(placed), "unit").withColumn("slice", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(slices)))
+    homed = marked.join(F.broadcast(placed), "unit").withColumn("slice", F.pmod(F.xxhash64("row"), F.lit(slices)))
     # Slots: numbers within a slice of a shard, after the rows of the slices before it.
     counts = homed.groupBy("shard", "slice").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    number = F.row_number().over(Window.partitionBy("shard", "slice").orderBy("doc_id", "text_crc32", "size"))
+    number = F.row_number().over(Window.partitionBy("shard", "slice").orderBy("doc_id", "text_crc32", "size", "row"))
     return (
         homed.withColumn("number", number).join(F.broadcast(offsets), ["shard", "slice"])
         .select("doc_id", "size", "tokens", "text_crc32", "shard", (F.col("first") + F.col("number") - 1).cast("long").alias("slot"))
