@@ -3,7 +3,7 @@
 Each line is good or bad. Its features describe the line and its neighbours; transitions link it to the
 line before. Labels exist per document only, so lines of good documents are good, and lines of bad ones
 are bad where a first, unlinked model finds them so (the worst line always). The field is fitted on
-a bounded sample of labelled rows (``sample_rows``). A text's score is the length-weighted mean of its
+a bounded sample of labelled rows (``sample_rows``, ``sample_lines`` of each). A text's score is the length-weighted mean of its
 lines' forward-backward marginals, calibrated against the documents' labels.
 
 Defined cases: a null text is an empty one; a text without a word scores the labels' mean; without
@@ -46,17 +46,40 @@ def line_features(line: bytes, seen: set[int]) -> list[float]:
     ]
 
 
-def document_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """(lines x features) with the neighbours' features, and the lines' lengths; lines without a word are left out."""
+def own_features(text: str | None, block: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(lines x own features) and the lines' lengths, in blocks of lines; lines without a word are left out."""
     seen: set[int] = set()
-    lines = [x for x in (text or "").encode("utf-8", "surrogatepass").split(b"\n") if x.split(None, 1)]
-    own = np.array([line_features(x, seen) for x in lines], np.float64).reshape(-1, OWN)
+    rows: list[list[float]] = []
+    sizes: list[int] = []
+    for line in (text or "").encode("utf-8", "surrogatepass").split(b"\n"):
+        if line.split(None, 1):
+            rows.append(line_features(line, seen))
+            sizes.append(len(line))
+            if len(rows) == block:
+                yield np.array(rows, np.float64), np.array(sizes, np.float64)
+                rows, sizes = [], []
+    if rows:
+        yield np.array(rows, np.float64), np.array(sizes, np.float64)
+
+
+def document_features(text: str | None, most: int | None = None, run: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """(lines x features) with the neighbours' features, and the lines' lengths.
+
+    Of a text with more than ``most`` lines, runs of ``run`` lines at even distances are taken, about ``most`` lines in all.
+    """
+    blocks = list(own_features(text))
+    own = np.vstack([b[0] for b in blocks]) if blocks else np.zeros((0, OWN))
+    lengths = np.concatenate([b[1] for b in blocks]) if blocks else np.zeros(0)
     before, after = np.zeros_like(own), np.zeros_like(own)
     before[1:], after[:-1] = own[:-1], own[1:]
     ends = np.zeros((len(own), 2))
     if len(own):
         ends[0, 0] = ends[-1, 1] = 1
-    return np.hstack([own, before, after, ends]), np.array([len(x) for x in lines], np.float64)
+    at = np.arange(len(own))
+    if most is not None and len(own) > most:
+        starts = np.linspace(0, len(own) - run, max(1, most // run)).astype(np.int64)
+        at = np.unique((starts[:, None] + np.arange(run)).ravel())
+    return np.hstack([own[at], before[at], after[at], ends[at]]), lengths[at]
 
 
 WIDTH = 3 * OWN + 2
@@ -142,23 +165,41 @@ class LineField:
         bad = ((features - self.mean) / self.spread) @ self.weights[:-1] + self.weights[-1]
         return marginals(bad, self.links)
 
+    def bad_lines(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Each line's score for bad and its length; of a block of lines only these numbers are kept."""
+        w = self.weights[:-1] / self.spread
+        parts = np.stack([w[:OWN], w[OWN : 2 * OWN], w[2 * OWN : 3 * OWN]], axis=1)
+        made = [(x @ parts, n) for x, n in own_features(text)]
+        if not made:
+            return np.zeros(0), np.zeros(0)
+        own, lengths = np.vstack([m[0] for m in made]), np.concatenate([m[1] for m in made])
+        bad = own[:, 0] + self.weights[-1] - float(self.mean @ w)
+        bad[1:] += own[:-1, 1]
+        bad[:-1] += own[1:, 2]
+        bad[0] += w[3 * OWN]
+        bad[-1] += w[3 * OWN + 1]
+        return bad, lengths
+
+    def logit(self, good: np.ndarray, lengths: np.ndarray) -> float:
+        share = float((good * lengths).sum() / lengths.sum())
+        return float(np.log((share + 1e-3) / (1 - share + 1e-3)))
+
     def raw(self, features: np.ndarray, lengths: np.ndarray) -> float:
-        good = float((self.good_lines(features) * lengths).sum() / lengths.sum())
-        return float(np.log((good + 1e-3) / (1 - good + 1e-3)))
+        return self.logit(self.good_lines(features), lengths)
 
     def score(self, text: str | None) -> float:
-        features, lengths = document_features(text)
+        bad, lengths = self.bad_lines(text)
         if not len(lengths) or not self.weights.any():
             return self.prior
-        return float(sigmoid(np.array(self.scale * self.raw(features, lengths) + self.shift)))
+        return float(sigmoid(np.array(self.scale * self.logit(marginals(bad, self.links), lengths) + self.shift)))
 
 
-def fit(sample: DataFrame) -> LineField:
-    """Fit on a bounded sample (doc_id, text, label); label 1 is good."""
+def fit(sample: DataFrame, sample_lines: int = 512) -> LineField:
+    """Fit on a bounded sample (doc_id, text, label); label 1 is good. ``sample_lines`` bounds the lines taken of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            made = [document_features(t) for t in batch.column("text").to_pylist()]
+            made = [document_features(t, sample_lines) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("label"), pa.array([m[0].astype(np.float32).tobytes() for m in made], pa.binary()), pa.array([m[1].tobytes() for m in made], pa.binary())],
                 names=["doc_id", "label", "rows", "lengths"],
@@ -191,14 +232,14 @@ def fit(sample: DataFrame) -> LineField:
     return LineField(mean, spread, weights, links, float(scale), float(shift), prior)
 
 
-def classify(documents: DataFrame, labels: DataFrame, sample_rows: int = 1500, folds: int = 3, held: int = 1) -> DataFrame:
+def classify(documents: DataFrame, labels: DataFrame, sample_rows: int = 1500, sample_lines: int = 512, folds: int = 3, held: int = 1) -> DataFrame:
     """doc_id, held_out, score and predicted of every row; fitted on labels outside the held-out fold.
 
-    ``sample_rows`` bounds the labelled rows that the field is fitted on.
+    ``sample_rows`` bounds the labelled rows that the field is fitted on, ``sample_lines`` the lines of each.
     """
     ship(documents.sparkSession)
     sample = labelled_sample(documents, labels, "quality", sample_rows, crc_fold(F.col("doc_id"), folds) != held)
-    sent = documents.sparkSession.sparkContext.broadcast(fit(checkpointed(sample)))
+    sent = documents.sparkSession.sparkContext.broadcast(fit(checkpointed(sample), sample_lines))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = sent.value
