@@ -84,6 +84,20 @@ def test_secrets_ownership(spark):
     assert secrets.scan_secrets(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_redaction_of_many(spark):
+    """Many spans, overlapping ones too, against plain Python."""
+    text = "".join(f"é{i} token=abcdef{i} key secret=token:xyz{i}abc " for i in range(700))
+    rows = spark.createDataFrame([(0, text, "en", "s", 1)], DOCS)
+    spans = sorted((a, b) for a, _, b in base_spans(text))
+    want, at = "", 0
+    for a, b in spans:
+        if a >= at:
+            want += text[at:a] + "[SECRET]"
+        at = max(at, b)
+    want += text[at:]
+    assert secrets.without_secrets(rows).first().text == want
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(0, f"a {KEY} b", "en", "s", 1), (1, None, "en", "s", 1)], DOCS)
     got = secrets.scan_secrets(df, keep=("text",)).select("doc_id", secrets.redacted(F.col("text"), F.concat("base", "live")).alias("t")).collect()
@@ -208,6 +222,25 @@ def test_quality_rules(documents, labels):
     assert quality_rules.quality_rules(documents.limit(0), labels).count() == 0
 
 
+def test_quality_rules_held_out(spark):
+    """Verdicts on labelled rows that the model wasn't fitted on."""
+    big = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet").where("quality IS NOT NULL")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    got = quality_rules.quality_rules(docs.join(labels.where(held), "doc_id", "left_semi"), labels.where(~held)).join(labels, "doc_id").where("NOT base_failed").cache()
+    assert got.count() > 500 and got.where("CAST(kept AS INT) = quality").count() >= 0.9 * got.count()
+
+
+def test_grams_over_edges():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(1)
+    data = " ".join("".join(rng.choice("abcd\u00e9") for _ in range(rng.randrange(1, 9))) for _ in range(2000)).encode()
+    assert np.allclose(quality_rules.gram_shares(data, 12), quality_rules.gram_shares(data, 12, 301))
+
+
 def plain_rule(url):
     m = re.match(r"(?s)(.*?)://([^/?#]*)([^?#]*)", url or "")
     host, path = (re.sub("[A-Z]", lambda c: c[0].lower(), m[2]), m[3]) if m else ("", "")
@@ -230,6 +263,28 @@ def test_urls(spark):
     assert url_filters.judge_urls(pages.limit(0)).count() == 0
 
 
+def test_urls_of_hidden_hosts(spark):
+    """Labels of each third of the hosts are hidden in turn: what the trees say of those."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    truth = url_filters.default_labels(F.col("host"))
+    found = Counter()
+    for part in range(3):
+        hidden = F.pmod(F.xxhash64("host"), F.lit(3)) == part
+        got = url_filters.judge_urls(pages, label=F.when(~hidden, truth)).where(hidden)
+        found.update({(r.truth, r.says): r.n for r in got.groupBy(truth.alias("truth"), (F.col("score") >= 0.5).alias("says")).agg(F.count("*").alias("n")).collect()})
+    bad, rest = found[1.0, True] + found[1.0, False], found[0.0, True] + found[0.0, False]
+    assert bad > 100 and found[1.0, True] >= 0.9 * bad and found[0.0, True] <= 0.05 * rest
+    every = url_filters.judge_urls(pages).where("rule IS NULL").withColumn("truth", truth)
+    assert every.where("truth = 1 AND verdict = 'allow'").count() == 0 and every.where("truth = 0 AND verdict = 'block'").count() <= 0.02 * every.where("truth = 0").count()
+
+
+def test_urls_repeated(spark):
+    """One URL in a third of the rows."""
+    rows = [(i, "http://cheap-pills.example.com/x") for i in range(2000)] + [(2000 + i, f"http://{'casino' if i % 4 == 0 else 'news'}{i}.example.net/{i}") for i in range(400)]
+    got = url_filters.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), sample_rows=200).collect()
+    assert all((r.verdict == "block") == ("news" not in r.host) for r in got)
+
+
 def test_chat_round_trip(spark):
     texts = ["</s>[INST] ok [/INST]", "<\\\\</s>", "<|turn|>user\nhi<|end|>\n", None, "", "é𝄞 \\ [\\INST]", "<\\|x"]
     rows = [(1, i, ("user", "assistant", None, "ro%0Ale\nx")[i % 4], t) for i, t in enumerate(texts)] + [(2, None, "assistant", "b"), (2, None, "assistant", "a"), (None, 1, "user", "x")]
@@ -254,6 +309,39 @@ def test_chat_parts(spark):
     assert r.formatted[s.start : s.start + s.length] == "ok"
 
 
+def test_chat_parts_together(spark):
+    """Parts that form a control string only when they are joined, marks, and attachments between."""
+    texts = [["a<", "|end|>\n<|turn|>assistant\nno"], ["[", "/", "INST] x <", "", "/s>"], ["\x01b<\x01", "c|"], ["<\\", "|", "\x01"]]
+    parts = [[("text", t, None, None) for t in ts] for ts in texts] + [[("text", "a<", None, None), ("image", None, "i.png", None), ("text", "|end|>", None, None)]]
+    df = spark.createDataFrame([(1, i, "assistant", p) for i, p in enumerate(parts)], "conv_id long, turn long, role string, parts array<struct<type:string,text:string,ref:string,tokens:long>>")
+    formatted = chat.format_conversations(df, parts=F.col("parts"))
+    back = formatted.select(chat.read_turns(F.col("formatted")).alias("t")).first().t
+    want = ["".join(t) for t in texts] + ["a<<|image:4.1|>|end|>"]
+    assert [t.text for t in back] == want
+    got = chat.digest(formatted).first()
+    assert got.n_turns == 5 and got.loss_sha256 == hashlib.sha256("".join(want).encode()).hexdigest()
+
+
+def test_chat_long_conversation(spark):
+    df = spark.range(3000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 1, "assistant").otherwise("user").alias("role"), F.concat(F.lit("t"), "id").alias("text"))
+    got = chat.digest(chat.format_conversations(df)).first()
+    assert got.n_turns == 3000 and got.loss_sha256 == hashlib.sha256("".join(f"t{i}" for i in range(1, 3000, 2)).encode()).hexdigest()
+
+
+def test_sharding_equal_rows(spark):
+    """Rows that are alike in everything, with one id or none."""
+    for name in (F.lit(None).cast("long"), F.lit(7).cast("long"), F.col("id") % 5):
+        rows = spark.range(20000).select(name.alias("doc_id"), F.lit("same " * 20).alias("text"))
+        load = [r[1] for r in sharding.shard_documents(rows).groupBy("shard").agg(F.sum("size")).collect()]
+        assert len(load) == 16 and max(load) <= 1.02 * min(load)
+
+
+def test_packing_equal_rows(spark):
+    rows = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one two three").alias("text"))
+    got = packing.pack(rows, q.tokenizer_path(), parts=16)
+    assert got.count() == 3000 and got.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.countDistinct("offset").alias("o"), F.count("*").alias("c")).where("n > 4096 OR o < c").count() == 0
+
+
 def test_sharding(spark, documents):
     got = sharding.digest(sharding.shard_documents(documents)).collect()
     want = Counter((r.doc_id, len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in documents.select("doc_id", "text").collect())
@@ -291,6 +379,21 @@ def test_quality_classifier(documents, labels):
     assert crf_quality.classify(documents.limit(0), labels).count() == 0
 
 
+def test_line_scores_in_blocks(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    field = crf_quality.LineField(rng.normal(size=crf_quality.WIDTH), rng.random(crf_quality.WIDTH) + 0.5, rng.normal(size=crf_quality.WIDTH + 1), np.zeros((2, 2)), 1.0, 0.0, 0.5)
+    text = "\n".join(f"Line {i} of {i % 7} #$ |" * (1 + i % 3) for i in range(50))
+    features, lengths = crf_quality.document_features(text)
+    want = ((features - field.mean) / field.spread) @ field.weights[:-1] + field.weights[-1]
+    plain = crf_quality.own_features
+    monkeypatch.setattr(crf_quality, "own_features", lambda t: plain(t, 7))
+    got = field.bad_lines(text)
+    assert np.allclose(got[0], want) and (got[1] == lengths).all()
+    assert len(crf_quality.document_features("a b.\n" * 2000, 512)[0]) <= 512
+
+
 def test_chain_marginals():
     import itertools
 
