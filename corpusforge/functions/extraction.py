@@ -24,7 +24,7 @@ FIRST_FILES = (
     "README.md", "readme.md", "Readme.md", "SKILL.md", "skill.md", "AGENTS.md", "agents.md", "CLAUDE.md", "claude.md", "COMMANDS.md", "commands.md",
     "package.json", "pyproject.toml", "requirements.txt", "Cargo.toml", "go.mod", "Makefile", "Dockerfile",
 )
-READABLE = ".md .txt .py .js .ts .json .yaml .yml .toml .cfg .ini .html .css .rst .sh .bat .ps1 .c .h .cpp .hpp .rs .go .java .rb".split()
+READABLE = (".md", ".txt", ".py", ".js", ".ts", ".json", ".yaml", ".yml", ".toml", ".cfg", ".ini", ".html", ".css", ".rst", ".sh", ".bat", ".ps1", ".c", ".h", ".cpp", ".hpp", ".rs", ".go", ".java", ".rb")
 LANGUAGES = {".md": "markdown", ".py": "python", ".json": "json", ".yaml": "yaml", ".yml": "yaml"}
 
 

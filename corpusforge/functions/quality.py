@@ -6,13 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Navigation terms that results must agree on.
-NAV_CN = "首页 回到首页 返回首页 登录 注册 立即登录 立即注册 下载App 下载APP 下载客户端 打开App 返回顶部 回到顶部 上一篇 下一篇 上一页 下一页 隐私政策 隐私条款 隐私声明 用户协议 服务条款 使用协议 联系我们 关于我们 商务合作 版权 版权所有 保留所有权利 搜索 导航 菜单 分享到 分享至 转发 收藏 点赞 评论 举报 扫一扫 扫码 二维码 热门推荐 相关推荐 为你推荐 广告 推广".split()
+NAV_CN = (
+    "首页", "回到首页", "返回首页", "登录", "注册", "立即登录", "立即注册", "下载App", "下载APP", "下载客户端", "打开App", "返回顶部", "回到顶部", "上一篇", "下一篇", "上一页", "下一页", "隐私政策", "隐私条款", "隐私声明", "用户协议", "服务条款", "使用协议", "联系我们",
+    "关于我们", "商务合作", "版权", "版权所有", "保留所有权利", "搜索", "导航", "菜单", "分享到", "分享至", "转发", "收藏", "点赞", "评论", "举报", "扫一扫", "扫码", "二维码", "热门推荐", "相关推荐", "为你推荐", "广告", "推广",
+)
 NAV_EN = (
-    "home|back to home|login|log in|sign in|signin|register|sign up|signup|create account|download app|open in app|get the app|back to top|scroll to top|"
-    "previous|next|prev|next page|privacy policy|privacy|privacy statement|terms of service|terms of use|terms and conditions|contact us|about us|about|"
-    "copyright|all rights reserved|search|navigation|menu|sitemap|share|tweet|share to|save|bookmark|like|comment|report|advertisement|sponsored|promoted|"
-    "subscribe|newsletter|follow us|cookie|cookie policy|cookie settings|dark mode|light mode|theme"
-).split("|")
+    "home", "back to home", "login", "log in", "sign in", "signin", "register", "sign up", "signup", "create account", "download app", "open in app", "get the app", "back to top",
+    "scroll to top", "previous", "next", "prev", "next page", "privacy policy", "privacy", "privacy statement", "terms of service", "terms of use", "terms and conditions", "contact us",
+    "about us", "about", "copyright", "all rights reserved", "search", "navigation", "menu", "sitemap", "share", "tweet", "share to", "save", "bookmark", "like", "comment", "report",
+    "advertisement", "sponsored", "promoted", "subscribe", "newsletter", "follow us", "cookie", "cookie policy", "cookie settings", "dark mode", "light mode", "theme",
+)
 #: Windows of these characters alone aren't counted as content.
 MARKS = "[\\s,;:!?.，。；：！？、\"“”‘’'「」『』【】《》（）\\[\\]{}\\-—…·]"
 

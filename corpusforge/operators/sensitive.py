@@ -15,9 +15,9 @@ CRITICAL = (
     ("email", "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}"),
 )
 WARNING = (
-    ("cn_id", "\\b[1-9][0-9]{5}(?:19|20)[0-9]{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01])[0-9]{3}[0-9Xx]\\b"),
-    ("phone_cn", "\\b1[3-9][0-9]{9}\\b"),
-    ("possible_cc", "\\b(?:[0-9][ -]*?){13,19}\\b"),
+    ("cn_id", "\\b[1-9]\\d{5}(?:19|20)\\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\\d|3[01])\\d{3}[\\dXx]\\b"),
+    ("phone_cn", "\\b1[3-9]\\d{9}\\b"),
+    ("possible_cc", "\\b(?:\\d[ -]*?){13,19}\\b"),
 )
 BLOCK = (
     ("api_key", "(?i)sk-[a-zA-Z0-9_-]{32,}"),
@@ -31,10 +31,10 @@ BLOCK = (
     ("url_password", "://[^@\\s]{1,64}:[^@\\s]{1,64}@"),
 )
 WARN = (
-    ("pii_id", "\\b[0-9]{17}[0-9Xx]\\b"),
-    ("pii_phone", "\\b1[3-9][0-9]{9}\\b"),
+    ("pii_id", "\\b\\d{17}[\\dXx]\\b"),
+    ("pii_phone", "\\b1[3-9]\\d{9}\\b"),
     ("pii_email", "[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}"),
-    ("pii_internal_ip", "\\b(?:10\\.[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}|172\\.(?:1[6-9]|2[0-9]|3[01])\\.[0-9]{1,3}\\.[0-9]{1,3}|192\\.168\\.[0-9]{1,3}\\.[0-9]{1,3}):[0-9]+\\b"),
+    ("pii_internal_ip", "\\b(?:10\\.\\d{1,3}\\.\\d{1,3}\\.\\d{1,3}|172\\.(?:1[6-9]|2\\d|3[01])\\.\\d{1,3}\\.\\d{1,3}|192\\.168\\.\\d{1,3}\\.\\d{1,3}):\\d+\\b"),
 )
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusforge.functions import urls as U
 from corpusforge.operators import web as W
+from corpusforge.operators.numbering import numbered
 from corpusforge.plans.registry import query
 from corpusforge.session import table
 from corpusforge.sources import views as V
@@ -213,6 +213,5 @@ def snk4(spark, d):
 
 @query("win12_page_names", "SELECT page_id, n, lpad(n::VARCHAR, 6, '0') || CASE WHEN n = 1 THEN '_MAIN' ELSE '_LINKED' END AS name FROM (SELECT page_id, row_number() OVER (PARTITION BY regexp_extract(url, '^[^:]+://([^/?#]*)', 1) ORDER BY page_id) AS n FROM pages)")
 def win12(spark, d):
-    order = Window.partitionBy(F.regexp_extract("url", "^[^:]+://([^/?#]*)", 1)).orderBy("page_id")
-    numbered = table(spark, d, "pages").select("page_id", F.row_number().over(order).alias("n"))
-    return numbered.withColumn("name", F.concat(F.lpad(F.col("n").cast("string"), 6, "0"), F.when(F.col("n") == 1, "_MAIN").otherwise("_LINKED")))
+    pages = table(spark, d, "pages").select("page_id", F.regexp_extract("url", "^[^:]+://([^/?#]*)", 1).alias("host"))
+    return numbered(pages, ["host"], ["page_id"]).select("page_id", "n").withColumn("name", F.concat(F.lpad(F.col("n").cast("string"), 6, "0"), F.when(F.col("n") == 1, "_MAIN").otherwise("_LINKED")))

@@ -28,7 +28,7 @@ SELECT doc_id, concat('doc-', doc_id) AS stem,
     CASE WHEN doc_id % 25 = 2 THEN concat('Table of Contents', chr(10), chr(10)) ELSE '' END,
     replace(text, chr(10), concat(chr(10), chr(10))), chr(10), chr(10),
     CASE WHEN doc_id % 10 = 1 THEN concat('arXiv:2401.', lpad(CAST(doc_id % 100000 AS STRING), 5, '0'), chr(10), chr(10)) ELSE '' END,
-    '![chart](img/c', doc_id % 7, '.png "Chart") ![logo](https://cdn.example.org/l', doc_id % 3, '.png) [source](https://site', doc_id % 50, '.example.org/p/', doc_id, ')', CASE WHEN doc_id % 14 = 3 THEN concat(' PMID: ', 10000000 + doc_id) ELSE '' END, chr(10), chr(10),
+    '![chart](img/c', doc_id % 7, '.png) ![logo](https://cdn.example.org/l', doc_id % 3, '.png) [source](https://site', doc_id % 50, '.example.org/p/', doc_id, ')', CASE WHEN doc_id % 14 = 3 THEN concat(' PMID: ', 10000000 + doc_id) ELSE '' END, chr(10), chr(10),
     '[[doc-', (doc_id * 7 + 3) % (n_docs + 5), ']] [[doc-', (doc_id * 11 + 1) % n_docs, '|label]] `[[ignored]]` [[a/b]]') AS page_text
 FROM (SELECT *, (SELECT count(*) FROM {documents}) AS n_docs FROM {documents}) AS counted
 """

@@ -34,3 +34,23 @@ def accepted(captures: DataFrame, text_col: str = "text") -> DataFrame:
 def first_seen(events: DataFrame, keys: list[str], time_col: str, delay: str) -> DataFrame:
     """The first event of each key; a key is forgotten ``delay`` after its time, which bounds the state."""
     return events.withColumn(time_col, F.col(time_col).cast("timestamp")).withWatermark(time_col, delay).dropDuplicatesWithinWatermark(keys)
+
+
+def latest_values(events: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The latest event of each key: every micro-batch is merged into a table of one row a key.
+
+    A batch reads the table that the last one wrote and writes the next; the newest is the result.
+    """
+    spark = events.sparkSession
+    folder = f"{checkpoint_folder(spark)}/latest-{uuid.uuid4().hex}"
+    rest = [c for c in events.columns if c not in keys]
+    written: list[str] = []
+
+    def merge(batch: DataFrame, number: int) -> None:
+        rows = batch.union(spark.read.schema(batch.schema).parquet(written[-1])) if written else batch
+        newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_v")).select(*keys, "_v.*")
+        newest.select(*batch.columns).write.mode("overwrite").parquet(f"{folder}/table-{number}")
+        written.append(f"{folder}/table-{number}")
+
+    events.writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(events.schema).parquet(written[-1]) if written else spark.createDataFrame([], events.schema)
