@@ -44,12 +44,12 @@ spans AS (
     ELSE true END
 ),
 counted AS (
-  SELECT value, count(*) AS owners, sum(repos)::BIGINT AS repos
-  FROM (SELECT value, owner, count(*) AS repos FROM (SELECT DISTINCT value, owner, repo FROM spans JOIN src USING (r)) GROUP BY value, owner) GROUP BY value
+  SELECT value, owners, repos FROM (SELECT value, count(*) AS owners FROM (SELECT DISTINCT value, owner FROM spans JOIN src USING (r)) GROUP BY value)
+  JOIN (SELECT value, count(*) AS repos FROM (SELECT DISTINCT value, repo FROM spans JOIN src USING (r)) GROUP BY value) USING (value)
 ),
 held AS (
-  SELECT s.*, owners, repos, owners >= 3 AS copied,
-    rank = 3 AND owners < 3 AND NOT EXISTS (SELECT 1 FROM spans b WHERE b.r = s.r AND b.rank < 3 AND b.start <= s.start AND b."end" >= s."end") AS added
+  SELECT s.*, owners, repos, owners >= 3 OR repos >= 5 AS copied,
+    rank = 3 AND owners < 3 AND repos < 5 AND NOT EXISTS (SELECT 1 FROM spans b WHERE b.r = s.r AND b.rank < 3 AND b.start <= s.start AND b."end" >= s."end") AS added
   FROM spans s JOIN counted USING (value)
 ),
 per AS (

@@ -58,6 +58,29 @@ def looks_live(value: Column) -> Column:
     return value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (F.size(letters) >= 10) & ~value.rlike(DUMMY)
 
 
+def _within(spans: Column, base: Column, block: int = 256) -> Column:
+    """The spans, with rank 4 for those that lie inside one of the base spans (sorted by start).
+
+    A span is held against a block of base spans only where it lies between the block's ends.
+    """
+
+    def marked(base: Column) -> Column:
+        firsts = F.sequence(F.lit(1), F.greatest(F.size(base), F.lit(1)), F.lit(block))
+
+        def cut(first: Column) -> Column:
+            own = F.slice(base, first, F.lit(block))
+            return with_value(own, lambda o: F.struct(F.array_min(F.transform(o, lambda b: b["start"])).alias("low"), F.array_max(F.transform(o, lambda b: b["end"])).alias("high"), o.alias("own")))
+
+        def flagged(blocks: Column) -> Column:
+            inside = lambda t, b: (b["start"] <= t["start"]) & (b["end"] >= t["end"])
+            held = lambda t: F.exists(blocks, lambda k: (k["low"] <= t["start"]) & (k["high"] >= t["end"]) & F.exists(k["own"], lambda b: inside(t, b)))
+            return F.transform(spans, lambda t: F.struct(t["start"], F.when(held(t), 4).otherwise(t["rank"]).alias("rank"), t["end"], t["value"]))
+
+        return with_value(F.transform(firsts, cut), flagged)
+
+    return F.when(F.size(spans) == 0, spans).otherwise(with_value(base, marked)).cast(MATCH)
+
+
 def scan(documents: DataFrame, text_col: str = "text") -> dict[str, Column]:
     """Expressions of the base matches and the further candidates of each text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -96,11 +119,12 @@ def scan_secrets(
     # Rows are known again by id and text hash, so a repeated id with another text keeps its own spans.
     row = [F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key")]
     scanned = documents.select(*row, owner.cast("string").alias("owner"), repo.cast("string").alias("repo"), found["base"].alias("base"), found["tokens"].alias("tokens"))
+    scanned = scanned.withColumn("tokens", _within(F.col("tokens"), F.col("base")))
     some = (F.size("base") > 0) | (F.size("tokens") > 0)
     # With columns to keep, the rows without candidates aren't asked for again.
     scanned = checkpointed(scanned.where(some) if keep else scanned)
 
-    held = scanned.where(some).select("doc_id", "text_key", "owner", "repo", "base", F.explode(F.concat("base", "tokens")).alias("span")).withColumn("hash", F.sha2("span.value", 256))
+    held = scanned.where(some).select("doc_id", "text_key", "owner", "repo", F.explode(F.concat("base", "tokens")).alias("span")).withColumn("hash", F.sha2("span.value", 256))
     # Ownership: aggregations that are combined before their shuffle, so that a value held everywhere stays small.
     by_owner = held.groupBy("hash", "owner", "repo").agg(F.count("*").alias("n")).groupBy("hash", "owner").agg(F.sum("n").alias("n")).groupBy("hash").agg(F.count("*").alias("owners"), F.sum("n").alias("rows"))
     by_repo = held.groupBy("hash", "repo").agg(F.count("*").alias("n")).groupBy("hash").agg(F.count("*").alias("repos"))
@@ -112,12 +136,11 @@ def scan_secrets(
     hot = counted.where(F.col("rows") >= hot_rows).select("hash", F.lit(True).alias("is_hot"))
     hot = F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot
     salt = F.when(F.col("is_hot"), F.pmod(F.xxhash64("doc_id", "text_key", "span.start"), F.lit(16))).otherwise(F.lit(-1).cast("long"))
-    inside = F.exists("base", lambda b: (b["start"] <= F.col("span.start")) & (b["end"] >= F.col("span.end")))
     # A value in many repositories or with many owners is an example; with one owner and one repository it is that owner's own.
     owned = (
         held.join(hot, "hash", "left").withColumn("salt", salt).drop("is_hot").join(wide, ["hash", "salt"])
         .withColumn("copied", (F.col("owners") >= copied_owners) | (F.col("repos") >= copied_repos))
-        .withColumn("added", (F.col("span.rank") == 3) & ~F.col("copied") & ~inside)
+        .withColumn("added", (F.col("span.rank") == 3) & ~F.col("copied"))
         .groupBy("doc_id", "text_key")
         .agg(
             F.sort_array(F.collect_set(F.when(F.col("added"), F.struct("span.start", "span.rank", "span.end", "span.value")))).alias("live"),

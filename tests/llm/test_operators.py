@@ -82,6 +82,28 @@ def test_secrets_ownership(spark):
     got = {r.doc_id: (r.n_live, r.spans) for r in secrets.digest(secrets.scan_secrets(spark.createDataFrame(rows, DOCS))).collect()}
     assert got[0] == (0, "") and got[9] == (1, "live:4:24")
     assert secrets.scan_secrets(spark.createDataFrame([], DOCS)).count() == 0
+    # Five repositories of two owners make an example, too; a repository that owners share counts once.
+    spread = spark.createDataFrame([(i, f"see {token} there", f"l{i}", f"src{i % 2}", 1) for i in range(5)], DOCS)
+    assert {(r.n_live, r.max_repos, r.max_owners) for r in secrets.scan_secrets(spread).select(F.size("live").alias("n_live"), "max_repos", "max_owners").collect()} == {(0, 5, 2)}
+    shared = secrets.scan_secrets(spread, repo=F.lit("one"))
+    assert {(r.n_live, r.max_repos) for r in shared.select(F.size("live").alias("n_live"), "max_repos").collect()} == {(1, 1)}
+    # A value in more rows than hot_rows takes the salted way.
+    hot = spark.range(300).select(F.col("id").alias("doc_id"), F.lit(f"a {token} b").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(1).cast("long").alias("n_chars"))
+    assert secrets.scan_secrets(hot, hot_rows=50).where("size(live) = 1 AND max_owners = 1").count() == 300
+
+
+def test_secrets_grow_in_proportion(spark):
+    """Four times the matches take far less than sixteen times as long."""
+    import time
+
+    def seconds(n):
+        rows = spark.range(1).select(F.lit(1).alias("doc_id"), F.repeat(F.lit("token=abcdef12 "), n).alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(1).alias("n_chars"))
+        start = time.time()
+        assert secrets.without_secrets(rows).first().text.count("[SECRET]") == n
+        return time.time() - start
+
+    seconds(100)
+    assert seconds(32_000) < 6 * max(seconds(8_000), 1.0)
 
 
 def test_redaction_of_many(spark):
@@ -467,6 +489,41 @@ def test_cut_lengths():
         assert sum(parts) == n and all(0 < p <= 4096 for p in parts)
 
 
+def test_pipeline_run(spark, tmp_path):
+    """run() over one small corpus of planted rows, against what each stage must do to them."""
+    import random
+
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline as p
+
+    rng = random.Random(11)
+    words = lambda n: [f"{rng.choice('bcdfgklmnprst')}{rng.choice('aeiou')}{rng.choice('bcdfgklmnprst')}{i % 89}" for i in range(n)]
+    plain = [" ".join(words(120)) for _ in range(30)]
+    first = words(200)
+    copies = [" ".join(first), " ".join(first), " ".join([*first[:50], "other", *first[51:]]), " ".join([*first[:90], "more", *first[90:]])]
+    bench = words(40)
+    toxic = [". ".join([" ".join(words(8)) + " you stupid idiot"] * 6) for _ in range(3)]
+    secret = ["x " + " ".join(words(60)) + f" {KEY} y"]
+    dirty = [" ".join(bench) + " " + " ".join(words(30))]
+    texts = plain + copies + toxic + secret + dirty + [None, ""]
+    rows = [(i, t, "en", f"s{i % 3}", len(t or "")) for i, t in enumerate(texts)]
+    for name, data, schema in (
+        ("documents", rows, DOCS), ("labels", [], LABELS), ("benchmark", [(1, " ".join(bench))], "item_id long, text string"),
+    ):
+        spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = p.run(spark, str(tmp_path)).collect()
+    n = len(plain)
+    gone = {n + 1, n + 2, n + 3, *range(n + 4, n + 7), n + 8, n + 10}  # copies, toxic, contaminated; one of the two empty texts
+    assert {r.doc_id for r in got} == set(range(len(texts))) - gone
+    encoder = Tokenizer.from_file(q.tokenizer_path())
+    for i in {r.doc_id for r in got}:
+        ids = np.array([*encoder.encode((texts[i] or "").replace(KEY[:-1], "[SECRET]"), add_special_tokens=False).ids, 2], "<u4").tobytes()
+        pieces = sorted((r.start, r.length, r.ids_crc32) for r in got if r.doc_id == i)
+        assert sum(x[1] for x in pieces) * 4 == len(ids) and all(zlib.crc32(ids[4 * a : 4 * (a + b)]) == c for a, b, c in pieces), i
+
+
 def test_pipeline(spark, documents, odd):
     import corpus_pipeline as p
 
