@@ -34,7 +34,6 @@ from corpusforge.session import checkpointed, ship
 END_ID = 2
 END = np.array([END_ID], "<u4").tobytes()
 #: Letters below U+0100 and the ASCII marks behind them.
-LETTERS = re.compile(r"[a-z\u00DF-\u00F6\u00F8-\u00FF]+")
 PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-/:-@\[-`{-~]*)")
 
 
@@ -44,11 +43,11 @@ class WordCache:
     This holds for a tokenizer that drops white space, never joins over it, ignores case and parts letters from the
     marks behind them (``parts_words`` asks its settings): a text's ids are then those of its chunks, and a plain
     word with marks takes the ids of the word and of the marks. Any other tokenizer gets whole texts.
-    The last words and chunks are kept, if they have ``longest`` characters at most: twice ``limit`` of each, so a
-    worker holds some ten MB.
+    The last words and chunks are kept, if they have ``longest`` characters at most: twice ``limit`` of each, about
+    100 MB in a worker.
     """
 
-    def __init__(self, path: str, limit: int = 100_000, longest: int = 48) -> None:
+    def __init__(self, path: str, limit: int = 150_000, longest: int = 48) -> None:
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -80,16 +79,22 @@ class WordCache:
             return [b + END for b in self.encoded([t or "" for t in texts])]
         split = [(t or "").replace("\n", " ").split(" ") for t in texts]
         new = self.chunks.missing(set().union(*split))
-        parted = [(c, m[1].lower(), m[2]) if (m := PLAIN.fullmatch(c)) else (c, c, "") for c in new]
-        unseen = self.words.missing({w for _, word, marks in parted for w in (word, marks)})
+        parted, whole = [], []
+        for c in new:
+            m = PLAIN.fullmatch(c)
+            if m:
+                parted.append((c, m[1].lower(), m[2]))
+            else:
+                whole.append(c)
+        plain = list(self.words.missing({word for _, word, _ in parted}))
+        others = list(self.words.missing({*whole, *{marks for _, _, marks in parted}}))
         words, chunks = self.words.young, self.chunks.young
-        plain = [w for w in unseen if LETTERS.fullmatch(w)]
-        others = list(unseen.difference(plain))
         words.update(zip(plain, self.encoded_words(plain), strict=True))
         words.update(zip(others, self.encoded(others), strict=True))
-        chunks.update((c, words[word] + words[marks]) for c, word, marks in parted)
+        chunks.update([(c, words[word] + words[marks]) for c, word, marks in parted])
+        chunks.update([(c, words[c]) for c in whole])
         out = [b"".join(map(chunks.__getitem__, cs)) + END for cs in split]
-        self.words.trim(unseen, self.longest, self.limit)
+        self.words.trim([*plain, *others], self.longest, self.limit)
         self.chunks.trim(new, self.longest, self.limit)
         return out
 
@@ -109,9 +114,8 @@ class Recent:
         return absent.difference(found)
 
     def trim(self, added, longest: int, limit: int) -> None:
-        for k in added:
-            if len(k) > longest:
-                del self.young[k]
+        for k in [k for k in added if len(k) > longest]:
+            del self.young[k]
         if len(self.young) > limit:
             self.young, self.old = {}, self.young
 
