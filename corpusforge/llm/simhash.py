@@ -85,6 +85,8 @@ def _signed(x: int) -> int:
 
 def links(fps: DataFrame, bucket: int = 64) -> DataFrame:
     """Edges (u, v), u > v, whose components are those of "differ in at most two bits"."""
+    # Each fingerprint becomes 64 rows, so few small partitions would become few large tasks.
+    fps = checkpointed(fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     # Counts are combined before they meet, and the join can split a hot variant: no task gets all of its fingerprints.
     counts = _variants(fps).groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = checkpointed(_variants(fps).join(counts, "key"))
