@@ -152,13 +152,13 @@ def dte1(spark, d):
 @query(
     "flt2_ranking_facet",
     f"""WITH {WORKS}, {REG}, k AS (SELECT DISTINCT work_id, scheme, edition, level FROM w JOIN (SELECT unnest([issn, issn_l]) AS value, scheme, edition, level FROM r) ON issn = value AND value <> '')
-    SELECT DISTINCT work_id FROM k WHERE upper(scheme) = 'CSSCI' AND edition = '2023' AND contains(lower(level), 'steel')""",
+    SELECT DISTINCT work_id FROM k WHERE upper(scheme) = 'CSSCI' AND edition = '2023' AND contains(lower(level), 's')""",
 )
 def flt2(spark, d):
-    """Works with a ranking of one scheme and edition whose level names steel; upper and lower case are alike."""
+    """Works with a ranking of one scheme and edition whose level holds an s; upper and lower case are alike."""
     ranked = L.all_rankings(works(spark, d).withColumns({"issn_l": F.lit(""), "eissn": F.lit("")}), registry(spark, d).withColumn("eissn", F.lit("")))
     listed = ranked.groupBy("work_id").agg(F.collect_set(F.struct("scheme", "edition", "level")).alias("rankings"))
-    return listed.where(F.exists("rankings", lambda r: (F.upper(r["scheme"]) == "CSSCI") & (r["edition"] == "2023") & F.lower(r["level"]).contains("steel"))).select("work_id")
+    return listed.where(F.exists("rankings", lambda r: (F.upper(r["scheme"]) == "CSSCI") & (r["edition"] == "2023") & F.lower(r["level"]).contains("s"))).select("work_id")
 
 
 @query(

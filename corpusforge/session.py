@@ -46,7 +46,7 @@ def checkpoint_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
-        if not named and not context.master.startswith("local["):
+        if not named and context.master != "local" and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="corpusforge-checkpoint-"))
     return named or context.getCheckpointDir()
