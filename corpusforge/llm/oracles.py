@@ -85,6 +85,35 @@ FROM docs LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
 """
 
 
+OP11_SQL = f"""
+WITH words AS (
+  SELECT lang, row_number() OVER () AS piece, list_filter(string_split_regex(piece, '[ \\t]+'), lambda w: w <> '') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(text, '{UPPER}', '{LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents WHERE text IS NOT NULL)
+),
+f AS MATERIALIZED (
+  SELECT lang, k, phrase, count(*) AS c FROM (
+    SELECT lang, k, w[i:i + k - 1] AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, (SELECT unnest(range(1, 6)) AS k) WHERE len(w) >= k)
+  ) GROUP BY ALL
+),
+sizes AS (SELECT lang, sum(c)::HUGEINT AS n FROM f WHERE k = 1 GROUP BY lang),
+big AS MATERIALIZED (SELECT * FROM f WHERE c >= 100),
+longer AS (
+  SELECT lang, part, max(c) AS c FROM (SELECT lang, phrase[1:k - 1] AS part, c FROM big WHERE k > 2 UNION ALL SELECT lang, phrase[2:k] AS part, c FROM big WHERE k > 2) GROUP BY ALL
+),
+kept AS (SELECT b.lang, b.k, b.phrase, b.c AS a FROM big b LEFT JOIN longer o ON o.lang = b.lang AND o.part = b.phrase WHERE b.k > 1 AND (o.c IS NULL OR o.c < b.c)),
+cuts AS (SELECT *, unnest(range(1, k)) AS cut FROM kept),
+scores AS (
+  SELECT q.lang, q.phrase, q.a, q.cut, x.c AS l, y.c AS r, n, (1000::HUGEINT * q.a * n) // (x.c::HUGEINT * y.c) AS score
+  FROM cuts q JOIN big x ON x.lang = q.lang AND x.phrase = q.phrase[1:q.cut] JOIN big y ON y.lang = q.lang AND y.phrase = q.phrase[q.cut + 1:q.k] JOIN sizes s ON s.lang = q.lang
+),
+low AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS first FROM scores),
+ranked AS (SELECT *, array_to_string(phrase, ' ') AS shown, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(phrase, ' ')) AS rank FROM low WHERE first = 1)
+SELECT lang, rank, shown AS phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM ranked WHERE rank <= 2000
+"""
+
 def oracle_sql() -> dict[str, str]:
     role = _ESCAPE.format("replace(replace(role, '%', '%25'), chr(10), '%0A')")
-    return {"op1_secret_scans": OP1_SQL, "op3_benchmark_decontamination": OP3_SQL, "op6_chat_formatting": OP6_SQL.replace("%ROLE%", role).replace("%TEXT%", _ESCAPE.format("text"))}
+    return {
+        "op1_secret_scans": OP1_SQL, "op3_benchmark_decontamination": OP3_SQL, "op6_chat_formatting": OP6_SQL.replace("%ROLE%", role).replace("%TEXT%", _ESCAPE.format("text")),
+        "op11_phrase_collocations": OP11_SQL,
+    }
