@@ -111,9 +111,29 @@ ranked AS (SELECT *, array_to_string(phrase, ' ') AS shown, row_number() OVER (P
 SELECT lang, rank, shown AS phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM ranked WHERE rank <= 2000
 """
 
+_TERMS = f"list_filter(string_split_regex(translate(text, '{UPPER}', '{LOWER}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"
+
+OP12_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS d, doc_id, {_TERMS} AS w FROM documents),
+sized AS MATERIALIZED (SELECT d, doc_id, w, len(w) AS n FROM docs WHERE len(w) > 0),
+stats AS (SELECT count(*) AS all_docs, sum(n)::BIGINT AS all_terms FROM sized),
+asked AS MATERIALIZED (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark WHERE item_id IS NOT NULL),
+posted AS MATERIALIZED (
+  SELECT d, term, count(*) AS tf FROM (SELECT d, unnest(w) AS term FROM sized) WHERE term IN (SELECT term FROM asked) GROUP BY ALL
+),
+weights AS (SELECT term, floor(1000 * ln((2 * all_docs + 2) / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM posted GROUP BY term), stats),
+scores AS (
+  SELECT item_id, d, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * all_docs) // all_terms))))::BIGINT AS score
+  FROM asked JOIN posted USING (term) JOIN weights USING (term) JOIN (SELECT d, n FROM sized) USING (d), stats GROUP BY item_id, d
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (
+  SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scores JOIN (SELECT d, doc_id FROM sized) USING (d) WHERE score > 0
+) WHERE rank <= 50
+"""
+
 def oracle_sql() -> dict[str, str]:
     role = _ESCAPE.format("replace(replace(role, '%', '%25'), chr(10), '%0A')")
     return {
         "op1_secret_scans": OP1_SQL, "op3_benchmark_decontamination": OP3_SQL, "op6_chat_formatting": OP6_SQL.replace("%ROLE%", role).replace("%TEXT%", _ESCAPE.format("text")),
-        "op11_phrase_collocations": OP11_SQL,
+        "op11_phrase_collocations": OP11_SQL, "op12_ranked_search": OP12_SQL,
     }
