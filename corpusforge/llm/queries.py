@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusforge.llm import chat, collocations, crf_quality, decontam, packing, quality_rules, ranked_search, secrets, sharding, simhash, toxicity, url_filters
+from corpusforge.llm import chat, collocations, crf_quality, decontam, packing, quality_rules, ranked_search, secrets, sharding, simhash, span_dedup, toxicity, url_filters
 from corpusforge.llm.oracles import oracle_sql  # noqa: F401
 from corpusforge.session import table
 
@@ -74,10 +74,14 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_dedup.without_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES = (
     op1_secret_scans, op2_simhash_near_dedup, op3_benchmark_decontamination, op3_proximity_matches, op4_quality_rules, op5_url_filters,
     op6_chat_formatting, op7_sharding, op8_quality_classifier, op9_packing, op10_toxicity,
-    op11_phrase_collocations, op12_ranked_search,
+    op11_phrase_collocations, op12_ranked_search, op13_substring_dedup,
 )
 
 
