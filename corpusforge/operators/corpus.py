@@ -17,6 +17,16 @@ def frontmatter(page: Column) -> Column:
     return F.when(block != "", block)
 
 
+def body(page: Column) -> Column:
+    """The page behind its block."""
+    return F.regexp_replace(page, "^---\\n(?s:.*?)\\n---(?:\\n|$)", "")
+
+
+def tags(page: Column) -> Column:
+    """The block's tags, separated by blanks; empty without any."""
+    return F.coalesce(F.regexp_replace(F.regexp_extract(frontmatter(page), "(?m)^tags: \\[(.*)\\]$", 1), ",", " "), F.lit(""))
+
+
 def frontmatter_issue(page: Column) -> Column:
     """missing, malformed, the missing keys in order, or null."""
     block = F.concat(F.lit("\n"), frontmatter(page))

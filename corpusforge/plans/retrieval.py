@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from corpusforge.functions.text import collapsed_sha, dice, occurrences, tokens
+from corpusforge.operators import corpus as C
 from corpusforge.operators import retrieval as R
+from corpusforge.operators import stored_index as X
 from corpusforge.plans.registry import query
-from corpusforge.session import table
+from corpusforge.session import checkpoint_folder, checkpointed, removed, table
+from corpusforge.sources import views as V
 
 WORDS = "list_filter(string_split_regex(regexp_replace(lower({}), '([\\x{{4E00}}-\\x{{9FFF}}])', ' \\1 ', 'g'), '[^\\p{{L}}\\p{{N}}_]+'), lambda t: (length(t) > 1 OR regexp_full_match(t, '[\\x{{4E00}}-\\x{{9FFF}}]')) AND NOT regexp_full_match(t, '\\p{{Nd}}+'))"
 DOC_WORDS = WORDS.format("text")
@@ -28,8 +33,30 @@ def _docs(spark, d):
     return table(spark, d, "documents")
 
 
+#: Folders of the documents' indexes, by application and tables.
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def _index(spark, d):
+    """The stored index of the documents: built when it is first asked for, brought up to date when it is asked for again."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _INDEXES:
+        folder = f"{checkpoint_folder(spark)}/index-{uuid.uuid4().hex}"
+        index = X.built(_docs(spark, d), folder)
+        _INDEXES[key] = folder
+        return index
+    return X.refreshed(X.opened(spark, _INDEXES[key]), _docs(spark, d))
+
+
+def _kept(rows, folder):
+    """The rows of an index that isn't needed any more."""
+    rows = checkpointed(rows)
+    removed(rows.sparkSession, folder)
+    return rows
+
+
 def _bm25(spark, d):
-    return R.bm25(_docs(spark, d), table(spark, d, "benchmark"))
+    return X.scores(table(spark, d, "benchmark"), _index(spark, d))
 
 
 def _vectors(spark, d):
@@ -59,6 +86,43 @@ def a3(spark, d):
     return R.corpus_stats(R.doc_stats(_docs(spark, d))).withColumn("avgdl", F.round("avgdl", 6))
 
 
+@query("j1_matched_postings", f"""WITH {TF}, {LEN}, df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+q AS (SELECT item_id AS qid, term, count(*) AS qtf FROM (SELECT item_id, unnest({DOC_WORDS}) AS term FROM benchmark) GROUP BY ALL)
+SELECT qid, doc_id, term, qtf, tf, df, len FROM q JOIN tf USING (term) JOIN df USING (term) JOIN len USING (doc_id)""")
+def j1(spark, d):
+    return X.matched(table(spark, d, "benchmark"), _index(spark, d))
+
+
+#: A page's tags, if its block is whole, and its body.
+_TAGS = "CASE WHEN regexp_matches(page_text, '^---\\n(?s:.*?)\\n---(?:\\n|$)') THEN regexp_replace(regexp_extract(regexp_extract(page_text, '^---\\n((?s:.*?))\\n---(?:\\n|$)', 1), '(?m)^tags: \\[(.*)\\]$', 1), ',', ' ', 'g') ELSE '' END"
+_BODY = "regexp_replace(page_text, '^---\\n(?s:.*?)\\n---(?:\\n|$)', '')"
+
+
+@query(
+    "a1_page_postings",
+    f"""WITH v AS ({V.duck(V.DOC_PAGES)}), t AS (SELECT doc_id, {_TAGS} || ' ' || {_TAGS} || ' ' || {_BODY} AS text FROM v),
+tok AS (SELECT doc_id, unnest({DOC_WORDS}) AS term FROM t), len AS (SELECT doc_id, len({DOC_WORDS}) AS len FROM t)
+SELECT doc_id, term, tf, len FROM (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY ALL) JOIN len USING (doc_id)""",
+)
+def a1_pages(spark, d):
+    """The stored index of the pages, in which tags count twice."""
+    pages = V.view(spark, d, V.DOC_PAGES)
+    folder = f"{checkpoint_folder(spark)}/index-{uuid.uuid4().hex}"
+    index = X.built(pages, folder, X.weighted(C.body(F.col("page_text")), C.tags(F.col("page_text"))))
+    return _kept(X.live_postings(spark, index), folder)
+
+
+@query("st4_refreshed_index", f"WITH {TF} SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM tf GROUP BY term")
+def st4_index(spark, d):
+    """An index of older documents (some missing, some with other texts, some that are gone since), refreshed with the given ones."""
+    docs = _docs(spark, d).select("doc_id", "text")
+    older = docs.where("doc_id % 10 <> 3").withColumn("text", F.expr("CASE WHEN doc_id % 10 = 4 THEN concat(text, ' olderwords') ELSE text END"))
+    older = older.union(docs.where("doc_id % 10 = 5").selectExpr("-1 - doc_id", "concat(text, ' gonewords')"))
+    folder = f"{checkpoint_folder(spark)}/index-{uuid.uuid4().hex}"
+    index = X.refreshed(X.built(older, folder), docs)
+    return _kept(X.live_postings(spark, index).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")), folder)
+
+
 @query("a4_bm25_scores", f"WITH {BM25} SELECT * FROM bm")
 def a4(spark, d):
     return _bm25(spark, d)
@@ -66,7 +130,7 @@ def a4(spark, d):
 
 @query("win1_bm25_top10", f"WITH {BM25} {TOP.format('bm', 10)}")
 def win1(spark, d):
-    return R.top(_bm25(spark, d), 10)
+    return X.best(table(spark, d, "benchmark"), _index(spark, d), 10)
 
 
 @query("j2_vector_scores", f"WITH {VEC} SELECT * FROM ve")
