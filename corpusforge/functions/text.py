@@ -2,16 +2,34 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Characters that compatibility form (NFKC) leaves alone, whatever stands beside them: ASCII, letters of Latin, Greek, Cyrillic, kana and
+#: CJK, and common punctuation. Texts of these alone need no normalisation.
+SETTLED = "\\x00-\\x7F\\xA1-\\xA7\\xA9\\xAB-\\xAE\\xB0\\xB1\\xB6\\xB7\\xBB\\xBF-\\u0131\\u0134-\\u013E\\u0141-\\u0148\\u014A-\\u017E\\u0391-\\u03A1\\u03A3-\\u03CE\\u0400-\\u0481\\u048A-\\u052F\\u2010\\u2012-\\u2016\\u2018-\\u201F\\u2020-\\u2023\\u20AC\\u3001-\\u3003\\u3008-\\u3011\\u3041-\\u3096\\u30A1-\\u30FA\\u4E00-\\u9FFF"
+
+
+def compatible(text: Column) -> Column:
+    """A text in compatibility form (NFKC); only texts that it can change go through Python."""
+
+    def normalised(texts: pd.Series) -> pd.Series:
+        import unicodedata
+
+        return texts.map(lambda t: t if t is None else unicodedata.normalize("NFKC", t))
+
+    normalised.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    open_ones = text.rlike(f"[^{SETTLED}]")
+    return F.when(open_ones, F.pandas_udf(normalised, "string")(F.when(open_ones, text))).otherwise(text)
+
 
 def tokens(text: Column) -> Column:
-    """Lower-cased words of letters, digits and underscores; each CJK character is a token.
+    """Lower-cased words of letters, digits and underscores in compatibility form; each CJK character is a token.
 
     Tokens of one character (CJK apart) and of digits only are left out. Null text: no tokens.
     """
-    spaced = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "([\\x{4E00}-\\x{9FFF}])", " $1 ")
+    spaced = F.regexp_replace(compatible(F.lower(F.coalesce(text, F.lit("")))), "([\\x{4E00}-\\x{9FFF}])", " $1 ")
     parts = F.split(spaced, "[^\\p{L}\\p{N}_]+")
     return F.filter(parts, lambda t: ((F.length(t) > 1) | t.rlike("^[\\x{4E00}-\\x{9FFF}]$")) & ~t.rlike("^\\p{Nd}+$"))
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusforge.functions.reading import noise
 from corpusforge.functions.text import with_value
+from corpusforge.session import ship
 
 # Lines of a reader's output that aren't content, and the heading of a section that isn't.
 READER_LINES = ("Don't miss what's happening", "People on X are the first to know.", "See new posts", "Sign up with Apple", "Create account", "Appearance settings", "Toggle navigation")
@@ -93,25 +97,51 @@ def with_html_function(pages: DataFrame, extract: Callable[[str], dict], schema:
     return pages.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema) + ", " + schema)
 
 
+def _strings(value: object, depth: int, nodes: int, strings: int, least: int) -> Iterator[tuple[str, str, str]]:
+    """(path, field, content) of a JSON value's long strings in document order, within the budgets."""
+    ahead: list[tuple[object, str, str, int]] = [(value, "$", "", 1)]
+    seen = texts = 0
+    while ahead and seen < nodes:
+        at, path, field, level = ahead.pop()
+        seen += 1
+        if level > depth:
+            continue
+        if isinstance(at, str):
+            texts += 1
+            if texts > strings:
+                return
+            if len(own := at.strip()) >= least:
+                yield path, field, own
+        elif isinstance(at, dict):
+            ahead += [(v, f"{path}.{k}", k, level + 1) for k, v in reversed(at.items())]
+        elif isinstance(at, list):
+            ahead += [(v, f"{path}[{i}]", str(i), level + 1) for i, v in zip(range(len(at) - 1, -1, -1), reversed(at), strict=True)]
+
+
 def harvested(rows: DataFrame, key: str, json_col: str, depth: int = 12, nodes: int = 50_000, strings: int = 2_000, least: int = 200) -> DataFrame:
-    """(key, path, field, content) of the long strings of JSON texts, at any place down to ``depth`` levels.
+    """(key, path, field, content) of the long strings of JSON texts, trimmed, without those that look like noise.
 
-    Each level is one explode of the level above. A text gives at most ``strings`` strings, those nearest to its top
-    first, and a level at most ``nodes`` nodes for each text; short strings are left out before.
+    The budgets are part of the rule, for each text in document order: the root is the first node and the first level; nodes below
+    ``depth`` levels count but aren't looked into; it ends with the ``nodes``-th node or the ``strings``-th string, short ones counted.
+    The field is the last step of the path, in an array the place. Texts that aren't JSON give nothing.
     """
-    at = rows.select(key, F.try_parse_json(json_col).alias("node"), F.lit("$").alias("path"), F.lit("").alias("field")).where("node IS NOT NULL")
-    found = None
-    for level in range(depth):
-        children = at.lateralJoin(at.sparkSession.tvf.variant_explode(F.col("node").outer())).select(
-            key, F.col("value").alias("node"),
-            F.when(F.col("key").isNull(), F.concat("path", F.lit("["), F.col("pos"), F.lit("]"))).otherwise(F.concat("path", F.lit("."), F.col("key"))).alias("path"),
-            F.coalesce("key", "field").alias("field"), "pos",
-        )
-        at = children.where(F.col("pos") < nodes).drop("pos")
-        texts = at.where("schema_of_variant(node) = 'STRING'").select(key, F.lit(level).alias("level"), "path", "field", F.expr("cast(node AS string)").alias("content"))
-        found = texts if found is None else found.union(texts)
-        at = at.where("schema_of_variant(node) LIKE 'OBJECT%' OR schema_of_variant(node) LIKE 'ARRAY%'")
-    return found.where(F.length(F.trim("content")) >= least).drop("level")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("path", "field", "content")
+        for batch in batches:
+            for i, text in enumerate(batch.column("text")):
+                try:
+                    found = list(_strings(json.loads(text.as_py()), depth, nodes, strings, least)) if text.is_valid else []
+                except (ValueError, RecursionError):
+                    continue
+                if found:
+                    parts = [pa.array(c, pa.string()) for c in zip(*found, strict=True)]
+                    yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array([i] * len(found))), *parts], names=[key, *names])
+
+    ship(rows.sparkSession)
+    asked = rows.select(key, F.col(json_col).alias("text"))
+    found = asked.mapInArrow(run, f"`{key}` {asked.schema[key].dataType.simpleString()}, path string, field string, content string")
+    return found.where(~noise(F.col("content")))
 
 
 def merged_blocks(blocks: Column) -> Column:

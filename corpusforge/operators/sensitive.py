@@ -37,6 +37,16 @@ WARN = (
     ("pii_internal_ip", "\\b(?:10\\.\\d{1,3}\\.\\d{1,3}\\.\\d{1,3}|172\\.(?:1[6-9]|2\\d|3[01])\\.\\d{1,3}\\.\\d{1,3}|192\\.168\\.\\d{1,3}\\.\\d{1,3}):\\d+\\b"),
 )
 
+# Rules of the label scan, with the labels that results must agree on; letters in either case.
+LABELS = (
+    ("API Key", "(?i)(?:api[_-]?key|apikey)\\s*[=:]\\s*[\"']?\\w{20,}"),
+    ("Token/Secret", "(?i)(?:token|secret)\\s*[=:]\\s*[\"']?\\w{20,}"),
+    ("Password", "(?i)(?:password|passwd)\\s*[=:]\\s*[\"']\\S+"),
+    ("Private Key", "(?i)-----BEGIN\\s+(?:RSA\\s+)?PRIVATE\\s+KEY-----"),
+    ("ID Card Number (possible)", "(?i)\\b\\d{15,18}\\b"),
+)
+LABEL_CHARS, LABEL_BYTES = 50_000, 10 * 1024 * 1024
+
 
 def findings(documents: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, line, level, type, match): every match of every rule on every line."""
@@ -58,13 +68,20 @@ def redacted(text: Column) -> Column:
     return text
 
 
+def snippet(text: Column, pattern: str, room: int = 10) -> Column:
+    """A rule's first match with ``room`` characters on either side."""
+    around = F.split(text, pattern, 2)
+    return F.concat(F.right(F.get(around, F.lit(0)), F.lit(room)), F.regexp_extract(text, pattern, 0), F.left(F.get(around, F.lit(1)), F.lit(room)))
+
+
 def gate(text: Column) -> dict[str, Column]:
-    """blocked, and the types of block and warn rules that match, in rule order."""
+    """blocked, the types of block and warn rules that match, in rule order, and what each block rule found with its surroundings."""
     kinds = lambda rules: F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(t)) for t, p in rules]))
-    return {"blocked": F.size(kinds(BLOCK)) > 0, "block": kinds(BLOCK), "warn": kinds(WARN)}
+    snippets = F.array_compact(F.array(*[F.when(text.rlike(p), snippet(text, p)) for _, p in BLOCK]))
+    return {"blocked": F.size(kinds(BLOCK)) > 0, "block": kinds(BLOCK), "warn": kinds(WARN), "snippets": snippets}
 
 
-def labels(text: Column, width: int = 51200) -> Column:
-    """Types of all rules that match in the first ``width`` characters."""
-    head = F.substring(text, 1, width)
-    return F.array_compact(F.array(*[F.when(head.rlike(p), F.lit(t)) for t, p in (*CRITICAL, *WARNING)]))
+def labels(text: Column, width: int = LABEL_CHARS, most_bytes: int = LABEL_BYTES) -> Column:
+    """Labels of the rules that match in the first ``width`` characters; texts of more than ``most_bytes`` are left out."""
+    head = F.when(F.octet_length(text) <= most_bytes, F.substring(text, 1, width))
+    return F.array_compact(F.array(*[F.when(head.rlike(p), F.lit(t)) for t, p in LABELS]))

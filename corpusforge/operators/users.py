@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusforge.functions import text as text_forms
+
 
 def encoded(documents: DataFrame, key: str, title: str, text: str, encode: Callable[[list[str]], list[list[float]]], batch: int = 32, chars: int = 2000, prefix: str = "") -> DataFrame:
     """(key, vector) of ``prefix``, title and the first ``chars`` characters of each text; ``encode`` gets ``batch`` texts at once."""
@@ -34,14 +35,8 @@ def pair_scored(pairs: DataFrame, query: str, text: str, score: Callable[[str, s
 
 
 def compatible(rows: DataFrame, column: str) -> DataFrame:
-    """A text column in compatibility form (NFKC); only rows with other characters than ASCII go through Python."""
-
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: unicodedata.normalize("NFKC", t))
-
-    plain = ~F.col(column).rlike("[^\\x00-\\x7F]") | F.col(column).isNull()
-    return rows.where(plain).union(rows.where(~plain).withColumn(column, run(column)).select(*rows.columns))
+    """A text column in compatibility form (NFKC), in one pass over the rows."""
+    return rows.withColumn(column, text_forms.compatible(F.col(column)))
 
 
 def letter_counts(texts: list[str]) -> list[list[float]]:

@@ -12,6 +12,7 @@ from corpusforge.operators import files as A
 from corpusforge.operators import numbering
 from corpusforge.operators import users
 from corpusforge.plans.quality import _report_sql
+from corpusforge.functions.reading import LOG_MARKS
 from corpusforge.plans.registry import query
 from corpusforge.session import checkpoint_folder, table
 from corpusforge.sources import pages as P
@@ -74,7 +75,8 @@ _PARAS = "string_split(text, chr(10))"
 STRINGS = f"""j AS (SELECT doc_id, text, substr(text, 1, 40) AS title FROM documents WHERE text IS NOT NULL),
   h AS (SELECT doc_id, title, '$.data.article.content' AS path, 'content' AS field, text AS content FROM j WHERE doc_id % 4 = 0 UNION ALL SELECT doc_id, title, '$.comments[0].text', 'text', text FROM j WHERE doc_id % 4 = 1
     UNION ALL SELECT doc_id, title, '$.result.post.html', 'html', '<p>' || text || '</p>' FROM j WHERE doc_id % 4 = 2 UNION ALL SELECT doc_id, title, '$.page.blocks[' || (i - 1) || '].text', 'text', p FROM (SELECT doc_id, title, unnest({_PARAS}) AS p, generate_subscripts({_PARAS}, 1) AS i FROM j WHERE doc_id % 4 = 3)),
-  s AS (SELECT * FROM h WHERE length(trim(content)) >= 200),
+  e AS (SELECT doc_id, title, path, field, {_edge('content')} AS content FROM h),
+  s AS (SELECT * FROM e WHERE length(content) >= 200 AND NOT (len(string_split(content, chr(10))) > 4 AND 10 * len(list_filter(string_split(content, chr(10)), lambda x: regexp_matches(x, '{LOG_MARKS}'))) > 3 * len(string_split(content, chr(10))))),
   b AS (SELECT doc_id, title, array_to_string(list_filter({_PARAS}, lambda t: length(trim(t)) >= 10), chr(10) || chr(10)) AS content FROM j WHERE doc_id % 4 = 3 AND len({_PARAS}) BETWEEN 2 AND 200 AND len(list_filter({_PARAS}, lambda t: length(trim(t)) >= 10)) >= 2)"""
 
 
@@ -95,6 +97,19 @@ def jsn1(spark, d):
     return K.harvested(_json(spark, d), "doc_id", "json").select("doc_id", "path", "field", F.sha2("content", 256).alias("sha"))
 
 
+# A block's text is the node 6 + 3i and the string 2 + 2i of its document.
+_PLACE = "CASE WHEN starts_with(path, '$.page.blocks[') THEN CAST(regexp_extract(path, '\\[([0-9]+)\\]', 1) AS INT) ELSE -1 END"
+
+
+@query("jsn1_budgets", f"WITH {STRINGS} SELECT 'nodes' AS budget, doc_id, path, sha256(content) AS sha FROM s WHERE 6 + 3 * {_PLACE} <= 9 UNION ALL SELECT 'strings', doc_id, path, sha256(content) FROM s WHERE 2 + 2 * {_PLACE} <= 3 UNION ALL SELECT 'later', doc_id, path, sha256(content) FROM s WHERE 2 + 2 * {_PLACE} > 19")
+def jsn1_budgets(spark, d):
+    """Budgets small enough to bite: 9 nodes; 3 strings; and what the 20th string and later ones add."""
+    rows = _json(spark, d)
+    some = lambda name, found: found.select(F.lit(name).alias("budget"), "doc_id", "path", F.sha2("content", 256).alias("sha"))
+    deep = K.harvested(rows, "doc_id", "json").join(K.harvested(rows, "doc_id", "json", strings=19), ["doc_id", "path"], "left_anti")
+    return some("nodes", K.harvested(rows, "doc_id", "json", nodes=9)).union(some("strings", K.harvested(rows, "doc_id", "json", strings=3))).union(some("later", deep))
+
+
 def _blocks(spark, d):
     parsed = F.from_json("json", "page STRUCT<blocks: ARRAY<STRUCT<type: STRING, text: STRING>>>")["page"]["blocks"]
     return _json(spark, d).select("doc_id", "title", K.merged_blocks(parsed).alias("content")).where("content IS NOT NULL")

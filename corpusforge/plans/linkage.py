@@ -84,15 +84,19 @@ def _by(columns: str) -> str:
     return f"(SELECT value, min(p_partkey) AS p_partkey FROM (SELECT p_partkey, unnest([{columns}]) AS value FROM r) WHERE value <> '' GROUP BY value)"
 
 
+#: Names and the registry names that hold their first w characters: by equal pieces where a name has so many.
+_HELD = """SELECT name, known, p_partkey FROM {n} JOIN (SELECT known, p_partkey, unnest(list_distinct(list_transform(range(1, greatest(length(known) - {w} + 1, 1) + 1), lambda i: substr(known, i, {w})))) AS piece FROM k) ON piece = left(name, {w}) WHERE length(name) >= {w}
+  UNION ALL SELECT name, known, p_partkey FROM {n} JOIN k ON contains(known, name) WHERE length(name) < {w}"""
+
 _MATCH = f"""x AS (SELECT work_id, CASE WHEN {_ok('issn')} THEN issn ELSE '' END AS a, CASE WHEN {_ok('issn_l')} THEN issn_l ELSE '' END AS l, CASE WHEN {_ok('eissn')} THEN eissn ELSE '' END AS e, {_key('journal_name')} AS name FROM w),
   q AS (SELECT *, {_key('journal_name')} AS known FROM r),
   s AS (SELECT work_id, p_partkey, 0 AS place, 'issn' AS method, 1.0 AS confidence FROM x JOIN {_by('issn, issn_l')} ON a = value AND a <> '' UNION ALL SELECT work_id, p_partkey, 1, 'issn_l', 0.98 FROM x JOIN {_by('issn_l')} ON l = value AND l <> ''
     UNION ALL SELECT work_id, p_partkey, 2, 'eissn', 0.97 FROM x JOIN {_by('eissn')} ON e = value AND e <> '' UNION ALL SELECT work_id, k.p_partkey, 3, 'name', 0.92 FROM x JOIN (SELECT known, min(p_partkey) AS p_partkey FROM q GROUP BY known) k ON known = name),
-  exact AS (SELECT work_id, p_partkey, method, confidence::DOUBLE AS confidence FROM s QUALIFY row_number() OVER (PARTITION BY work_id ORDER BY place, p_partkey) = 1),
-  n AS (SELECT DISTINCT name FROM x WHERE work_id NOT IN (SELECT work_id FROM exact) AND name <> ''), k AS (SELECT known, min(p_partkey) AS p_partkey FROM q GROUP BY known),
-  c1 AS (SELECT name, known, p_partkey FROM n JOIN k ON contains(known, left(name, 30))), c AS (SELECT * FROM c1 UNION ALL SELECT name, known, p_partkey FROM n JOIN k ON contains(known, left(name, 15)) WHERE name NOT IN (SELECT name FROM c1)),
-  b AS (SELECT name, p_partkey, {_DICE('name', 'known')} AS score FROM c QUALIFY row_number() OVER (PARTITION BY name ORDER BY score DESC, p_partkey) = 1),
-  m AS (SELECT * FROM exact UNION ALL SELECT work_id, p_partkey, 'similar', score FROM x JOIN b USING (name) WHERE score >= 0.8 AND work_id NOT IN (SELECT work_id FROM exact) QUALIFY row_number() OVER (PARTITION BY work_id ORDER BY score DESC, p_partkey) = 1)"""
+  exact AS MATERIALIZED (SELECT work_id, p_partkey, method, confidence::DOUBLE AS confidence FROM s QUALIFY row_number() OVER (PARTITION BY work_id ORDER BY place, p_partkey) = 1),
+  n AS MATERIALIZED (SELECT DISTINCT name FROM x ANTI JOIN exact USING (work_id) WHERE name <> ''), k AS MATERIALIZED (SELECT known, min(p_partkey) AS p_partkey FROM q GROUP BY known),
+  c1 AS MATERIALIZED ({_HELD.format(n='n', w=30)}), n2 AS MATERIALIZED (SELECT name FROM n ANTI JOIN c1 USING (name)), c AS MATERIALIZED (SELECT * FROM c1 UNION ALL {_HELD.format(n='n2', w=15)}),
+  b AS MATERIALIZED (SELECT name, p_partkey, {_DICE('name', 'known')} AS score FROM c QUALIFY row_number() OVER (PARTITION BY name ORDER BY score DESC, p_partkey) = 1),
+  m AS (SELECT * FROM exact UNION ALL SELECT work_id, p_partkey, 'similar', score FROM x JOIN b USING (name) WHERE score >= 0.8 AND NOT EXISTS (SELECT 1 FROM exact e WHERE e.work_id = x.work_id) QUALIFY row_number() OVER (PARTITION BY work_id ORDER BY score DESC, p_partkey) = 1)"""
 
 
 @query("j8_registry_by_issn", f"WITH {WORKS}, {REG} SELECT work_id, p_partkey FROM w JOIN {_by('issn, issn_l')} ON issn = value")

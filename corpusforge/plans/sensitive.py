@@ -59,18 +59,30 @@ def _kinds(rules, text: str = "text") -> str:
     return f"list_filter([{cases}], lambda x: x IS NOT NULL)"
 
 
-@query("sec3_write_gate", f"SELECT conv_id, turn, len({_kinds(S.BLOCK)}) > 0 AS blocked, array_to_string({_kinds(S.BLOCK)}, ',') AS block, array_to_string({_kinds(S.WARN)}, ',') AS warn FROM conversations")
-def sec3(spark, d):
+def _snippets() -> str:
+    found = "right(string_split_regex(text, {p})[1], 10) || regexp_extract(text, {p}) || substr(text, length(string_split_regex(text, {p})[1]) + length(regexp_extract(text, {p})) + 1, 10)"
+    cases = ", ".join(f"CASE WHEN regexp_matches(text, {_quoted(p)}) THEN {found.format(p=_quoted(p))} END" for _, p in S.BLOCK)
+    return f"array_to_string(list_filter([{cases}], lambda x: x IS NOT NULL), chr(10))"
+
+
+_GATE = f"len({_kinds(S.BLOCK)}) > 0 AS blocked, array_to_string({_kinds(S.BLOCK)}, ',') AS block, array_to_string({_kinds(S.WARN)}, ',') AS warn, {_snippets()} AS snippets"
+
+
+def _gated(rows, *keys):
     g = S.gate(F.col("text"))
-    return table(spark, d, "conversations").select("conv_id", "turn", g["blocked"].alias("blocked"), F.array_join(g["block"], ",").alias("block"), F.array_join(g["warn"], ",").alias("warn"))
+    return rows.select(*keys, g["blocked"].alias("blocked"), F.array_join(g["block"], ",").alias("block"), F.array_join(g["warn"], ",").alias("warn"), F.array_join(g["snippets"], "\n").alias("snippets"))
 
 
-@query("sec3_write_gate_documents", f"SELECT doc_id, len({_kinds(S.BLOCK)}) > 0 AS blocked, array_to_string({_kinds(S.BLOCK)}, ',') AS block, array_to_string({_kinds(S.WARN)}, ',') AS warn FROM documents")
+@query("sec3_write_gate", f"SELECT conv_id, turn, {_GATE} FROM conversations")
+def sec3(spark, d):
+    return _gated(table(spark, d, "conversations"), "conv_id", "turn")
+
+
+@query("sec3_write_gate_documents", f"SELECT doc_id, {_GATE} FROM documents")
 def sec3_documents(spark, d):
-    g = S.gate(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", g["blocked"].alias("blocked"), F.array_join(g["block"], ",").alias("block"), F.array_join(g["warn"], ",").alias("warn"))
+    return _gated(table(spark, d, "documents"), "doc_id")
 
 
-@query("sec5_label_scan", f"SELECT doc_id, array_to_string({_kinds((*S.CRITICAL, *S.WARNING), 'left(text, 51200)')}, ',') AS labels FROM documents")
+@query("sec5_label_scan", f"SELECT doc_id, array_to_string({_kinds(S.LABELS, f'CASE WHEN strlen(text) <= {S.LABEL_BYTES} THEN left(text, {S.LABEL_CHARS}) END')}, ',') AS labels FROM documents")
 def sec5(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(S.labels(F.col("text")), ",").alias("labels"))

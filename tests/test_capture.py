@@ -52,10 +52,16 @@ def test_main_content(spark):
 
 def test_harvest(spark):
     long = "z" * 250
-    rows = [(1, '{"a":{"b":["' + long + '",{"c":"short"}]}}'), (2, "not json"), (3, None), (4, '"' + long + '"')]
-    got = [(r.k, r.path, r.field) for r in K.harvested(spark.createDataFrame(rows, "k int, j string"), "k", "j").collect()]
-    assert got == [(1, "$.a.b[0]", "b")]
-    assert K.harvested(spark.createDataFrame([(1, '{"a":{"b":"' + long + '"}}')], "k int, j string"), "k", "j", depth=1).count() == 0
+    log = "\\n".join(["INFO " + "x" * 60] * 6)
+    rows = [(1, '{"b":{"a":["' + long + '",{"c":"short"}]}, "a":" ' + long + ' "}'), (2, "not json"), (3, None), (4, '"' + long + '"'), (5, '{"x":"' + log + '"}'), (6, "[" * 5000 + "]" * 5000), (7, "{}"), (8, "null")]
+    df = spark.createDataFrame(rows, "k int, j string")
+    found = lambda **budgets: [(r.k, r.path, r.field) for r in K.harvested(df, "k", "j", **budgets).collect()]
+    assert found() == [(1, "$.b.a[0]", "0"), (1, "$.a", "a"), (4, "$", "")]
+    # Nodes: root, b, a, the first string, the object, c, the last string. Strings: the first, the short one, the last.
+    assert found(nodes=4) == [(1, "$.b.a[0]", "0"), (4, "$", "")] == found(nodes=6) == found(strings=2)
+    assert found(nodes=3) == [(4, "$", "")] and found(nodes=7) == found() == found(strings=3) == found(depth=4)
+    assert found(depth=3) == [(1, "$.a", "a"), (4, "$", "")] and found(depth=1) == [(4, "$", "")] and found(strings=0) == []
+    assert K.harvested(df, "k", "j").first().content == long
 
 
 def test_user_functions(spark):

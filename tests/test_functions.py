@@ -64,3 +64,23 @@ def test_page_texts_with_nulls_and_empty(spark):
     assert [found[i].title for i in range(3)] == ["stem", "stem", "A: b"]
     assert found[0].snippet is None and found[1].snippet == "" and found[4].snippet.startswith("data data x") and len(found[4].snippet) == 201
     assert found[0].warnings == found[1].warnings == "empty" and found[3].warnings == "too_few_chars,header_only,too_few_paragraphs" and found[4].warnings == ""
+
+
+def test_settled_characters():
+    """No character that is left out of normalisation is changed by it or joins with the one before."""
+    import re
+    import unicodedata
+
+    from corpusforge.functions.text import SETTLED
+
+    held = re.compile(f"[{SETTLED}]")
+    for c in (chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000):
+        assert not held.match(c) or (unicodedata.normalize("NFKC", c) == c and not unicodedata.combining(c)), hex(ord(c))
+
+
+def test_wide_words_meet_plain_ones(spark):
+    from corpusforge.functions.text import tokens
+
+    df = spark.createDataFrame([("Ｆｕｌｌ　ｗｏｒｄ ﬁne e\u0301t x２ １２",), ("full word fine ét x2 12",), (None,)], "t string")
+    a, b, c = (r.w for r in df.select(tokens(F.col("t")).alias("w")).collect())
+    assert a == b == ["full", "word", "fine", "ét", "x2"] and c == []
