@@ -4,11 +4,11 @@ A word goes if it lies in a window of 13 consecutive words whose sequence also s
 
 1. Repeated texts: of documents with the same words the one with the smallest id is looked at; in the others every window
    is found there.
-2. Anchors: of each window the least hash of its 5-word sequences. Equal windows have the same anchor, and one anchor serves
+2. Anchors: of each window the least hash of its 8-word sequences. Equal windows have the same anchor, and one anchor serves
    several windows. Those that stand in more than one document are kept as a bit table of fixed size; a full table only
-   lets more windows pass.
-3. Windows with such an anchor are grouped by hash. The first document of a hash that several have is the *reference*, so each
-   repeated window is referred to once, however many documents repeat it. References are dealt into shards of bounded size; a window
+   lets more windows pass. Runs of words with such windows are written, and no text moves.
+3. Windows of runs are grouped by hash. The first document of a hash that several have is the *reference*, so each
+   repeated window is referred to in one document, however many repeat it. References are dealt into shards of bounded size; a window
    of a later document is looked for in the shard that has its hash, so work grows with what is repeated, not with documents times shards.
 4. Of each shard's reference spans one suffix automaton over words is built; each state knows the smallest document in which its
    sequences end. Automata are broadcast while all of them together stay under a limit in bytes; beyond it each is sent to the tasks that its shard's
@@ -31,14 +31,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusforge.llm.common import slices
-from corpusforge.llm.wordcodes import WordCodes, as_bytes, long_lists, mixed
+from corpusforge.llm.wordcodes import WordCodes, as_bytes, flat, long_lists, mixed
 from corpusforge.session import checkpoint_folder, checkpointed, removed, ship
 
-WINDOW, GRAM = 13, 5
+WINDOW, GRAM = 13, 8
 #: Bits of the tables of repeated anchors and of documents that are looked at (8 MB each).
 BITS = 26
 NO_WORDS = hashlib.sha256(b"").hexdigest()
@@ -85,80 +85,112 @@ def _on(table: np.ndarray, cells: np.ndarray) -> np.ndarray:
     return (table[cells >> 3] >> (cells & 7).astype(np.uint8)) & 1 == 1
 
 
+def _id_cell(doc_id: Column, bits: int) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(doc_id), 64 - bits)
+
+
 def _keyed(documents: DataFrame, text_col: str, id_col: str, bits: int) -> DataFrame:
     """(doc_id, text_key, id_cell, text)"""
     doc_id, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return documents.select(doc_id.alias("doc_id"), F.xxhash64(text).alias("text_key"), F.shiftrightunsigned(F.xxhash64(doc_id), 64 - bits).alias("id_cell"), text.alias("text"))
+    return documents.select(doc_id.alias("doc_id"), F.xxhash64(text).alias("text_key"), _id_cell(doc_id, bits).alias("id_cell"), text.alias("text"))
 
 
-def _read(rows: DataFrame, bits: int) -> DataFrame:
-    """(doc_id, text_key, id_cell, n_words, whole, anchors): whole is the digest of all words, anchors have the cells of a text's anchors."""
+def _read(rows: DataFrame) -> DataFrame:
+    """(doc_id, text_key, id_cell, n_words, whole, anchors): whole is the digest of all words, anchors are distinct."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = WordCodes()
         for batch in slices(batches, "text"):
             words, x, lengths = _coded(codes, as_bytes(batch.column("text")))
             _, _, anchor, text = _windows(x, lengths)
-            new = np.ones(len(anchor), bool)
-            new[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
-            cells, sizes = _cell(anchor[new], bits), np.bincount(text[new], minlength=len(lengths))
+            ends = np.cumsum(np.bincount(text, minlength=len(lengths)))
+            own = [np.unique(anchor[a:b]) for a, b in zip(np.concatenate([[0], ends[:-1]]), ends, strict=True)]
             digests = pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for w in words], pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("doc_id", "text_key", "id_cell")), pa.array(lengths), digests, long_lists(cells.view(np.uint64), sizes)], names=["doc_id", "text_key", "id_cell", "n_words", "whole", "anchors"]
-            )
+            lists = long_lists(np.concatenate([np.zeros(0, np.uint64), *own]), [len(o) for o in own])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "text_key", "id_cell")), pa.array(lengths), digests, lists], names=["doc_id", "text_key", "id_cell", "n_words", "whole", "anchors"])
 
     return rows.mapInArrow(run, "doc_id long, text_key long, id_cell long, n_words long, whole string, anchors array<long>")
 
 
-def _repeated_windows(rows: DataFrame, anchors, looked_at, bits: int) -> DataFrame:
-    """(h, g, doc_id, text_key, start) of the windows whose anchor is in the table; g is half of the anchor, so that h and g have 96 bits."""
+def _runs(rows: DataFrame, anchors, looked_at, bits: int) -> DataFrame:
+    """(run, doc_id, text_key, at, words): the stretches of words that hold windows with an anchor of the table, and where they begin."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = WordCodes()
         for batch in slices(batches, "text"):
-            held = np.flatnonzero(_on(looked_at.value, batch.column("id_cell").to_numpy()))
-            batch = batch.take(pa.array(held))
+            batch = batch.take(pa.array(np.flatnonzero(_on(looked_at.value, batch.column("id_cell").to_numpy()))))
             _, x, lengths = _coded(codes, as_bytes(batch.column("text")))
-            at, h, anchor, text = _windows(x, lengths)
+            at, _, anchor, text = _windows(x, lengths)
             kept = np.flatnonzero(_on(anchors.value, _cell(anchor, bits)))
-            at, h, g, text = at[kept], h[kept], anchor[kept], text[kept]
+            at, text = at[kept], text[kept]
+            first = np.ones(len(at) + 1, bool)
+            first[1:-1] = (at[1:] > at[:-1] + WINDOW) | (text[1:] != text[:-1])
+            cut = np.flatnonzero(first)
+            begins, ends, of = at[cut[:-1]], at[cut[1:] - 1] + WINDOW, text[cut[:-1]]
             starts = np.cumsum(lengths) - lengths
-            of = pa.array(text)
+            words = long_lists(np.concatenate([np.zeros(0, np.uint64), *(x[b:e] for b, e in zip(begins, ends, strict=True))]), ends - begins)
+            own = pa.array(of)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(own), batch.column("text_key").take(own), pa.array((begins - starts[of]).astype(np.int32)), words], names=["doc_id", "text_key", "at", "words"])
+
+    found = rows.where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, text_key long, at int, words array<long>")
+    return found.select(F.monotonically_increasing_id().alias("run"), "*")
+
+
+def _windows_of(runs: DataFrame, repeated=None, bits: int = BITS) -> DataFrame:
+    """(h, g, doc_id, run, place) of the windows in each run, if given of those in the table alone; g is half of the anchor, so that h and g have 96 bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "words"):
+            x, lengths = flat(batch.column("words"))
+            at, h, anchor, of = _windows(x, lengths)
+            if repeated is not None:
+                kept = np.flatnonzero(_on(repeated.value, _cell(h, bits)))
+                at, h, anchor, of = at[kept], h[kept], anchor[kept], of[kept]
+            place = (at - (np.cumsum(lengths) - lengths)[of]).astype(np.int32)
+            own = pa.array(of)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h.view(np.int64)), pa.array(g.astype(np.uint32).view(np.int32)), batch.column("doc_id").take(of), batch.column("text_key").take(of), pa.array((at - starts[text]).astype(np.int32))],
-                names=["h", "g", "doc_id", "text_key", "start"],
+                [pa.array(h.view(np.int64)), pa.array(anchor.astype(np.uint32).view(np.int32)), batch.column("doc_id").take(own), batch.column("run").take(own), pa.array(place)], names=["h", "g", "doc_id", "run", "place"]
             )
 
-    return rows.where("doc_id IS NOT NULL").mapInArrow(run, "h long, g int, doc_id long, text_key long, start int")
+    return runs.mapInArrow(run, "h long, g int, doc_id long, run long, place int")
 
 
 def _spans(asked: DataFrame) -> DataFrame:
-    """(reference, shard, doc_id, text_key, start, words): the stretches of a text that hold the asked windows of a shard."""
+    """(reference, shard, doc_id, text_key, start, words): the stretches of a run that hold the asked windows of a shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = WordCodes()
-        for batch in slices(batches, "text", 4 << 20):
-            _, x, lengths = _coded(codes, as_bytes(batch.column("text")))
+        for batch in slices(batches, "words", 4 << 20):
+            x, lengths = flat(batch.column("words"))
             ends = np.cumsum(lengths)
-            docs, keys = batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist()
+            docs, keys, ats = (batch.column(c).to_pylist() for c in ("doc_id", "text_key", "at"))
             made: list[tuple] = []
             parts: list[np.ndarray] = []
-            for i, windows in enumerate(batch.column("windows").to_pylist()):
-                own = x[ends[i] - lengths[i] : ends[i]]
-                w = np.array([(s["reference"], s["shard"], s["start"]) for s in windows], np.int64)
+            for i, windows in enumerate(batch.column("windows")):
+                own, some = x[ends[i] - lengths[i] : ends[i]], windows.values
+                w = np.stack([some.field(f).cast(pa.int64()).to_numpy() for f in ("reference", "shard", "place")], axis=1)
                 w = w[np.lexsort((w[:, 2], w[:, 1], w[:, 0]))]
                 cut = np.flatnonzero(np.concatenate([[True], (w[1:, :2] != w[:-1, :2]).any(axis=1) | (w[1:, 2] > w[:-1, 2] + WINDOW), [True]]))
                 for a, b in zip(cut[:-1], cut[1:], strict=True):
-                    made.append((bool(w[a, 0]), int(w[a, 1]), docs[i], keys[i], int(w[a, 2])))
+                    made.append((bool(w[a, 0]), int(w[a, 1]), docs[i], keys[i], ats[i] + int(w[a, 2])))
                     parts.append(own[w[a, 2] : w[b - 1, 2] + WINDOW])
             columns = list(zip(*made, strict=True)) if made else [[]] * 5
             kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
-            words = long_lists(np.concatenate(parts) if parts else np.zeros(0, np.uint64), [len(p) for p in parts])
+            words = long_lists(np.concatenate([np.zeros(0, np.uint64), *parts]), [len(p) for p in parts])
             yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), words], names=["reference", "shard", "doc_id", "text_key", "start", "words"])
 
     return asked.mapInArrow(run, "reference boolean, shard long, doc_id long, text_key long, start int, words array<long>")
 
 
+def _held(rows: DataFrame, table) -> DataFrame:
+    """The rows whose ``id_cell`` is in the table, so that other texts don't move."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.take(pa.array(np.flatnonzero(_on(table.value, batch.column("id_cell").to_numpy()))))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 class Automaton:
     """A suffix automaton of several word sequences. ``doc[s]`` is the smallest document in which the sequences of state s end."""
 
@@ -323,26 +355,44 @@ def _cut(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "doc_id long, text_key long, n_removed long, kept_sha256 string")
 
 
-def covered_spans(rows: DataFrame, read: DataFrame, folder: str, bits: int, shard_words: int, broadcast_bytes: int, slice_windows: int) -> DataFrame:
+def _written(rows: DataFrame, path: str) -> DataFrame:
+    """The rows as a table; what their shuffles left on disk goes at once, not when the driver collects its garbage."""
+    spark, setting = rows.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, "false")
+    spark.conf.set(setting, "true")
+    try:
+        rows.write.parquet(path)
+    finally:
+        spark.conf.set(setting, before)
+    return spark.read.parquet(path)
+
+
+def covered_spans(rows: DataFrame, read: DataFrame, known: DataFrame, folder: str, bits: int, shard_words: int, broadcast_bytes: int, slice_windows: int) -> DataFrame:
     """(doc_id, text_key, first, last) of the covered stretches in texts whose words no smaller document has as a whole."""
-    spark = rows.sparkSession
-    owners = read.where("doc_id = owner")
-    anchors = owners.select("doc_id", F.explode("anchors").alias("cell")).groupBy("cell").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    tables = [spark.sparkContext.broadcast(_table(anchors, bits)), spark.sparkContext.broadcast(_table(owners.select(F.col("id_cell").alias("cell")), bits))]
-    _repeated_windows(rows, *tables, bits).write.parquet(f"{folder}/windows")
-    windows = spark.read.parquet(f"{folder}/windows")
-    first = F.min(F.struct("doc_id", "text_key", "start"))
-    firsts = windows.groupBy("h", "g").agg(first.alias("f"), F.max("doc_id").alias("high")).where("f.doc_id < high").select("h", "g", "f.*")
-    firsts.write.parquet(f"{folder}/firsts")
-    firsts = spark.read.parquet(f"{folder}/firsts")
+    broadcast = rows.sparkSession.sparkContext.broadcast
+    owners = known.where("doc_id = owner")
+    looked_at = broadcast(_table(owners.select(F.col("id_cell").alias("cell")), bits))
+    anchors = _held(read.select("id_cell", "anchors"), looked_at).select(F.explode("anchors").alias("a")).groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
+    anchors = _written(anchors, f"{folder}/anchors")
+    table = broadcast(_table(anchors.select(F.shiftrightunsigned("a", 64 - bits).alias("cell")), bits))
+    runs = _written(_runs(rows, table, looked_at, bits), f"{folder}/runs")
+    for done in ("read", "anchors"):
+        removed(rows.sparkSession, f"{folder}/{done}")
+    firsts = _windows_of(runs).groupBy("h", "g").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").drop("high")
+    firsts = _written(firsts, f"{folder}/firsts")
+    # A reference document lies in one shard; a very long one in several, by the windows' hashes.
     shards = max(1, -(-firsts.count() // shard_words))
-    firsts = firsts.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text_key", F.expr("start div 4096")), F.lit(shards)))
-    later = windows.alias("w").join(firsts.alias("f"), (F.col("w.h") == F.col("f.h")) & (F.col("w.g") == F.col("f.g")) & (F.col("w.doc_id") > F.col("f.doc_id"))).select("w.doc_id", "w.text_key", F.lit(False).alias("reference"), "f.shard", "w.start")
-    both = firsts.select("doc_id", "text_key", F.lit(True).alias("reference"), "shard", "start").union(later)
-    asked = both.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("reference", "shard", "start")).alias("windows"))
-    _spans(rows.select("doc_id", "text_key", "text").join(asked, ["doc_id", "text_key"])).write.parquet(f"{folder}/spans")
-    removed(spark, f"{folder}/windows")
-    return _matched(spark.read.parquet(f"{folder}/spans"), broadcast_bytes, slice_windows)
+    long = known.where(F.col("n_words") > 4 * shard_words).groupBy("doc_id").agg(F.max(F.ceil(F.col("n_words") / (4 * shard_words))).cast("long").alias("parts"))
+    part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod("h", "parts"))
+    firsts = firsts.join(long.withColumnRenamed("doc_id", "low"), "low", "left").select("h", "g", "low", F.pmod(F.xxhash64("low", part), F.lit(shards)).alias("shard"))
+    repeated = broadcast(_table(firsts.select(F.shiftrightunsigned("h", 64 - bits).alias("cell")), bits))
+    both = _windows_of(runs, repeated, bits).join(firsts, ["h", "g"]).select("run", (F.col("doc_id") == F.col("low")).alias("reference"), "shard", "place")
+    both = _written(both, f"{folder}/asked")
+    asked = both.groupBy("run").agg(F.collect_set(F.struct("reference", "shard", "place")).alias("windows"))
+    spans = _written(_spans(runs.join(asked, "run")), f"{folder}/spans")
+    for done in ("runs", "firsts", "asked"):
+        removed(rows.sparkSession, f"{folder}/{done}")
+    return _matched(spans, broadcast_bytes, slice_windows)
 
 
 def without_repeats(documents: DataFrame, text_col: str = "text", id_col: str = "doc_id", bits: int = BITS, shard_words: int = 50_000, broadcast_bytes: int = 64 << 20, slice_windows: int = 1_000_000) -> DataFrame:
@@ -354,14 +404,15 @@ def without_repeats(documents: DataFrame, text_col: str = "text", id_col: str =
     spark = ship(documents.sparkSession)
     folder = f"{checkpoint_folder(spark)}/spans-{uuid.uuid4().hex}"
     rows = _keyed(documents, text_col, id_col, bits)
-    _read(rows, bits).write.parquet(f"{folder}/read")
-    read = spark.read.parquet(f"{folder}/read")
+    read = _written(_read(rows), f"{folder}/read")
     owner = read.groupBy("whole").agg(F.min("doc_id").alias("owner"))
-    read = read.join(owner, "whole")
-    stretches = covered_spans(rows, read, folder, bits, shard_words, broadcast_bytes, slice_windows).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("first", "last")).alias("stretches"))
-    cut = _cut(rows.select("doc_id", "text_key", "text").join(stretches, ["doc_id", "text_key"])).dropDuplicates(["doc_id", "text_key"])
+    known = _written(read.drop("anchors").join(owner, "whole"), f"{folder}/known")
+    covered = covered_spans(rows, read, known, folder, bits, shard_words, broadcast_bytes, slice_windows)
+    stretches = checkpointed(covered.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("first", "last")).alias("stretches")))
+    hit = spark.sparkContext.broadcast(_table(stretches.select(_id_cell(F.col("doc_id"), bits).alias("cell")), bits))
+    cut = _cut(_held(rows, hit).select("doc_id", "text_key", "text").join(stretches, ["doc_id", "text_key"])).dropDuplicates(["doc_id", "text_key"])
     copied = (F.col("doc_id") > F.col("owner")) & (F.col("n_words") >= WINDOW)
-    found = read.join(cut, ["doc_id", "text_key"], "left").select(
+    found = known.join(cut, ["doc_id", "text_key"], "left").select(
         "doc_id", "n_words", F.when(copied, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(copied, F.lit(NO_WORDS)).otherwise(F.coalesce("kept_sha256", "whole")).alias("kept_sha256"),
     )
