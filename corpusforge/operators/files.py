@@ -56,6 +56,11 @@ def pruned(path: Column) -> Column:
     return path.rlike("(^|/)(\\.[^/]+|node_modules|__pycache__)/")
 
 
+def processed_manifest(files: DataFrame) -> DataFrame:
+    """(name, size_kb, processed_at): the entry of each processed file."""
+    return files.select("name", F.round(F.col("length") / 1024.0, 1).alias("size_kb"), F.current_timestamp().alias("processed_at"))
+
+
 def gate() -> Column:
     """Why a file isn't taken in, or accepted: pruned folder, sensitive name, type, size, secret in its sample."""
     return (

@@ -247,3 +247,11 @@ def enriched(works: DataFrame, cached: DataFrame, first: DataFrame, second: Data
     status = F.when(~F.col("doi").rlike("^10\\.\\d{4,}/.+"), "invalid_doi").when(F.col("cached"), "cached").when(F.col("first"), "available").when(F.col("second"), "second_only").otherwise("unavailable")
     title = F.coalesce("cached_title", "first_title", "second_title")
     return rows.join(ranked, "issn", "left").select("work_id", "doi", status.alias("status"), title.alias("title"), F.coalesce("ranked", F.lit(False)).alias("ranked"))
+
+
+def record_outcomes(records: DataFrame) -> DataFrame:
+    """Records of CSV files with their outcome: the reason they can't be read, invalid, inserted (the first of a key) or duplicate."""
+    bad = F.coalesce(F.col("reason"), F.when((F.col("scheme") == "") | (F.col("journal_name") == ""), "invalid"))
+    marked = checkpointed(records.withColumn("bad", bad).withColumn("key", ranking_key()))
+    first = marked.where("bad IS NULL").groupBy("key").agg(F.min(F.struct("file", "line")).alias("first"))
+    return marked.join(first, "key", "left").withColumn("outcome", F.coalesce("bad", F.when(F.struct("file", "line") == F.col("first"), "inserted").otherwise("duplicate"))).drop("bad", "first", "key")

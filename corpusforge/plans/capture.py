@@ -14,7 +14,7 @@ from corpusforge.operators import users
 from corpusforge.plans.quality import _report_sql
 from corpusforge.functions.reading import LOG_MARKS
 from corpusforge.plans.registry import query
-from corpusforge.session import checkpoint_folder, table
+from corpusforge.session import checkpoint_folder, checkpointed, removed, table
 from corpusforge.sources import pages as P
 from corpusforge.sources import views as V
 from corpusforge.streaming import capture as stream
@@ -23,6 +23,15 @@ _s = lambda x: "'" + x.replace("'", "''") + "'"
 PAGES, FILES, MEDIA, WORKS = (f"v AS ({V.duck(s)})" for s in (V.DOC_PAGES, V.FILES, V.HTML_MEDIA, V.WORKS))
 _edge = lambda x: f"regexp_replace({x}, {_s(K.EDGE)}, '', 'g')"
 
+
+
+def _kept(rows, folder):
+    """The rows read from a folder, which is deleted."""
+    rows = checkpointed(rows)
+    removed(rows.sparkSession, folder)
+    return rows
+
+
 # A reader's output, made of a document and of the site's own lines.
 _RAW = """CASE WHEN doc_id % 3 = 0 THEN 'Title: Doc ' || doc_id || chr(10) || 'URL: x' || chr(10) || 'Markdown Content:' || chr(10) ELSE '' END || substr(text, 1, 60) || chr(10) ||
   'See new posts' || chr(10) || '[x](https://x.com/tos)' || chr(10) || CASE WHEN doc_id % 4 = 1 THEN '## New to X?' || chr(10) || 'Sign up now' || chr(10) || '### new to X again' || chr(10) || 'more' || chr(10) ELSE '' END ||
@@ -188,7 +197,7 @@ def mth2(spark, d):
 def snk1(spark, d):
     folder = f"{checkpoint_folder(spark)}/pages-{uuid.uuid4().hex}"
     P.write_pages(V.view(spark, d, V.DOC_PAGES), folder)
-    return P.scan_pages(spark, folder).select("section", "stem", F.sha2("page_text", 256).alias("sha"))
+    return _kept(P.scan_pages(spark, folder).select("section", "stem", F.sha2("page_text", 256).alias("sha")), folder)
 
 
 @query("src1_corpus_scan", f"WITH {PAGES} SELECT count(*) AS n, sum(length(page_text))::BIGINT AS chars FROM v WHERE stem NOT IN ('index', 'log')")
@@ -198,7 +207,7 @@ def src1(spark, d):
     pages = V.view(spark, d, V.DOC_PAGES)
     extra = spark.createDataFrame([("concepts", "index", "[[doc-1]]"), ("concepts", "log", "x")], "section string, stem string, page_text string")
     P.write_pages(pages.select("section", "stem", "page_text").union(extra), folder)
-    return P.scan_pages(spark, folder).agg(F.count("*").alias("n"), F.sum(F.length("page_text")).alias("chars"))
+    return _kept(P.scan_pages(spark, folder).agg(F.count("*").alias("n"), F.sum(F.length("page_text")).alias("chars")), folder)
 
 
 @query("snk2_json_export", f"WITH {WORKS} SELECT work_id, title, year, journal_name AS journal, cited_by_count AS citations_count, locked FROM v")
@@ -206,7 +215,7 @@ def snk2(spark, d):
     folder = f"{checkpoint_folder(spark)}/export-{uuid.uuid4().hex}"
     rows = V.view(spark, d, V.WORKS).select("work_id", "title", "year", F.col("journal_name").alias("journal"), F.col("cited_by_count").alias("citations_count"), "locked")
     rows.write.json(folder)
-    return spark.read.schema(rows.schema).json(folder)
+    return _kept(spark.read.schema(rows.schema).json(folder), folder)
 
 
 _DEPTH = "(page_id % 3)"
@@ -315,14 +324,6 @@ def udf4(spark, d):
 # Streams.
 
 
-@query("st3_latest_values", "WITH l AS (SELECT event_type, user_id, max(event_id) AS event_id FROM events GROUP BY ALL) SELECT event_type, user_id, event_id FROM l WHERE event_id + CASE event_type WHEN 'click' THEN 3000 WHEN 'view' THEN 700 ELSE 100 END > 2000")
-def st3(spark, d):
-    """The latest entry of each key by a stream, those that haven't expired."""
-    events = stream.read_stream(spark, f"{d}/events.parquet").select("event_type", "user_id", "event_id")
-    latest = stream.latest_values(events, ["event_type", "user_id"], "event_id")
-    return latest.where("event_id + CASE event_type WHEN 'click' THEN 3000 WHEN 'view' THEN 700 ELSE 100 END > 2000")
-
-
 @query("st5_resumed_batch", "SELECT o_orderkey AS item, CASE WHEN o_orderkey % 3 = 0 THEN 'succeeded' WHEN o_orderkey % 11 = 0 THEN 'failed' ELSE 'succeeded' END AS status, o_orderkey % 3 <> 0 AS done_now FROM orders")
 def st5(spark, d):
     """A batch that goes on: what the ledger has as succeeded isn't done again."""
@@ -331,14 +332,6 @@ def st5(spark, d):
     return A.resumed(items, ledger, F.when(F.col("item") % 11 == 0, "failed").otherwise("succeeded"))
 
 
-@query("st6_new_files", "SELECT doc_id, CASE WHEN text IS NULL OR length(trim(text)) < 20 THEN 'empty' ELSE 'ingested' END AS status, length(coalesce(text, '')) AS chars FROM documents")
-def st6(spark, d):
-    """New files as a stream, each with what became of it."""
-    rows = stream.read_stream(spark, f"{d}/documents.parquet").select("doc_id", "text")
-    status = F.when(F.length(F.trim(F.coalesce("text", F.lit("")))) < 20, "empty").otherwise("ingested")
-    return stream.drained(rows.select("doc_id", status.alias("status"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("chars")))
-
-
 @query("pg7_rebuilt_pages", f"WITH v AS ({V.duck(V.CANDIDATES)}), n AS (SELECT * FROM v WHERE method = 'playwright_network'), h AS (SELECT page_id, quality_score AS before FROM v WHERE method = 'http') SELECT page_id, quality_score AS score, quality_score - before AS gain, CASE WHEN quality_complete THEN 'complete' WHEN quality_score > before THEN 'better' ELSE 'kept' END AS diagnosis, content_length > 200 AS long_enough FROM n JOIN h USING (page_id)")
 def pg7(spark, d):
     """Pages rebuilt from their network candidate, with what that changed."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from corpusforge.functions import quality as Q
@@ -9,8 +11,10 @@ from corpusforge.operators import corpus as C
 from corpusforge.operators import files as A
 from corpusforge.plans.quality import _plain_sql
 from corpusforge.plans.registry import query
-from corpusforge.session import table
+from corpusforge.session import checkpoint_folder, checkpointed, removed, table
+from corpusforge.sources import folders as FO
 from corpusforge.sources import views as V
+from corpusforge.streaming import capture as stream
 
 FILES, CAND, PAGES, SNAP = (f"v AS ({V.duck(s)})" for s in (V.FILES, V.CANDIDATES, V.DOC_PAGES, V.SNAPSHOTS))
 _list = lambda items: "(" + ", ".join(f"'{i}'" for i in items) + ")"
@@ -43,14 +47,48 @@ def flt8(spark, d):
     return _files(spark, d).select("doc_id", A.gate().alias("verdict"))
 
 
-@query("src2_pruned_scan", f"WITH {FILES} SELECT doc_id, path FROM v WHERE NOT regexp_matches(path, '(^|/)(\\.[^/]+|node_modules|__pycache__)/')")
+# The files of the view, written below a folder of their own each: their names aren't unique.
+_DIRS = "CASE doc_id % 3 WHEN 0 THEN 'inbox/' WHEN 1 THEN 'chat/' ELSE 'scan/.git/' END || CASE WHEN doc_id % 21 = 5 THEN 'node_modules/' ELSE '' END || 'd' || doc_id"
+
+
+def _exported(spark, d):
+    """The view's files as real files; their folder."""
+    folder = f"{checkpoint_folder(spark)}/files-{uuid.uuid4().hex}"
+    path = F.concat(F.expr(_DIRS), F.lit("/"), "name")
+    FO.exported(_files(spark, d).select(path.alias("path"), F.col("sample").alias("content")), folder).count()
+    return folder
+
+
+def _kept(rows, folder):
+    rows = checkpointed(rows)
+    removed(rows.sparkSession, folder)
+    return rows
+
+
+@query("src2_pruned_scan", f"WITH {FILES} SELECT {_DIRS} || '/' || name AS path, name, ext, strlen(coalesce(sample, ''))::BIGINT AS length FROM v WHERE doc_id % 3 <> 2 AND doc_id % 21 <> 5")
 def src2(spark, d):
-    return _files(spark, d).where(~A.pruned(F.col("path"))).select("doc_id", "path")
+    """Files are written and scanned again; hidden and generated directories aren't listed."""
+    folder = _exported(spark, d)
+    return _kept(FO.scanned(spark, folder).select("path", "name", "ext", "length"), folder)
 
 
-@query("src3_inbox_listing", f"WITH {FILES} SELECT name, ext, size_bytes, source_label FROM v WHERE NOT processed")
+@query("src3_inbox_listing", f"WITH {FILES} SELECT 'f' || doc_id || '-' || name AS name, ext, strlen(coalesce(sample, ''))::BIGINT AS length, 'inbox_imported' AS source FROM v")
 def src3(spark, d):
-    return _files(spark, d).where("NOT processed").select("name", "ext", "size_bytes", "source_label")
+    """All files right in one folder; hidden ones aren't listed."""
+    folder = f"{checkpoint_folder(spark)}/inbox-{uuid.uuid4().hex}"
+    rows = _files(spark, d)
+    shown = rows.select(F.concat(F.lit("f"), "doc_id", F.lit("-"), "name").alias("path"), F.col("sample").alias("content"))
+    hidden = rows.select(F.concat(F.lit(".h"), "doc_id").alias("path"), F.col("name").alias("content"))
+    FO.exported(shown.union(hidden), folder).count()
+    return _kept(FO.inbox(spark, folder, "inbox_imported"), folder)
+
+
+@query("st6_new_files", f"WITH {FILES} SELECT name, CASE WHEN NOT regexp_matches(coalesce(sample, ''), '\\S') THEN 'empty' ELSE 'read' END AS status, strlen(coalesce(sample, ''))::BIGINT AS length, sha256(coalesce(sample, '')) AS sha FROM v WHERE doc_id % 3 <> 2 AND name NOT LIKE '.%'")
+def st6(spark, d):
+    """New files as a stream, each with what became of it."""
+    folder = _exported(spark, d)
+    rows = FO.new_texts(spark, folder).select("name", "status", "length", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
+    return _kept(stream.drained(rows), folder)
 
 
 @query("sec2_sensitive_names", f"WITH {FILES} SELECT doc_id, name FROM v WHERE regexp_matches(name, '{A.SENSITIVE_NAME}')")
@@ -82,9 +120,14 @@ def win11(spark, d):
     return A.safe_names(_files(spark, d)).select("doc_id", "safe_name")
 
 
-@query("snk5_processed_manifest", f"WITH {FILES} SELECT name, doc_id, round(size_bytes / 1024.0::DOUBLE, 1) AS size_kb FROM v WHERE processed")
+@query("snk5_processed_manifest", f"WITH {FILES} SELECT name, round(strlen(coalesce(sample, '')) / 1024.0::DOUBLE, 1) AS size_kb, true AS timed FROM v WHERE doc_id % 3 <> 2 AND doc_id % 21 <> 5 AND doc_id % 4 = 0")
 def snk5(spark, d):
-    return _files(spark, d).where("processed").select("name", "doc_id", F.round(F.col("size_bytes") / 1024.0, 1).alias("size_kb"))
+    """The manifest of processed files, written as JSON lines and read back; sizes and times are those of the files."""
+    folder = _exported(spark, d)
+    found = FO.scanned(spark, folder).where(F.regexp_extract("path", "/d([0-9]+)/", 1).cast("long") % 4 == 0)
+    A.processed_manifest(found).write.json(f"{folder}/manifest")
+    rows = spark.read.schema("name string, size_kb double, processed_at timestamp").json(f"{folder}/manifest")
+    return _kept(rows.select("name", "size_kb", F.col("processed_at").isNotNull().alias("timed")), folder)
 
 
 @query("j23_new_contents", "SELECT doc_id, substr(sha256(text), 1, 12) AS sha12 FROM documents WHERE doc_id % 2 = 1 AND substr(sha256(text), 1, 12) NOT IN (SELECT substr(sha256(text), 1, 12) FROM documents WHERE doc_id % 2 = 0 AND text IS NOT NULL)")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from corpusforge.operators import corpus as C
@@ -9,6 +11,8 @@ from corpusforge.operators import linkage as L
 from corpusforge.operators import scholarly as S
 from corpusforge.plans.linkage import REG, WORKS, _key, registry, works
 from corpusforge.plans.registry import query
+from corpusforge.session import checkpoint_folder, checkpointed, removed
+from corpusforge.sources import folders as FO
 from corpusforge.sources import views as V
 
 _s = lambda x: "'" + x.replace("'", "''") + "'"
@@ -229,6 +233,36 @@ def src4(spark, d):
     return kept.groupBy("scheme").agg(F.sum("n").alias("n"), F.count_if(F.col("outcome") == "inserted").alias("inserted"))
 
 
+# CSV files as they come in: a mark at the beginning, headers in other cases and words, odd records.
+_CSV_ROWS = """SELECT p_partkey AS n, row_number() OVER (ORDER BY p_partkey) + 1 AS place, CASE WHEN p_partkey % 17 = 0 THEN '' ELSE scheme END AS scheme,
+  CASE WHEN p_partkey % 5 = 0 THEN concat('the "new" ', journal_name, ', b') WHEN p_partkey % 3 = 0 THEN 'Same Name' ELSE journal_name END AS journal_name, edition, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE issn END AS issn,
+  CASE WHEN p_partkey % 31 = 0 THEN 'quote is not closed' WHEN p_partkey % 37 = 0 THEN 'more fields than headers' END AS broken FROM {}"""
+
+
+@query(
+    "src4_csv_import",
+    f"""WITH {REG}, c AS ({_CSV_ROWS.format('r')}), k AS (SELECT *, CASE WHEN broken IS NOT NULL THEN broken WHEN scheme = '' THEN 'invalid' END AS bad FROM c)
+    SELECT place AS line, CASE WHEN bad IS NOT NULL THEN bad WHEN row_number() OVER (PARTITION BY bad, scheme, edition, issn, {_key('journal_name')} ORDER BY place) = 1 THEN 'inserted' ELSE 'duplicate' END AS outcome FROM k""",
+)
+def src4_csv(spark, d):
+    """A CSV file written and imported: what became of each record, by its line."""
+    r = registry(spark, d)
+    r.createOrReplaceTempView("csv_registry")
+    rows = spark.sql(_CSV_ROWS.format("csv_registry"))
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"'))
+    line = F.concat(
+        F.when(F.col("broken") == "quote is not closed", F.lit('"')).otherwise(F.lit("")), F.concat_ws(",", F.concat(F.lit(" "), "scheme"), "edition", quoted("journal_name"), F.concat("issn", F.lit(" "))),
+        F.when(F.col("broken") == "more fields than headers", F.lit(",x,y")).otherwise(F.lit("")),
+    )
+    folder = f"{checkpoint_folder(spark)}/csv-{uuid.uuid4().hex}"
+    head = spark.createDataFrame([("\ufeffSCHEME,Edition,Journal Name,ISSN", 1)], "value string, place int")
+    head.union(rows.select(line.alias("value"), "place")).repartition(1).sortWithinPartitions("place").select("value").write.text(folder)
+    found = FO.csv_records(spark, folder, {"scheme": ("scheme",), "edition": ("edition",), "journal_name": ("journal_name", "journal name"), "issn": ("issn",)})
+    done = checkpointed(L.record_outcomes(found).select("line", "outcome"))
+    removed(spark, folder)
+    return done
+
+
 @query("a10_import_outcomes", f"WITH {REG} SELECT outcome, count(*) AS n FROM ({_OUTCOME}) GROUP BY outcome")
 def a10(spark, d):
     rows = _imported(spark, d)

@@ -5,30 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusforge.sources.folders import exported
+
 #: Pages that list others.
 LISTS = ("index", "log")
 
 
-def write_pages(pages: DataFrame, folder: str) -> None:
-    """One file for each page (section, stem, page_text), in a folder of its section and name.
-
-    Rows are dealt by section and name first, so a page is written by one task; Spark's commit takes the place
-    of temporary files.
-    """
-    rows = pages.select("section", "stem", F.col("page_text").alias("value")).repartition("section", "stem")
-    rows.write.partitionBy("section", "stem").text(folder)
+def write_pages(pages: DataFrame, folder: str) -> int:
+    """One file for each page, ``section/stem.md``; gives the number of files."""
+    path = F.concat("section", F.lit("/"), "stem", F.lit(".md"))
+    return exported(pages.select(path.alias("path"), F.col("page_text").alias("content")), folder).count()
 
 
-def scan_pages(spark: SparkSession, folder: str, pattern: str = "*.txt", skipped: tuple[str, ...] = LISTS) -> DataFrame:
+def scan_pages(spark: SparkSession, folder: str, pattern: str = "*.md", skipped: tuple[str, ...] = LISTS) -> DataFrame:
     """(path, section, stem, modified, page_text) of all page files below a folder but lists of pages."""
     raw = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
     path = F.col("_metadata.file_path")
     rows = raw.select(
-        path.alias("path"), F.regexp_extract(path, "section=([^/]*)/", 1).alias("section"), F.regexp_extract(path, "(?:stem=([^/]*)/|([^/]*)\\.[^./]*$)", 1).alias("named"), F.regexp_extract(path, "([^/]*)\\.[^./]*$", 1).alias("file"),
-        F.col("_metadata.file_modification_time").alias("modified"), F.regexp_replace("value", "\\n\\z", "").alias("page_text"),
+        path.alias("path"), F.regexp_extract(path, "([^/]*)/[^/]*$", 1).alias("section"), F.regexp_extract(path, "([^/]*)\\.[^./]*$", 1).alias("stem"),
+        F.col("_metadata.file_modification_time").alias("modified"), F.col("value").alias("page_text"),
     )
-    stem = F.when(F.col("named") != "", F.col("named")).otherwise(F.col("file"))
-    return rows.withColumn("stem", stem).where(~F.col("stem").isin(*skipped)).select("path", "section", "stem", "modified", "page_text")
+    return rows.where(~F.col("stem").isin(*skipped))
 
 
 def html_pages(pages: DataFrame) -> DataFrame:

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StringType, StructField, StructType
 
 from corpusforge.operators.sensitive import gate
-from corpusforge.session import checkpoint_folder
+from corpusforge.session import checkpoint_folder, checkpointed, removed
 
 
 def read_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -17,12 +21,35 @@ def read_stream(spark: SparkSession, path: str) -> DataFrame:
 
 
 def drained(stream: DataFrame) -> DataFrame:
-    """Run a stream over all that is there now; its rows, from files in the shared folder."""
+    """Run a stream over all that is there now; its rows. What the run leaves in the shared folder is deleted."""
     spark = stream.sparkSession
     folder = f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
     writer = stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state")
     writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+    found = checkpointed(spark.read.schema(stream.schema).parquet(f"{folder}/rows"))
+    removed(spark, folder)
+    return found
+
+
+def gated(captures: DataFrame, folder: str, text_col: str = "text", most_files: int | None = None) -> None:
+    """Send captures that are there now through the write gate, into accepted and refused ones; go on later with the same folder.
+
+    A batch is looked at once: it is written as one table with both parts, under its number, in one commit. A batch that is run again after a stop has the
+    same rows and takes the place of what it wrote before.
+    """
+    rules = gate(F.col(text_col))
+    marked = captures.withColumns({"refused": rules["blocked"], "types": rules["block"], "snippets": rules["snippets"], "warnings": F.array_join(rules["warn"], ",")})
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").partitionBy("refused").parquet(f"{folder}/rows/batch={number}")
+
+    marked.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+
+
+def gate_rows(spark: SparkSession, folder: str, refused: bool) -> DataFrame:
+    """What the gate has let through so far, or refused: refused captures keep the types of the rules and what these found."""
+    rows = spark.read.option("basePath", f"{folder}/rows").parquet(f"{folder}/rows").where(F.col("refused") == refused)
+    return rows.drop("batch", "refused", *(("types", "snippets") if not refused else ()))
 
 
 def accepted(captures: DataFrame, text_col: str = "text") -> DataFrame:
@@ -36,21 +63,57 @@ def first_seen(events: DataFrame, keys: list[str], time_col: str, delay: str) ->
     return events.withColumn(time_col, F.col(time_col).cast("timestamp")).withWatermark(time_col, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def latest_values(events: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The latest event of each key: every micro-batch is merged into a table of one row a key.
+def latest_values(events: DataFrame, keys: list[str], order: str, time_col: str, ttl_seconds: Column, folder: str, delay: str = "0 seconds") -> None:
+    """Keep the latest event of each key, until it expires, in a table that grows by changes; go on later with the same folder.
 
-    A batch reads the table that the last one wrote and writes the next; the newest is the result.
+    The state of a key is its newest event and a timer at its end; an event that isn't newer changes nothing. Each batch writes the keys that it
+    set or that expired, under its number: nothing else is read or written. State and table are in the folder, so
+    a run that stopped goes on where it was, and a batch that is run again takes the place of what it wrote.
     """
-    spark = events.sparkSession
-    folder = f"{checkpoint_folder(spark)}/latest-{uuid.uuid4().hex}"
-    rest = [c for c in events.columns if c not in keys]
-    written: list[str] = []
-
-    def merge(batch: DataFrame, number: int) -> None:
-        rows = batch.union(spark.read.schema(batch.schema).parquet(written[-1])) if written else batch
-        newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_v")).select(*keys, "_v.*")
-        newest.select(*batch.columns).write.mode("overwrite").parquet(f"{folder}/table-{number}")
-        written.append(f"{folder}/table-{number}")
-
-    events.writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(events.schema).parquet(written[-1]) if written else spark.createDataFrame([], events.schema)
+    columns = [c for c in events.columns if c not in keys and c != time_col]
+    rows = events.withColumn(time_col, F.col(time_col).cast("timestamp")).withColumn("expires_at", F.col(time_col) + F.make_dt_interval(secs=ttl_seconds.cast("decimal(18,6)"))).withWatermark(time_col, delay)
+    kept = rows.select(*keys, *columns, time_col, "expires_at")
+    held = kept.schema
+    state_type = StructType([f for f in held.fields if f.name not in keys])
+    out = StructType([*held.fields, StructField("change", StringType())])
+    names = [f.name for f in state_type.fields]
+
+    def step(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        def change(values: tuple, kind: str) -> pd.DataFrame:
+            return pd.DataFrame([(*key, *values, kind)], columns=[*keys, *names, "change"])
+
+        if state.hasTimedOut:
+            old = state.get
+            state.remove()
+            yield change(old, "expired")
+            return
+        best = state.get if state.exists else None
+        changed = False
+        for part in parts:
+            newest = part.loc[part[order].idxmax()]
+            if best is None or newest[order] > best[names.index(order)]:
+                best, changed = tuple(newest[n] for n in names), True
+        if changed:
+            state.update(best)
+            yield change(best, "set")
+        if best is not None:
+            ends = int(pd.Timestamp(best[-1]).timestamp() * 1000)
+            if ends > state.getCurrentWatermarkMs():
+                state.setTimeoutTimestamp(ends)
+            else:
+                state.remove()
+                yield change(best, "expired")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/changes/batch={number}")
+
+    changes = kept.groupBy(*keys).applyInPandasWithState(step, out, state_type, "update", GroupStateTimeout.EventTimeTimeout)
+    changes.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+
+
+def live_values(spark: SparkSession, folder: str, keys: list[str], now: Column) -> DataFrame:
+    """The table of latest values: each key's last change, unless it is expired at ``now``."""
+    changes = spark.read.option("basePath", f"{folder}/changes").parquet(f"{folder}/changes")
+    rest = [c for c in changes.columns if c not in keys]
+    last = changes.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("batch", (F.col("change") == "expired").alias("after"))).alias("v")).select(*keys, "v.*")
+    return last.where((F.col("change") == "set") & (F.col("expires_at") >= now)).drop("batch", "change")

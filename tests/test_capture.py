@@ -24,7 +24,7 @@ def test_scan_of_markdown_files(spark, tmp_path):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_text(text)
     got = {r.stem: r.page_text for r in P.scan_pages(spark, str(tmp_path), "*.md").collect()}
-    assert got == {"one": "# One\n\nx", "two": "two"}
+    assert got == {"one": "# One\n\nx\n", "two": "two"}
 
 
 def test_written_pages_come_back(spark, tmp_path):
