@@ -53,14 +53,14 @@ def collapsed_sha(text: Column) -> Column:
     return F.sha2(F.trim(F.regexp_replace(text, "[ \\t\\n\\r\\f\\x0B]+", " ")), 256)
 
 
-def dice(a: Column, b: Column) -> Column:
-    """Dice similarity of two texts' sets of character pairs; texts under two characters have none."""
+def character_pairs(text: Column) -> Column:
+    """The distinct pairs of neighbouring characters; one regex pass gives all, a substring would be sought from the text's beginning each time."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)(?=(..))"), F.lit(1)))
 
-    def pairs(t: Column) -> Column:
-        # One regex pass gives all overlapping pairs; a substring would be sought from the text's beginning each time.
-        return F.array_distinct(F.regexp_extract_all(t, F.lit("(?s)(?=(..))"), F.lit(1)))
 
-    x, y = pairs(a), pairs(b)
+def dice(a: Column, b: Column) -> Column:
+    """Dice similarity of two texts' sets of character pairs; texts under two characters have none."""
+    x, y = character_pairs(a), character_pairs(b)
     return F.when(F.size(x) + F.size(y) == 0, 0.0).otherwise(2 * F.size(F.array_intersect(x, y)) / (F.size(x) + F.size(y)))
 
 

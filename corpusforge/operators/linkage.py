@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusforge.functions.text import dice
+from corpusforge.functions.text import character_pairs, dice
 from corpusforge.operators.corpus import issn_valid
 from corpusforge.session import checkpointed
 
@@ -14,6 +14,8 @@ CJK = "[\\x{4E00}-\\x{9FFF}\\x{3400}-\\x{4DBF}]"
 PUNCTUATION = "[\\s\\-_.,;:!?()\\[\\]{}/\\\\|—–（）、。，．：；！？《》〈〉“”‘’【】「」]+"
 #: A registry name is a candidate if it contains this many first characters of a record's name, else the second number.
 BLOCKS = (30, 15)
+#: So many of the rarest character pairs must be shared before two names are compared.
+SHARED = 5
 
 
 def name_key(name: Column) -> Column:
@@ -47,11 +49,43 @@ def match_by_value(works: DataFrame, value: Column, registry: DataFrame, columns
     return asked.join(_by(registry, columns), "value").select("work_id", "p_partkey")
 
 
+def _with_pairs(rows: DataFrame, name: str) -> DataFrame:
+    """Rows with the distinct character pairs of a name, punctuation left out."""
+    return rows.withColumn("pairs", character_pairs(collapsed(F.col(name)))).withColumn("n", F.size("pairs"))
+
+
+def _prefixes(rows: DataFrame, counts: DataFrame, name: str) -> DataFrame:
+    """(piece, name, n, pair) of the pairs of each name that come first in its block: those that fewest of the block's registry names have.
+
+    Names with Dice 0.8 share two thirds of either one's pairs at least, so they share ``SHARED`` (or all of those two thirds) of each one's first
+    ``n - ceil(2n/3) + SHARED`` in any order that both keep.
+    """
+    each = rows.select("piece", name, "n", F.explode("pairs").alias("pair")).join(counts, ["piece", "pair"], "left").withColumn("held", F.coalesce("held", F.lit(0)))
+    order = Window.partitionBy("piece", name).orderBy("held", "pair")
+    return each.withColumn("place", F.row_number().over(order)).where(F.expr(f"place <= n - (2 * n + 2) div 3 + {SHARED}")).select("piece", name, "n", "pair")
+
+
+def similar_pairs(asked: DataFrame, pieces: DataFrame) -> DataFrame:
+    """(name, known, p_partkey) of names in one block that may have a Dice similarity of 0.8.
+
+    A set-similarity join: sizes must allow it, and some of each name's rarest pairs must be shared. In a block of names that begin alike the common
+    beginning's pairs come last, so names don't meet for it.
+    """
+    left, right = checkpointed(_with_pairs(asked, "name")), checkpointed(_with_pairs(pieces, "known"))
+    counts = checkpointed(right.select("piece", F.explode("pairs").alias("pair")).groupBy("piece", "pair").agg(F.count("*").alias("held")))
+    a, b = _prefixes(left, counts, "name").alias("a"), _prefixes(right, counts, "known").alias("b")
+    fits = (F.col("a.piece") == F.col("b.piece")) & (F.col("a.pair") == F.col("b.pair")) & (3 * F.least("a.n", "b.n") >= 2 * F.greatest("a.n", "b.n"))
+    least = F.least(F.lit(SHARED), F.expr("(2 * least(a.n, b.n) + 2) div 3"))
+    met = a.join(b, fits).groupBy("a.name", "b.known", least.alias("least")).agg(F.count_distinct("a.pair").alias("shared")).where("shared >= least")
+    # Names without pairs have a similarity of 0 and are never found; the others' keys come back by their name.
+    return met.join(pieces.select("known", "p_partkey").distinct(), "known").select("name", "known", "p_partkey")
+
+
 def similar_names(names: DataFrame, registry: DataFrame) -> DataFrame:
     """(name, p_partkey, score) of the most similar registry row of each name, among those with its first characters.
 
-    Candidates come from an equality join: registry names give their pieces of the lengths asked for (at most 30),
-    so no pair is formed that shares no piece. Scores under 0.8 are left out; ties go to the smallest key.
+    Blocks come from an equality join: registry names give their pieces of the lengths asked for (at most 30). Within a block
+    only names that can be similar enough are compared. Scores under 0.8 are left out; ties go to the smallest key.
     """
     known = checkpointed(registry.select("p_partkey", name_key(F.col("journal_name")).alias("known")).groupBy("known").agg(F.min("p_partkey").alias("p_partkey")))
     left, found = checkpointed(names.select("name").where("name <> ''").distinct()), None
@@ -61,9 +95,11 @@ def similar_names(names: DataFrame, registry: DataFrame) -> DataFrame:
         starts = F.sequence(F.lit(1), F.greatest(F.length("known") - F.col("w") + 1, F.lit(1)))
         sized = known.join(F.broadcast(lengths), F.length("known") >= F.col("w"))
         pieces = sized.select("known", "p_partkey", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring("known", i, F.col("w"))))).alias("piece"))
-        pairs = asked.join(pieces, "piece").select("name", "known", "p_partkey")
+        pieces = checkpointed(pieces.join(asked.select("piece").distinct(), "piece", "left_semi"))
+        pairs = similar_pairs(asked, pieces)
         found = pairs if found is None else found.union(pairs)
-        left = left.join(pairs.select("name").distinct(), "name", "left_anti")
+        # Whoever has a block has had its turn, similar names or not.
+        left = checkpointed(asked.join(pieces.select("piece").distinct(), "piece", "left_anti").select("name"))
     scored = found.withColumn("score", similarity(F.col("name"), F.col("known")))
     best = scored.groupBy("name").agg(F.max_by(F.struct("p_partkey", "score"), F.struct("score", -F.col("p_partkey"))).alias("b")).select("name", "b.*")
     return best.where("score >= 0.8")

@@ -64,6 +64,11 @@ def _vectors(spark, d):
     return R.cosine(rows, rows.where("vec_id % 50 = 0"))
 
 
+def _nearest(spark, d, k):
+    rows = table(spark, d, "embeddings")
+    return R.nearest(rows, rows.where("vec_id % 50 = 0"), k)
+
+
 @query("txt1_tokenize", f"SELECT doc_id, len({DOC_WORDS}) AS n_tokens, sha256(array_to_string({DOC_WORDS}, ' ')) AS tokens_sha FROM documents")
 def txt1(spark, d):
     words = tokens(F.col("text"))
@@ -140,7 +145,7 @@ def j2(spark, d):
 
 @query("win2_vector_top50", f"WITH {VEC} {TOP.format('ve', 50)}")
 def win2(spark, d):
-    return R.top(_vectors(spark, d), R.POOL)
+    return _nearest(spark, d, R.POOL)
 
 
 HYBRID = f"""{BM25}, {VEC}, a AS ({TOP.format('bm', 50)}), b AS ({TOP.format('(SELECT qid // 50 AS qid, doc_id, score FROM ve)', 50)}),
@@ -151,8 +156,8 @@ fu AS (SELECT coalesce(a.qid, b.qid) AS qid, coalesce(a.doc_id, b.doc_id) AS doc
 
 def _hybrid(spark, d):
     # Item i's vector is that of embedding 50 * i.
-    vectors = _vectors(spark, d).withColumn("qid", F.expr("qid div 50"))
-    return R.fuse(R.top(_bm25(spark, d), R.POOL), R.top(vectors, R.POOL))
+    vectors = _nearest(spark, d, R.POOL).withColumn("qid", F.expr("qid div 50"))
+    return R.fuse(R.top(_bm25(spark, d), R.POOL), vectors)
 
 
 @query("j3_rrf_fusion", f"WITH {HYBRID} SELECT * FROM fu")

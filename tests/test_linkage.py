@@ -1,5 +1,7 @@
 """Registry matching where work ids and registry keys repeat."""
 
+from pyspark.sql import functions as F
+
 from corpusforge.operators import linkage as L
 
 WORK = "work_id string, issn string, issn_l string, eissn string, journal_name string"
@@ -18,3 +20,32 @@ def test_repeated_work_ids(spark):
         got = {r.work_id: (r.p_partkey, r.method) for r in L.match_works(works.repartition(parts), registry).collect()}
         assert got == {"w1": (1, "issn"), "w2": (1, "name"), "w3": (3, "similar")}
     assert L.match_works(works.limit(0), registry).count() == 0
+
+
+def test_names_of_one_beginning_are_not_all_compared(spark):
+    """Thousands of names that begin alike: every similar one is found, and few pairs are looked at."""
+    import random
+
+
+    rng = random.Random(6)
+    start = "international journal of applied "
+    kinds = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(14, 40))) for _ in range(2500)]
+    registry = spark.createDataFrame([(i, start + k) for i, k in enumerate(kinds)], "p_partkey long, journal_name string")
+    asked = [start + k[:-1] + "q" for k in kinds[:300]] + [start + "".join(rng.choice("xyz0123456789") for _ in range(30)) for _ in range(50)]
+    names = spark.createDataFrame([(n,) for n in asked], "name string")
+
+    def pairs(t):
+        t = "".join(t.split())
+        return {t[i : i + 2] for i in range(len(t) - 1)}
+
+    sets = [pairs(start + k) for k in kinds]
+    want = {}
+    for n in asked:
+        own = pairs(n)
+        score, i = max((2 * len(own & s) / (len(own) + len(s)), -i) for i, s in enumerate(sets))
+        if score >= 0.8:
+            want[n] = (-i, round(score, 6))
+    assert {r.name: (r.p_partkey, round(r.score, 6)) for r in L.similar_names(names, registry).collect()} == want and len(want) > 250
+    block = lambda df, c: df.withColumn("piece", F.substring(c, 1, 30))
+    known = registry.select("p_partkey", F.col("journal_name").alias("known"))
+    assert L.similar_pairs(block(names, "name"), block(known, "known")).count() < len(asked) * len(kinds) // 10
