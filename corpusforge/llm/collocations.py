@@ -7,8 +7,9 @@
    same scans. It is counted for exactly ``shards`` steps, that is once in each shard, and then its count is whole.
 3. Which phrases have reached the threshold, and before which step, is told by a table of 2^``bits`` cells that all tasks get: a
    cell has the step in which the first phrase of its hash was there. Its size doesn't depend on the corpus. Phrases that share a cell
-   become active early and are counted all the same for one whole cycle, so counts stay exact; a full table only counts more phrases.
+   become active early and are counted all the same for one whole cycle; a full table only counts more phrases.
 4. It ends when no phrase is active any more. A frequent phrase has frequent parts, so none is missed.
+5. So far phrases went by 64-bit hashes, whose counts are never too small. One more scan counts those that reached the threshold by their words.
 
 Scores are exact: products are decimals of 38 digits. Words go by 64-bit hashes; if two words of the corpus have the same one,
 all is done again with other hashes.
@@ -86,27 +87,29 @@ def _distinct(keys: np.ndarray, at: np.ndarray, columns: list[np.ndarray]) -> tu
     return at[first], counts
 
 
+def _laid_out(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """Words of all documents in a row with one 0 after each, their hashes with the language, the language's number, and the languages."""
+    langs = batch.column("lang").dictionary_encode()
+    names = langs.dictionary.to_pylist()
+    values, lengths = flat(batch.column("words"))
+    x = np.zeros(len(values) + len(lengths), np.uint64)
+    x[np.arange(len(values)) + np.repeat(np.arange(len(lengths)), lengths)] = values
+    lang = np.repeat(langs.indices.to_numpy(zero_copy_only=False), lengths + 1)
+    salt = np.array([xxhash.xxh64_intdigest(n) for n in names] or [0], np.uint64)
+    return x, mixed(salt[lang], x), lang, names
+
+
 def counted(shard: DataFrame, step: int, shards: int, reached, bits: int) -> DataFrame:
-    """(lang, w1 .. w5, k, cell, began, c): the phrases that are active in this step, with their counts in this shard."""
+    """(h, info, c): hashes of the phrases that are active in this step, the step they began in times 8 plus their length, and their number."""
     shift = np.uint64(64 - bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         steps = reached.value
         for batch in slices(batches, "words", 8 << 20):
-            langs = batch.column("lang").dictionary_encode()
-            names = langs.dictionary.to_pylist()
-            values, lengths = flat(batch.column("words"))
-            # One 0 after each document, so that no phrase goes over its end.
-            own = np.repeat(np.arange(len(lengths)), lengths)
-            x = np.zeros(len(values) + len(lengths), np.uint64)
-            x[np.arange(len(values)) + own] = values
-            lang = np.repeat(langs.indices.to_numpy(zero_copy_only=False), lengths + 1)
-            salt = np.array([xxhash.xxh64_intdigest(n) for n in names], np.uint64)
-            h = mixed(salt[lang] if len(names) else x, x)
+            x, h, _, _ = _laid_out(batch)
             known = steps[h >> shift]
             known[x == 0] = NEVER
-            at = np.flatnonzero(x) if step < shards else np.zeros(0, np.int64)
-            began = np.zeros(len(x), np.uint8)
+            began = np.where(x == 0, NEVER, 0).astype(np.uint8)
             for k in range(1, LONGEST + 1):
                 if k > 1:
                     began = np.maximum(known[:-1], known[1:])
@@ -114,26 +117,56 @@ def counted(shard: DataFrame, step: int, shards: int, reached, bits: int) -> Dat
                     if not live.any():
                         break
                     h = mixed(h[:-1], x[k - 1 :])
-                    at = np.flatnonzero(live & (began <= step) & (step < began.astype(np.int64) + shards))
                     # Not known before it began, even if another phrase's step stands in its cell: so its step never changes.
                     known = np.where(live, np.maximum(steps[h >> shift], began), NEVER).astype(np.uint8)
-                if len(at):
-                    places, counts = _distinct(h[at], at, [*(x[at + j] for j in range(k)), lang[at]])
-                    held = [x[places + j] if j < k else np.zeros(len(places), np.uint64) for j in range(LONGEST)]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(names).take(pa.array(lang[places])), *(pa.array(w.view(np.int64)) for w in held), pa.array(np.full(len(places), k, np.int32)),
-                            pa.array((h[places] >> shift).astype(np.int64)), pa.array(began[places].astype(np.int32)), pa.array(counts.astype(np.int64)),
-                        ],
-                        names=[*PHRASE, "k", "cell", "began", "c"],
-                    )
+                for first in range(max(0, step - shards + 1), step + 1):
+                    found, counts = np.unique(h[began == first], return_counts=True)
+                    if len(found):
+                        info = pa.array(np.full(len(found), first * 8 + k, np.int32))
+                        yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), info, pa.array(counts.astype(np.int64))], names=["h", "info", "c"])
+
+    return shard.select("lang", "words").mapInArrow(run, "h long, info int, c long")
+
+
+def spelled_out(corpus: DataFrame, wanted, bits: int) -> DataFrame:
+    """(lang, w1 .. w5, k, c): exact counts of the phrases whose cells, and those of all their parts, are in the table; k = 0 counts all words."""
+    shift = np.uint64(64 - bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = wanted.value
+        for batch in slices(batches, "words", 8 << 20):
+            x, h, lang, names = _laid_out(batch)
+            live = x != 0
+            sizes = np.bincount(lang[live], minlength=len(names))
+            on = live & table[h >> shift]
+            none = np.zeros(len(names), np.int64)
+            yield _phrases(names, np.arange(len(names)), [none] * LONGEST, 0, sizes)
+            for k in range(1, LONGEST + 1):
+                if k > 1:
+                    h = mixed(h[:-1], x[k - 1 :])
+                    on = on[:-1] & on[1:] & table[h >> shift]
+                at = np.flatnonzero(on)
+                if not len(at):
+                    break
+                places, counts = _distinct(h[at], at, [*(x[at + j] for j in range(k)), lang[at]])
+                yield _phrases(names, lang[places], [x[places + j].view(np.int64) if j < k else np.zeros(len(places), np.int64) for j in range(LONGEST)], k, counts)
 
     words = ", ".join(f"{w} long" for w in WORDS)
-    return shard.select("lang", "words").mapInArrow(run, f"lang string, {words}, k int, cell long, began int, c long")
+    rows = corpus.select("lang", "words").mapInArrow(run, f"lang string, {words}, k int, c long")
+    return rows.groupBy(*PHRASE, "k").agg(F.sum("c").alias("c"))
+
+
+def _phrases(names: list[str], lang: np.ndarray, words: list[np.ndarray], k: int, counts: np.ndarray) -> pa.RecordBatch:
+    langs = pa.array(names, pa.string()).take(pa.array(lang))
+    return pa.RecordBatch.from_arrays([langs, *map(pa.array, words), pa.array(np.full(len(lang), k, np.int32)), pa.array(counts.astype(np.int64))], names=[*PHRASE, "k", "c"])
 
 
-def _summed(rows: DataFrame) -> DataFrame:
-    return rows.groupBy(*PHRASE).agg(F.max("k").alias("k"), F.max("cell").alias("cell"), F.max("began").alias("began"), F.sum("c").alias("c"))
+def _cells(rows: DataFrame, bits: int) -> np.ndarray:
+    """The numbers of the cells that hashes ``h`` lie in; one bit a cell is sent, so 2^bits / 8 bytes at most."""
+    cells = rows.select((F.shiftrightunsigned("h", 64 - bits) + 1).alias("cell"))
+    maps = cells.groupBy(F.bitmap_bucket_number("cell").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("cell")).alias("bitmap"))
+    found = [np.flatnonzero(np.unpackbits(np.frombuffer(bitmap, np.uint8), bitorder="little")) + (block - 1) * 32768 for block, bitmap in maps.collect()]
+    return np.concatenate([np.zeros(0, np.int64), *found])
 
 
 def frequent_phrases(documents: DataFrame, least: int = 100, shards: int = 4, bits: int = 24, seed: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -150,32 +183,29 @@ def frequent_phrases(documents: DataFrame, least: int = 100, shards: int = 4, bi
         removed(spark, f"{folder}/shards-{seed}")
         seed += 1
     steps = np.full(1 << bits, NEVER, np.uint8)
-    total, sizes, last, step = None, None, 0, 0
+    total, last, step = None, 0, 0
     while step < shards or step < last + shards:
         reached = spark.sparkContext.broadcast(steps)
         rows = counted(corpus.where(F.col("shard") == step % shards), step, shards, reached, bits)
         if total is not None:
             # A phrase whose cycle is over stays only if it is frequent.
-            rows = rows.unionByName(total.where((F.col("began") + shards > step) | (F.col("c") >= least)))
-        _summed(rows).write.parquet(f"{folder}/step-{step}")
-        total = spark.read.parquet(f"{folder}/step-{step}")
+            rows = rows.unionByName(total.where((F.expr("info div 8") + shards > step) | (F.col("c") >= least)))
+        rows.groupBy("h").agg(F.max("info").alias("info"), F.sum("c").alias("c")).write.parquet(f"{folder}/step-{step}")
+        total = spark.read.schema("h long, info int, c long").parquet(f"{folder}/step-{step}")
         if step:
             removed(spark, f"{folder}/step-{step - 1}")
-        if step == shards - 1:
-            sizes = checkpointed(total.where("k = 1").groupBy("lang").agg(F.sum("c").alias("n")))
         step += 1
-        cells = total.where((F.col("c") >= least) & (F.col("k") < LONGEST)).select((F.col("cell") + 1).alias("cell"))
-        maps = cells.groupBy(F.bitmap_bucket_number("cell").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("cell")).alias("bitmap"))
-        for block, bitmap in maps.collect():  # one bit a cell, so 2^bits / 8 bytes at most
-            on = np.flatnonzero(np.unpackbits(np.frombuffer(bitmap, np.uint8), bitorder="little")) + (block - 1) * 32768
-            on = on[steps[on] == NEVER]
-            if len(on):
-                last = step
-                steps[on] = step
+        on = _cells(total.where((F.col("c") >= least) & (F.col("info") % 8 < LONGEST)), bits)
+        on = on[steps[on] == NEVER]
+        if len(on):
+            last = step
+            steps[on] = step
         reached.destroy()
-    found = checkpointed(total.where(F.col("c") >= least).select(*PHRASE, "k", "c"))
+    table = np.zeros(1 << bits, bool)
+    table[_cells(total.where(F.col("c") >= least), bits)] = True
+    exact = checkpointed(spelled_out(corpus.where("shard >= 0"), spark.sparkContext.broadcast(table), bits))
     removed(spark, folder)
-    return found, sizes, names
+    return exact.where((F.col("c") >= least) & (F.col("k") > 0)), exact.where("k = 0").select("lang", F.col("c").alias("n")), names
 
 
 def _cut(first: int, end: Column | int) -> Column:
