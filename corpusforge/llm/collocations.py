@@ -41,6 +41,8 @@ NEVER = 255
 _BREAKS = re.compile(rb"[.,;:!?\n-\r]+")
 _BETWEEN = b"!"
 _NAMES = 1000
+#: A task holds so many rows at most before it gives its counts away.
+_HELD = 400_000
 
 
 def encoded(documents: DataFrame, shards: int, seed: int, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -132,7 +134,7 @@ def spelled_out(corpus: DataFrame, wanted, bits: int) -> DataFrame:
     """(lang, w1 .. w5, k, c): exact counts of the phrases whose cells, and those of all their parts, are in the table; k = 0 counts all words."""
     shift = np.uint64(64 - bits)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = wanted.value
         for batch in slices(batches, "words", 8 << 20):
             x, h, lang, names = _laid_out(batch)
@@ -151,11 +153,30 @@ def spelled_out(corpus: DataFrame, wanted, bits: int) -> DataFrame:
                 places, counts = _distinct(h[at], at, [*(x[at + j] for j in range(k)), lang[at]])
                 yield _phrases(names, lang[places], [x[places + j].view(np.int64) if j < k else np.zeros(len(places), np.int64) for j in range(LONGEST)], k, counts)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A task adds its own counts up first: the same phrases come again in every slice."""
+        held: list[pa.RecordBatch] = []
+        for some in phrases(batches):
+            held.append(some)
+            if sum(b.num_rows for b in held) >= _HELD:
+                summed = _added(held)
+                if sum(b.num_rows for b in summed) > _HELD // 2:
+                    yield from summed
+                    summed = []
+                held = summed
+        if held:
+            yield from _added(held)
+
     words = ", ".join(f"{w} long" for w in WORDS)
     rows = corpus.select("lang", "words").mapInArrow(run, f"lang string, {words}, k int, c long")
     return rows.groupBy(*PHRASE, "k").agg(F.sum("c").alias("c"))
 
 
+def _added(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+    table = pa.Table.from_batches(held).group_by([*PHRASE, "k"]).aggregate([("c", "sum")])
+    return table.rename_columns([*PHRASE, "k", "c"]).combine_chunks().to_batches()
+
+
 def _phrases(names: list[str], lang: np.ndarray, words: list[np.ndarray], k: int, counts: np.ndarray) -> pa.RecordBatch:
     langs = pa.array(names, pa.string()).take(pa.array(lang))
     return pa.RecordBatch.from_arrays([langs, *map(pa.array, words), pa.array(np.full(len(lang), k, np.int32)), pa.array(counts.astype(np.int64))], names=[*PHRASE, "k", "c"])
