@@ -93,7 +93,7 @@ _FILE = "path string, modificationTime timestamp, length long, content binary"
 
 
 def _named(rows: DataFrame) -> list[Column]:
-    name = F.regexp_extract(F.url_decode(F.regexp_replace("path", "\\+", "%2B")), "([^/]*)$", 1)
+    name = F.regexp_extract("path", "([^/]*)$", 1)
     return [name.alias("name"), extension(F.col("path")).alias("ext"), F.col("length")]
 
 

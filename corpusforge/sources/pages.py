@@ -12,18 +12,18 @@ LISTS = ("index", "log")
 
 
 def write_pages(pages: DataFrame, folder: str) -> int:
-    """One file for each page, ``section/stem.md``; gives the number of files."""
+    """One file for each page, ``section/stem.md``, with a line end behind it; gives the number of files."""
     path = F.concat("section", F.lit("/"), "stem", F.lit(".md"))
-    return exported(pages.select(path.alias("path"), F.col("page_text").alias("content")), folder).count()
+    return exported(pages.select(path.alias("path"), F.concat(F.coalesce("page_text", F.lit("")), F.lit("\n")).alias("content")), folder).count()
 
 
 def scan_pages(spark: SparkSession, folder: str, pattern: str = "*.md", skipped: tuple[str, ...] = LISTS) -> DataFrame:
     """(path, section, stem, modified, page_text) of all page files below a folder but lists of pages."""
-    raw = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
-    path = F.col("_metadata.file_path")
+    # Spark's file sources leave out files without a byte.
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
     rows = raw.select(
-        path.alias("path"), F.regexp_extract(path, "([^/]*)/[^/]*$", 1).alias("section"), F.regexp_extract(path, "([^/]*)\\.[^./]*$", 1).alias("stem"),
-        F.col("_metadata.file_modification_time").alias("modified"), F.col("value").alias("page_text"),
+        "path", F.regexp_extract("path", "([^/]*)/[^/]*$", 1).alias("section"), F.regexp_extract("path", "([^/]*)\\.[^./]*$", 1).alias("stem"),
+        F.col("modificationTime").alias("modified"), F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "\\n\\z", "").alias("page_text"),
     )
     return rows.where(~F.col("stem").isin(*skipped))
 
