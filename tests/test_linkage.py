@@ -49,3 +49,24 @@ def test_names_of_one_beginning_are_not_all_compared(spark):
     block = lambda df, c: df.withColumn("piece", F.substring(c, 1, 30))
     known = registry.select("p_partkey", F.col("journal_name").alias("known"))
     assert L.similar_pairs(block(names, "name"), block(known, "known")).count() < len(asked) * len(kinds) // 10
+
+
+def test_parts_of_blocks_and_very_large_blocks(spark, monkeypatch):
+    """Names of one block give the same whether they meet in one group, in parts, or by the set-similarity join."""
+    registry = spark.createDataFrame([(i, f"red bolt brand#{i % 25} {i % 40}") for i in range(200)], "p_partkey long, journal_name string")
+    names = spark.createDataFrame([(f"red bolt brand#{i % 25} {i % 40}x",) for i in range(150)] + [("red bolt brand#7",), ("",)], "name string")
+    got = []
+    for part, large in ((1_000, 100_000), (7, 100_000), (1_000, 3)):
+        monkeypatch.setattr(L, "PART", part)
+        monkeypatch.setattr(L, "LARGE", large)
+        got.append({(r.name, r.p_partkey, round(r.score, 9)) for r in L.similar_names(names, registry).collect()})
+    assert got[0] == got[1] == got[2] and len(got[0]) == 151
+
+
+def test_works_are_read_once_for_equality(spark):
+    """All identifiers and names of works go through one join: their table stands in the plan once."""
+    works = spark.createDataFrame([("w1", "", "", "", "x")], WORK)
+    registry = spark.createDataFrame([(1, "0000-0019", "", "", "x")], "p_partkey long, issn string, issn_l string, eissn string, journal_name string")
+    found = L.exact_matches(works, registry)
+    assert [tuple(r) for r in found.collect()] == [("w1", 1, "name", 0.92)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("work_id#") < 20
