@@ -45,7 +45,6 @@ LABELS = (
     ("Private Key", "(?i)-----BEGIN\\s+(?:RSA\\s+)?PRIVATE\\s+KEY-----"),
     ("ID Card Number (possible)", "(?i)\\b\\d{15,18}\\b"),
 )
-LABEL_CHARS, LABEL_BYTES = 50_000, 10 * 1024 * 1024
 
 
 def findings(documents: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -81,7 +80,6 @@ def gate(text: Column) -> dict[str, Column]:
     return {"blocked": F.size(kinds(BLOCK)) > 0, "block": kinds(BLOCK), "warn": kinds(WARN), "snippets": snippets}
 
 
-def labels(text: Column, width: int = LABEL_CHARS, most_bytes: int = LABEL_BYTES) -> Column:
-    """Labels of the rules that match in the first ``width`` characters; texts of more than ``most_bytes`` are left out."""
-    head = F.when(F.octet_length(text) <= most_bytes, F.substring(text, 1, width))
-    return F.array_compact(F.array(*[F.when(head.rlike(p), F.lit(t)) for t, p in LABELS]))
+def labels(text: Column, rules: tuple = LABELS) -> Column:
+    """Labels of the rules that match anywhere in the whole text."""
+    return F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(t)) for t, p in rules]))

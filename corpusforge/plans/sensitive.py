@@ -83,6 +83,7 @@ def sec3_documents(spark, d):
     return _gated(table(spark, d, "documents"), "doc_id")
 
 
-@query("sec5_label_scan", f"SELECT doc_id, array_to_string({_kinds(S.LABELS, f'CASE WHEN strlen(text) <= {S.LABEL_BYTES} THEN left(text, {S.LABEL_CHARS}) END')}, ',') AS labels FROM documents")
+@query("sec5_label_scan", f"SELECT doc_id, array_to_string({_kinds(S.LABELS)}, ',') AS labels, array_to_string({_kinds((*S.CRITICAL, *S.WARNING))}, ',') AS line_rules FROM documents")
 def sec5(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.array_join(S.labels(F.col("text")), ",").alias("labels"))
+    joined = lambda rules, name: F.array_join(S.labels(F.col("text"), rules), ",").alias(name)
+    return table(spark, d, "documents").select("doc_id", joined(S.LABELS, "labels"), joined((*S.CRITICAL, *S.WARNING), "line_rules"))

@@ -84,3 +84,10 @@ def test_wide_words_meet_plain_ones(spark):
     df = spark.createDataFrame([("Ｆｕｌｌ　ｗｏｒｄ ﬁne e\u0301t x２ １２",), ("full word fine ét x2 12",), (None,)], "t string")
     a, b, c = (r.w for r in df.select(tokens(F.col("t")).alias("w")).collect())
     assert a == b == ["full", "word", "fine", "ét", "x2"] and c == []
+
+
+def test_label_scan_reads_whole_texts(spark):
+    far = "x " * 40_000 + "password = 'abc' mail a@example.org"
+    assert one(spark, sensitive.labels, far) == ["Password"]
+    assert one(spark, lambda t: sensitive.labels(t, (*sensitive.CRITICAL, *sensitive.WARNING)), far) == ["credential", "email"]
+    assert one(spark, sensitive.labels, "x" * (10 * 1024 * 1024) + " password='abc'") == ["Password"]
