@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusforge.llm import decontam, jaccard, packing, secrets, toxicity
+from corpusforge.llm import decontam, jaccard, packing, secrets, simhash, toxicity
 from corpusforge.llm.queries import tokenizer_path
 from corpusforge.session import checkpoint_folder, removed, table
 
@@ -21,8 +21,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a 5-word Jaccard similarity of 0.8: the one with the smallest id."""
-    return jaccard.one_of_each(docs)
+    """Documents with the smallest id both of those that operator 2's fingerprints link and of those linked by a 5-word Jaccard similarity of 0.8.
+
+    Fingerprints of long near copies differ in more bits than operator 2 links, so similarity on whole sets follows it. The smallest id of
+    whatever the two link together always stays. Rows without an id stay, too.
+    """
+    least = lambda found: found.where("doc_id = component_id").select("doc_id").distinct()
+    lasting = least(simhash.near_duplicates(docs)).join(least(jaccard.near_duplicates(docs)), "doc_id", "left_semi")
+    kept = docs.join(lasting, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.union(docs.where("doc_id IS NULL"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

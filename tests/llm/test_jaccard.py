@@ -69,3 +69,10 @@ def test_stage_drops_near_copies(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS)
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == [0, 2]
     assert corpus_pipeline.drop_near_duplicates(spark, docs.where(F.lit(False)), "").count() == 0
+
+
+def test_stage_takes_links_of_fingerprints_first(spark):
+    """Texts whose fingerprints are equal while their sets of shingles differ: operator 2 links them, so one stays."""
+    texts = [" ".join(["a b c"] * 30 + [f"{side}{i}" for i in range(20)]) for side in "xy"] + ["quite another text of a few words"]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS)
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == [0, 2]
