@@ -59,6 +59,10 @@ def _bm25(spark, d):
     return X.scores(table(spark, d, "benchmark"), _index(spark, d))
 
 
+def _best(spark, d, k):
+    return X.best(table(spark, d, "benchmark"), _index(spark, d), k)
+
+
 def _vectors(spark, d):
     rows = table(spark, d, "embeddings")
     return R.cosine(rows, rows.where("vec_id % 50 = 0"))
@@ -135,7 +139,7 @@ def a4(spark, d):
 
 @query("win1_bm25_top10", f"WITH {BM25} {TOP.format('bm', 10)}")
 def win1(spark, d):
-    return X.best(table(spark, d, "benchmark"), _index(spark, d), 10)
+    return _best(spark, d, 10)
 
 
 @query("j2_vector_scores", f"WITH {VEC} SELECT * FROM ve")
@@ -157,7 +161,7 @@ fu AS (SELECT coalesce(a.qid, b.qid) AS qid, coalesce(a.doc_id, b.doc_id) AS doc
 def _hybrid(spark, d):
     # Item i's vector is that of embedding 50 * i.
     vectors = _nearest(spark, d, R.POOL).withColumn("qid", F.expr("qid div 50"))
-    return R.fuse(R.top(_bm25(spark, d), R.POOL), vectors)
+    return R.fuse(_best(spark, d, R.POOL), vectors)
 
 
 @query("j3_rrf_fusion", f"WITH {HYBRID} SELECT * FROM fu")
@@ -172,7 +176,7 @@ def win3(spark, d):
 
 @query("win5_bm25_when_no_vectors", f"WITH {BM25}, a AS ({TOP.format('bm', 50)}), fu AS (SELECT qid, doc_id, round(1.0::DOUBLE / (60 + rank), 9) AS score, score AS bm25, 0.0::DOUBLE AS vector FROM a) {TOP.format('fu', 10)}")
 def win5(spark, d):
-    return R.top(R.fuse(R.top(_bm25(spark, d), R.POOL), R.top(_vectors(spark, d).where("false"), R.POOL)), 10)
+    return R.top(R.fuse(_best(spark, d, R.POOL), R.top(_vectors(spark, d).where("false"), R.POOL)), 10)
 
 
 PAIRS = "list_distinct(list_transform(list_zip(string_split({0}, '')[:-2], string_split({0}, '')[2:]), lambda p: p[1] || p[2]))"
@@ -189,7 +193,11 @@ DICE = f"2.0 * len(list_intersect({PAIRS.format('x')}, {PAIRS.format('y')})) / (
 def win4(spark, d):
     texts = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("x"))
     docs = _docs(spark, d).select("doc_id", F.col("text").alias("y"))
-    pairs = _hybrid(spark, d).join(texts, "qid", "left").join(docs, "doc_id", "left")
+    hits = checkpointed(_hybrid(spark, d))
+    # Only the hits' texts are moved.
+    found = hits.select("doc_id").distinct()
+    docs = docs.join(F.broadcast(found) if hits.count() <= R.BROADCAST_ROWS else found, "doc_id", "left_semi")
+    pairs = hits.join(texts, "qid", "left").join(docs, "doc_id", "left")
     return R.rerank(pairs, F.round(dice(F.coalesce("x", F.lit("")), F.coalesce("y", F.lit(""))), 6)).select("qid", "doc_id", "score", "old", "rerank", "rank")
 
 
@@ -223,7 +231,7 @@ def a5(spark, d):
     f"WITH {BM25}, t AS ({TOP.format('bm', 50)}) SELECT qid, t.doc_id, t.score, rank FROM t JOIN documents USING (doc_id) WHERE lang = 'en' AND t.score >= 5 AND rank <= 50",
 )
 def flt6(spark, d):
-    pool = R.top(_bm25(spark, d), R.POOL).where("score >= 5")
+    pool = _best(spark, d, R.POOL).where("score >= 5")
     return pool.join(_docs(spark, d).where("lang = 'en'").select("doc_id"), "doc_id").select("qid", "doc_id", "score", "rank")
 
 
@@ -232,7 +240,7 @@ def flt6(spark, d):
     f"""WITH {BM25}, t AS ({TOP.format('bm', 5)}) SELECT qid, count(*) AS n, string_agg(doc_id || ':' || floor(score * 10000 + 0.5)::BIGINT, ',' ORDER BY rank) AS hits FROM t GROUP BY qid""",
 )
 def snk7(spark, d):
-    hits = R.top(_bm25(spark, d), 5).withColumn("h", F.struct("rank", F.concat_ws(":", "doc_id", F.floor(F.col("score") * 10000 + 0.5)).alias("t")))
+    hits = _best(spark, d, 5).withColumn("h", F.struct("rank", F.concat_ws(":", "doc_id", F.floor(F.col("score") * 10000 + 0.5)).alias("t")))
     return hits.groupBy("qid").agg(F.count("*").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list("h")), lambda h: h["t"]), ",").alias("hits"))
 
 

@@ -1,10 +1,12 @@
 """Boundary cases of text functions and page operators."""
 
+import unicodedata
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from corpusforge.functions.text import dice, tokens
+from corpusforge.functions.text import compatible, dice, tokens
 from corpusforge.operators import corpus, retrieval, sensitive
 
 
@@ -91,3 +93,12 @@ def test_label_scan_reads_whole_texts(spark):
     assert one(spark, sensitive.labels, far) == ["Password"]
     assert one(spark, lambda t: sensitive.labels(t, (*sensitive.CRITICAL, *sensitive.WARNING)), far) == ["credential", "email"]
     assert one(spark, sensitive.labels, "x" * (10 * 1024 * 1024) + " password='abc'") == ["Password"]
+
+
+def test_characters_that_need_no_normalisation(spark):
+    """The quick check finds just the characters outside of the settled ones."""
+    codes = [c for c in [*range(0x3400), 0x4E00, 0x9FFF, *range(0xF900, 0xFFF0), 0x1D400, 0x10FFFF] if not 0xD800 <= c < 0xE000]
+    rows = spark.createDataFrame([(c, f"a{chr(c)}b") for c in codes], "c int, t string")
+    got = {r.c: r.n for r in rows.select("c", compatible(F.col("t")).alias("n")).collect()}
+    assert got == {c: unicodedata.normalize("NFKC", f"a{chr(c)}b") for c in codes}
+    assert "&&" in rows.select(compatible(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
