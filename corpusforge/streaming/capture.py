@@ -6,13 +6,17 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from corpusforge.operators.sensitive import gate
-from corpusforge.session import checkpoint_folder, checkpointed, removed
+from corpusforge.session import checkpoint_folder, checkpointed, removed, ship
+
+#: Keys with state are dealt into so many slices; the time (in milliseconds) of what never ends.
+KEY_SLICES, NEVER = 4096, 1 << 62
 
 
 def read_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -63,52 +67,73 @@ def first_seen(events: DataFrame, keys: list[str], time_col: str, delay: str) ->
     return events.withColumn(time_col, F.col(time_col).cast("timestamp")).withWatermark(time_col, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def latest_values(events: DataFrame, keys: list[str], order: str, time_col: str, ttl_seconds: Column, folder: str, delay: str = "0 seconds") -> None:
+def _kept_bytes(rows: pd.DataFrame) -> bytes:
+    table, out = pa.Table.from_pandas(rows, preserve_index=False), pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema) as writer:
+        writer.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
+def latest_values(
+    events: DataFrame, keys: list[str], order: str, time_col: str | None = None, ttl_seconds: Column | None = None, folder: str | None = None, delay: str = "0 seconds"
+) -> DataFrame | None:
     """Keep the latest event of each key, until it expires, in a table that grows by changes; go on later with the same folder.
 
-    The state of a key is its newest event and a timer at its end; an event that isn't newer changes nothing. Each batch writes the keys that it
-    set or that expired, under its number: nothing else is read or written. State and table are in the folder, so
-    a run that stopped goes on where it was, and a batch that is run again takes the place of what it wrote.
+    Keys are dealt by their hash into ``KEY_SLICES`` slices. The state of a slice is the newest event of each of its keys and a timer at their
+    first end, so a batch calls Python once for each slice that it touches, not once for each key. An event that isn't newer changes nothing; events
+    without ``order`` are left out. Each batch writes the keys that it set or that expired, under its number: nothing else is written. State and table
+    are in the folder, so a run that stopped goes on where it was, and a batch that is run again takes the place of what it wrote.
+
+    Without ``time_col`` nothing expires, and the latest events of what is there now are given as rows.
     """
+    if time_col is None:
+        return _newest(events, keys, order)
     columns = [c for c in events.columns if c not in keys and c != time_col]
     rows = events.withColumn(time_col, F.col(time_col).cast("timestamp")).withColumn("expires_at", F.col(time_col) + F.make_dt_interval(secs=ttl_seconds.cast("decimal(18,6)"))).withWatermark(time_col, delay)
-    kept = rows.select(*keys, *columns, time_col, "expires_at")
-    held = kept.schema
-    state_type = StructType([f for f in held.fields if f.name not in keys])
-    out = StructType([*held.fields, StructField("change", StringType())])
-    names = [f.name for f in state_type.fields]
+    kept = rows.select(*keys, *columns, time_col, "expires_at").where(F.col(order).isNotNull())
+    out = StructType([*kept.schema.fields, StructField("change", StringType())])
+    names = kept.columns
 
     def step(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        def change(values: tuple, kind: str) -> pd.DataFrame:
-            return pd.DataFrame([(*key, *values, kind)], columns=[*keys, *names, "change"])
-
-        if state.hasTimedOut:
-            old = state.get
+        # What is held comes first, so of equal events it stays.
+        found = [pa.ipc.open_stream(state.get[0]).read_pandas().assign(new_=False)] if state.exists else []
+        if not state.hasTimedOut:
+            found += [part.assign(new_=True) for part in parts]
+        best = pd.concat(found, ignore_index=True).sort_values(order, ascending=False, kind="stable").drop_duplicates(keys)
+        over = best["ends_"] <= state.getCurrentWatermarkMs()
+        live = best[~over]
+        if len(live):
+            state.update((_kept_bytes(live.drop(columns="new_")),))
+            if (first := int(live["ends_"].min())) < NEVER:
+                state.setTimeoutTimestamp(first)
+        elif state.exists:
             state.remove()
-            yield change(old, "expired")
-            return
-        best = state.get if state.exists else None
-        changed = False
-        for part in parts:
-            newest = part.loc[part[order].idxmax()]
-            if best is None or newest[order] > best[names.index(order)]:
-                best, changed = tuple(newest[n] for n in names), True
-        if changed:
-            state.update(best)
-            yield change(best, "set")
-        if best is not None:
-            ends = int(pd.Timestamp(best[-1]).timestamp() * 1000)
-            if ends > state.getCurrentWatermarkMs():
-                state.setTimeoutTimestamp(ends)
-            else:
-                state.remove()
-                yield change(best, "expired")
+        yield pd.concat([best[best["new_"]].assign(change="set"), best[over].assign(change="expired")])[[*names, "change"]]
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/changes/batch={number}")
 
-    changes = kept.groupBy(*keys).applyInPandasWithState(step, out, state_type, "update", GroupStateTimeout.EventTimeTimeout)
+    ship(events.sparkSession)
+    sliced = kept.withColumn("ends_", F.coalesce(F.unix_millis("expires_at"), F.lit(NEVER))).withColumn("slice_", F.pmod(F.xxhash64(*keys), F.lit(KEY_SLICES)))
+    changes = sliced.groupBy("slice_").applyInPandasWithState(step, out, StructType([StructField("held", BinaryType())]), "update", GroupStateTimeout.EventTimeTimeout)
     changes.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return None
+
+
+def _newest(events: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The latest event of each key, of all that is there now."""
+    spark = events.sparkSession
+    folder, rest = f"{checkpoint_folder(spark)}/newest-{uuid.uuid4().hex}", [c for c in events.columns if c not in keys]
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/changes/batch={number}")
+
+    newest = events.where(F.col(order).isNotNull()).groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("v")).select(*keys, "v.*")
+    newest.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    changes = spark.read.schema(newest.schema.add("batch", "long")).parquet(f"{folder}/changes")
+    last = checkpointed(changes.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col("batch")).alias("v")).select(*keys, "v.*"))
+    removed(spark, folder)
+    return last
 
 
 def live_values(spark: SparkSession, folder: str, keys: list[str], now: Column) -> DataFrame:

@@ -143,3 +143,21 @@ def test_latest_values_stop_and_go_on(spark, tmp_path):
     # Only keys that changed are written by a batch.
     last = max(os.listdir(f"{folder}/changes"), key=lambda d: int(d.split("=")[1]) if "=" in d else -1)
     assert spark.read.parquet(f"{folder}/changes/{last}").count() <= 1
+
+
+def test_keys_of_a_slice_share_their_state(spark, tmp_path, monkeypatch):
+    """Python is called by slices of keys; with one slice for all, keys are set and expire on their own."""
+    monkeypatch.setattr(stream, "KEY_SLICES", 1)
+    folder = f"{tmp_path}/latest"
+
+    def run(name, rows):
+        spark.createDataFrame(rows, "k string, n long, ts string").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.parquet(f"{tmp_path}/in/{name}")
+        events = spark.readStream.schema("k string, n long, ts timestamp").option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+        stream.latest_values(events, ["k"], "n", "ts", F.when(F.col("k") == "short", 60).otherwise(3600), folder)
+        changes = spark.read.parquet(f"{folder}/changes/*").groupBy("k", "n", "change").count().collect()
+        return {(r.k, r.n, r.change): r["count"] for r in changes}
+
+    first = run("1", [("a", 1, "2024-01-01 00:00:00"), ("a", 3, "2024-01-01 00:00:30"), (None, 5, "2024-01-01 00:00:20"), ("short", 2, "2024-01-01 00:00:10"), ("x", None, "2024-01-01 00:00:10")])
+    assert first == {("a", 3, "set"): 1, (None, 5, "set"): 1, ("short", 2, "set"): 1}
+    second = run("2", [("a", 3, "2024-01-01 00:05:00"), (None, 6, "2024-01-01 00:05:00")])
+    assert second == first | {(None, 6, "set"): 1, ("short", 2, "expired"): 1}
