@@ -53,6 +53,8 @@ STOPS = frozenset(".!?;:\n")
 QUOTES = frozenset("\"\u00AB\u00BB\u201C\u201D\u201E")
 PREFIXES = (4, 5, 6)
 SCOPE, NEAR, AFTER = 4, 5, 3
+#: A task that learns entries reads so many bytes of texts at once, and holds the terms of so many words.
+HELD_BYTES, HELD_WORDS = 1 << 17, 10_000
 
 
 def negation(left: int, c: str) -> int:
@@ -165,6 +167,23 @@ def _terms(word: str) -> list[str]:
     return [word, *[word[:n] + "*" for n in PREFIXES if len(word) > n]]
 
 
+def _contexts(text: str) -> Iterator[pa.RecordBatch]:
+    """(term, context) of a text, each pair once in a part of ``HELD_WORDS`` words; a task holds one part at a time."""
+    words = [w for w in TOKENS.findall(text.lower()) if w not in STOPS and w not in QUOTES]
+    for start in range(0, len(words), HELD_WORDS):
+        out: set[tuple[str, str]] = set()
+        part = words[max(0, start - 1) : start + HELD_WORDS + 1]
+        if start == 0:
+            part = ["", *part]
+        if start + HELD_WORDS >= len(words):
+            part = [*part, ""]
+        for before, word, after in zip(part, part[1:], part[2:], strict=False):
+            if len(word) > 3:
+                context = f"{before} {after}"
+                out.update((t, context) for t in _terms(word))
+        yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in out], pa.string()), pa.array([c for _, c in out], pa.string())], names=["term", "context"])
+
+
 def learned_entries(sample: DataFrame, lexicon_rows: int, chance: float = 1e-9, share: float = 0.999) -> list[tuple[str, int, int]]:
     """(term, toxic contexts, other contexts) of terms that mark toxic texts.
 
@@ -176,15 +195,9 @@ def learned_entries(sample: DataFrame, lexicon_rows: int, chance: float = 1e-9,
     contexts = max(6, int(np.ceil(np.log(chance) / np.log(rate))))
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 20):
-            out: set[tuple[str, str]] = set()
+        for batch in slices(batches, "text", HELD_BYTES):
             for text in batch.column("text").to_pylist():
-                words = [w for w in TOKENS.findall(text.lower()) if w not in STOPS and w not in QUOTES]
-                for before, word, after in zip(["", *words], words, [*words[1:], ""], strict=False):
-                    if len(word) > 3:
-                        out.update((t, f"{before} {after}") for t in _terms(word))
-            rows = list(out)
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], names=["term", "context"])
+                yield from _contexts(text)
 
     def held(wanted: frozenset[str]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -552,3 +552,14 @@ def test_pipeline(spark, documents, odd):
     empty = docs.limit(0)
     for _, stage in p.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_toxicity_contexts_in_parts(monkeypatch):
+    """Parts of any size give the contexts of the whole text; a part holds the terms of a bounded number of words."""
+    words = [f"word{i % 7}{'x' * (i % 4)}" for i in range(53)]
+    want = {(t, f"{b} {a}") for b, w, a in zip(["", *words], words, [*words[1:], ""], strict=False) for t in toxicity._terms(w)}
+    for held in (1, 2, 10, 53, 100):
+        monkeypatch.setattr(toxicity, "HELD_WORDS", held)
+        parts = list(toxicity._contexts(" ".join(words)))
+        assert {(r["term"], r["context"]) for p in parts for r in p.to_pylist()} == want and max(p.num_rows for p in parts) <= 4 * held
+    assert list(toxicity._contexts("")) == []
