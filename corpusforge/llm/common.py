@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -100,8 +100,25 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches, cut so that the named text column has about ``max_bytes`` in each (one row at least)."""
+#: What this Python worker keeps between tasks: one value at most.
+_KEPT: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable[[], object]):
+    """A value that this Python worker keeps for all tasks that ask for it by name, until a task of another kind begins (see ``slices``)."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 8 << 20, keeps: str | None = None) -> Iterator[pa.RecordBatch]:
+    """The batches, cut so that the named text column has about ``max_bytes`` in each (one row at least).
+
+    A worker serves tasks of all operators, so what it has kept under another name than ``keeps`` goes first.
+    """
+    if keeps not in _KEPT:
+        _KEPT.clear()
     for batch in batches:
         size = batch.column(column).nbytes
         step = batch.num_rows if size <= max_bytes else max(1, batch.num_rows * max_bytes // max(size, 1))

@@ -16,7 +16,6 @@ null ids are kept; an empty table gives an empty result; other columns are ignor
 
 from __future__ import annotations
 
-import functools
 import json
 import os
 import re
@@ -28,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusforge.llm.common import parts_for, slices
+from corpusforge.llm.common import kept, parts_for, slices
 from corpusforge.session import checkpointed, ship
 
 END_ID = 2
@@ -130,10 +129,9 @@ def parts_words(settings: dict) -> bool:
     return steps == ["NFC", "Replace", "Lowercase"] and first.get("behavior") == "Removed" and first.get("invert") is True and split.endswith(words)
 
 
-@functools.cache
 def word_cache(path: str) -> WordCache:
-    """The cache of this Python worker, which serves all its tasks."""
-    return WordCache(path)
+    """The cache of this Python worker, which serves all its tasks that pack, one after the other."""
+    return kept(path, lambda: WordCache(path))
 
 
 def cut_lengths(n: int, capacity: int, cuts: int = 3, waste: float = 0.02) -> list[int]:
@@ -155,7 +153,7 @@ def pieces(documents: DataFrame, tokenizer: str, capacity: int = 4096, text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = word_cache(tokenizer)
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 2 << 20, keeps=tokenizer):
             out: list[list] = [[] for _ in range(6 + with_ids)]
             for doc, row, data in zip(batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), cache.ids(batch.column("text").to_pylist()), strict=True):
                 total, at = len(data) // 4, 0

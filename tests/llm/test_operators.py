@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from corpusforge.llm import chat, crf_quality, decontam, packing, quality_rules, secrets, sharding, simhash, toxicity, url_filters
+from corpusforge.llm import chat, common, crf_quality, decontam, packing, quality_rules, secrets, sharding, simhash, toxicity, url_filters
 from corpusforge.llm import queries as q
 
 SF = "/root/testdata/sf0.001"
@@ -358,6 +358,14 @@ def test_sharding_equal_rows(spark):
         assert len(load) == 16 and max(load) <= 1.02 * min(load)
 
 
+def test_what_packing_keeps_goes_with_other_tasks():
+    made = common.kept("tokenizer", object)
+    list(common.slices(iter([]), "text", keeps="tokenizer"))
+    assert common.kept("tokenizer", object) is made
+    list(common.slices(iter([]), "text"))
+    assert common.kept("tokenizer", object) is not made
+
+
 def test_packing_equal_rows(spark):
     rows = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one two three").alias("text"))
     got = packing.pack(rows, q.tokenizer_path(), parts=16)
