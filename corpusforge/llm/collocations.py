@@ -41,8 +41,6 @@ NEVER = 255
 _BREAKS = re.compile(rb"[.,;:!?\n-\r]+")
 _BETWEEN = b"!"
 _NAMES = 1000
-#: A task holds so many rows at most before it gives its counts away.
-_HELD = 400_000
 
 
 def encoded(documents: DataFrame, shards: int, seed: int, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -130,19 +128,66 @@ def counted(shard: DataFrame, step: int, shards: int, reached, bits: int) -> Dat
     return shard.select("lang", "words").mapInArrow(run, "h long, info int, c long")
 
 
+class Tally:
+    """Phrases with their counts, each once; they are told apart by keys and, should phrases of one key differ, by their words.
+
+    New ones lie apart until there are ``fresh`` of them. So a task holds ``most + fresh`` phrases of 64 bytes at most, and one column more while it adds up.
+    """
+
+    def __init__(self, most: int = 600_000, fresh: int = 100_000) -> None:
+        self.most, self.fresh, self.waiting = most, fresh, 0
+        #: Of each part its keys, its counts, and the columns of its phrases.
+        self.parts: list[list[np.ndarray]] = []
+
+    def add(self, keys: np.ndarray, phrases: list[np.ndarray], counts: np.ndarray) -> None:
+        """``phrases`` has a column for each word and one for a number of the language and length."""
+        self.parts.append([keys, counts, *phrases])
+        self.waiting += len(keys)
+        if self.waiting >= self.fresh:
+            self.settle()
+
+    def settle(self) -> None:
+        parts, self.parts, self.waiting, whole = self.parts, [], 0, []
+        for part in parts:
+            part.reverse()
+        while parts[0]:
+            whole.append(np.concatenate([part.pop() for part in parts]))
+        _, first, which = np.unique(whole[0], return_index=True, return_inverse=True)
+        if not all(bool((column == column[first][which]).all()) for column in whole[2:]):
+            _, first, which = np.unique(np.stack(whole[2:], axis=1), axis=0, return_index=True, return_inverse=True)
+        sums = np.zeros(len(first), np.int64)
+        np.add.at(sums, which.reshape(-1), whole[1])
+        for i, column in enumerate(whole):
+            whole[i] = sums if i == 1 else column[first]
+        self.parts = [whole]
+
+    def taken(self, all_of_it: bool = False) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+        """(phrases, counts) if there are more than ``most``, or at the end; they aren't held any more then."""
+        if self.parts and (all_of_it or not self.waiting and len(self.parts[0][0]) > self.most):
+            if self.waiting:
+                self.settle()
+            (_, counts, *phrases), self.parts = self.parts[0], []
+            for start in range(0, len(counts), 100_000):
+                yield [column[start : start + 100_000] for column in phrases], counts[start : start + 100_000]
+
+
 def spelled_out(corpus: DataFrame, wanted, bits: int) -> DataFrame:
-    """(lang, w1 .. w5, k, c): exact counts of the phrases whose cells, and those of all their parts, are in the table; k = 0 counts all words."""
+    """(lang, w1 .. w5, k, c): exact counts of the phrases whose cells, and those of all their parts, are in the table; k = 0 counts all words.
+
+    Every task gives each of its phrases once, and a frequent phrase is in nearly all of them. So there are two tasks for each core and not one for
+    each part of the files: the rows given grow with the phrases, not with the phrases times the parts.
+    """
     shift = np.uint64(64 - bits)
 
-    def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = wanted.value
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, tally, numbers, sizes = wanted.value, Tally(), {}, {}
         for batch in slices(batches, "words", 4 << 20):
             x, h, lang, names = _laid_out(batch)
             live = x != 0
-            sizes = np.bincount(lang[live], minlength=len(names))
+            for name, n in zip(names, np.bincount(lang[live], minlength=len(names)).tolist(), strict=True):
+                sizes[name] = sizes.get(name, 0) + n
+            number = np.array([numbers.setdefault(name, len(numbers)) for name in names], np.uint64)
             on = live & table[h >> shift]
-            none = np.zeros(len(names), np.int64)
-            yield _phrases(names, np.arange(len(names)), [none] * LONGEST, 0, sizes)
             for k in range(1, LONGEST + 1):
                 if k > 1:
                     h = mixed(h[:-1], x[k - 1 :])
@@ -151,35 +196,23 @@ def spelled_out(corpus: DataFrame, wanted, bits: int) -> DataFrame:
                 if not len(at):
                     break
                 places, counts = _distinct(h[at], at, [*(x[at + j] for j in range(k)), lang[at]])
-                yield _phrases(names, lang[places], [x[places + j].view(np.int64) if j < k else np.zeros(len(places), np.int64) for j in range(LONGEST)], k, counts)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A task adds its own counts up first: the same phrases come again in every slice."""
-        held: list[pa.RecordBatch] = []
-        for some in phrases(batches):
-            held.append(some)
-            if sum(b.num_rows for b in held) >= _HELD:
-                summed = _added(held)
-                if sum(b.num_rows for b in summed) > _HELD // 2:
-                    yield from summed
-                    summed = []
-                held = summed
-        if held:
-            yield from _added(held)
+                words = [x[places + j] if j < k else np.zeros(len(places), np.uint64) for j in range(LONGEST)]
+                tally.add(h[places], [*words, number[lang[places]] * np.uint64(8) + np.uint64(k)], counts)
+                yield from (_phrases(list(numbers), *some) for some in tally.taken())
+        yield from (_phrases(list(numbers), *some) for some in tally.taken(True))
+        none = [np.zeros(len(sizes), np.uint64)] * LONGEST
+        yield _phrases(list(numbers), [*none, np.array([numbers[name] * 8 for name in sizes], np.uint64)], np.array(list(sizes.values()), np.int64))
 
     words = ", ".join(f"{w} long" for w in WORDS)
-    rows = corpus.select("lang", "words").mapInArrow(run, f"lang string, {words}, k int, c long")
+    rows = corpus.select("lang", "words").coalesce(2 * corpus.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, f"lang string, {words}, k int, c long")
     return rows.groupBy(*PHRASE, "k").agg(F.sum("c").alias("c"))
 
 
-def _added(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
-    table = pa.Table.from_batches(held).group_by([*PHRASE, "k"]).aggregate([("c", "sum")])
-    return table.rename_columns([*PHRASE, "k", "c"]).combine_chunks().to_batches()
-
-
-def _phrases(names: list[str], lang: np.ndarray, words: list[np.ndarray], k: int, counts: np.ndarray) -> pa.RecordBatch:
-    langs = pa.array(names, pa.string()).take(pa.array(lang))
-    return pa.RecordBatch.from_arrays([langs, *map(pa.array, words), pa.array(np.full(len(lang), k, np.int32)), pa.array(counts.astype(np.int64))], names=[*PHRASE, "k", "c"])
+def _phrases(names: list[str], phrases: list[np.ndarray], counts: np.ndarray) -> pa.RecordBatch:
+    which = phrases[LONGEST].astype(np.int64)
+    langs = pa.array(names, pa.string()).take(pa.array(which // 8))
+    words = [pa.array(column.view(np.int64)) for column in phrases[:LONGEST]]
+    return pa.RecordBatch.from_arrays([langs, *words, pa.array((which % 8).astype(np.int32)), pa.array(counts.astype(np.int64))], names=[*PHRASE, "k", "c"])
 
 
 def _cells(rows: DataFrame, bits: int) -> np.ndarray:

@@ -70,6 +70,32 @@ def test_one_hash_of_two_phrases():
     assert sorted(zip(places.tolist(), counts.tolist())) == [(0, 2), (1, 1)]
 
 
+def test_tally():
+    """Phrases of many slices are given once, those of one key apart, and no more are held than allowed."""
+    tally = C.Tally(most=3, fresh=4)
+    some = list(np.array([[1, 1, 5], [2, 3, 5], [10, 10, 18]], np.uint64))
+    given = []
+    for _ in range(5):
+        tally.add(np.array([7, 7, 9], np.uint64), some, np.array([1, 2, 3]))
+        given += tally.taken()
+    assert not given
+    given += tally.taken(True)
+    assert [sorted(tuple(map(int, row)) for row in zip(*x[0], x[1], strict=True)) for x in given] == [[(1, 2, 10, 5), (1, 3, 10, 10), (5, 5, 18, 15)]]
+    tally.add(np.arange(5, dtype=np.uint64), [np.arange(5, dtype=np.uint64)] * 3, np.ones(5, np.int64))
+    assert [len(c) for _, c in tally.taken()] == [5]
+    assert not tally.parts
+
+
+def test_a_task_gives_a_phrase_once(spark):
+    """However many parts the words lie in, a phrase is given by two tasks for each core at most."""
+    words = [C.xxhash.xxh64_intdigest(w) >> 1 for w in (b"a", b"b")]
+    corpus = spark.createDataFrame([("en", words)] * 64, "lang string, words array<long>").repartition(64)
+    found = C.spelled_out(corpus, spark.sparkContext.broadcast(np.ones(1 << 8, bool)), 8)
+    assert {(r.k, r.w1, r.w2, r.c) for r in found.collect()} == {(0, 0, 0, 128), (1, words[0], 0, 64), (1, words[1], 0, 64), (2, *words, 64)}
+    given = found._jdf.queryExecution().optimizedPlan()
+    assert f"Repartition {2 * spark.sparkContext.defaultParallelism}, false" in given.toString()
+
+
 def test_words_of_one_hash_start_again(spark, rows, monkeypatch):
     """With the first seed, hashes of two words are equal."""
 
