@@ -174,7 +174,7 @@ class Tally:
 def spelled_out(corpus: DataFrame, wanted, bits: int) -> DataFrame:
     """(lang, w1 .. w5, k, c): exact counts of the phrases whose cells, and those of all their parts, are in the table; k = 0 counts all words.
 
-    Every task gives each of its phrases once, and a frequent phrase is in nearly all of them. So there are two tasks for each core and not one for
+    A task gives each of its phrases once, or again after each ``most`` of the tally, and a frequent phrase is in nearly all tasks. So there are two tasks for each core and not one for
     each part of the files: the rows given grow with the phrases, not with the phrases times the parts.
     """
     shift = np.uint64(64 - bits)
