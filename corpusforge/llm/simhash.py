@@ -16,16 +16,17 @@ null ids has none); an empty table gives an empty result; other columns are igno
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusforge.llm.common import slices
-from corpusforge.session import checkpointed, ship
+from corpusforge.session import checkpoint_folder, checkpointed, removed, ship
 
 #: Fingerprints link at so many differing bits; the exact way below holds for this number alone.
 BITS = 2
@@ -102,28 +103,48 @@ def links(fps: DataFrame, bucket: int = 64) -> DataFrame:
     return pairs.union(stars).distinct()
 
 
+def _ways(*pairs: tuple[str, str]) -> Column:
+    """Rows (u, v) of the pairs of columns given."""
+    return F.inline(F.array(*[F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in pairs]))
+
+
 def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """(node, root) for every node of an edge, root the smallest node it can reach.
 
     Alternating large-star and small-star steps; each halves distances, and no step gathers a
     neighbourhood in one place: minima are combined before the shuffle and joined back. It ends when a round
     changes nothing; should that not happen within ``rounds`` rounds, it raises an error rather than give less.
+
+    A step's edges are written as Parquet in the shared folder and deleted as soon as the next step's lie there, so the disk holds two
+    steps whatever the number of rounds, and few small files become few tasks.
     """
-    edges, before = checkpointed(edges), None
+    spark = edges.sparkSession
+    folder, steps, before = f"{checkpoint_folder(spark)}/components-{uuid.uuid4().hex}", 0, None
+
+    def written(rows: DataFrame) -> DataFrame:
+        nonlocal steps
+        rows.write.parquet(f"{folder}/{steps}")
+        if steps:
+            removed(spark, f"{folder}/{steps - 1}")
+        steps += 1
+        return spark.read.schema("u long, v long").parquet(f"{folder}/{steps - 1}")
+
+    edges = written(edges.select("u", "v"))
     for _ in range(rounds):
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        both = edges.select(_ways(("u", "v"), ("v", "u")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = written(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
-        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u > v").distinct()
-        edges = checkpointed(small)
+        edges = written(large.join(low, "u").select(_ways(("v", "m"), ("u", "m"))).where("u > v").distinct())
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
         before = state
     else:
+        removed(spark, folder)
         raise RuntimeError(f"components have not settled in {rounds} rounds")
+    edges = checkpointed(edges)
+    removed(spark, folder)
     roots = edges.select(F.col("v").alias("node")).distinct().withColumn("root", F.col("node"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
 

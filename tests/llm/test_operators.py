@@ -184,6 +184,21 @@ def test_simhash_links(spark, bucket):
     assert got == plain_components(rows)
 
 
+def test_components_keep_no_earlier_step(spark):
+    import os
+
+    from corpusforge.session import checkpoint_folder
+
+    checkpoint_folder(spark)
+    shared = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    before = set(os.listdir(shared))
+    path = spark.createDataFrame([(i + 1, i) for i in range(300)] + [(1001, 1000), (1002, 1000), (-4, -5)], "u long, v long")
+    found = simhash.components(path)
+    assert len(set(os.listdir(shared)) - before) <= 1
+    assert {r.node: r.root for r in found.collect()} == {**dict.fromkeys(range(301), 0), 1000: 1000, 1001: 1000, 1002: 1000, -4: -5, -5: -5} and found.count() == 306
+    assert simhash.components(path.limit(0)).count() == 0
+
+
 def plain_hits(text, items):
     low = lambda t: [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w]
     words, hit, ids = low(text), set(), set()
