@@ -80,7 +80,7 @@ def src3(spark, d):
     shown = rows.select(F.concat(F.lit("f"), "doc_id", F.lit("-"), "name").alias("path"), F.col("sample").alias("content"))
     hidden = rows.select(F.concat(F.lit(".h"), "doc_id").alias("path"), F.col("name").alias("content"))
     FO.exported(shown.union(hidden), folder).count()
-    return _kept(FO.inbox(spark, folder, "inbox_imported"), folder)
+    return _kept(FO.inbox(spark, folder, "inbox_imported", f"{folder}/.listed"), folder)
 
 
 @query("st6_new_files", f"WITH {FILES} SELECT name, CASE WHEN NOT regexp_matches(coalesce(sample, ''), '\\S') THEN 'empty' ELSE 'read' END AS status, strlen(coalesce(sample, ''))::BIGINT AS length, sha256(coalesce(sample, '')) AS sha FROM v WHERE doc_id % 3 <> 2 AND name NOT LIKE '.%'")

@@ -48,6 +48,16 @@ def test_texts_have_a_status(spark, tmp_path):
     assert "content" not in listing[listing.index("ReadSchema") :]
 
 
+def test_inbox_is_listed_without_a_reader_a_file(spark, tmp_path):
+    for i in range(400):
+        put(tmp_path, f"in/f{i}.TXT", "x" * i)
+    for path in ("in/.hidden", "in/_hidden", "in/d/below.txt", "in/Ünï co d.e"):
+        put(tmp_path, path, "12345")
+    found = FO.inbox(spark, f"{tmp_path}/in", "l")
+    assert {(r.name, r.ext, r.length, r.source) for r in found.collect()} == {*((f"f{i}.TXT", ".txt", i, "l") for i in range(400)), ("Ünï co d.e", ".e", 5, "l")}
+    assert found.rdd.getNumPartitions() <= 2 and FO.inbox(spark, f"file://{tmp_path}/in/d", "l", f"{tmp_path}/listed").count() == 1
+
+
 def test_new_files_come_once(spark, tmp_path):
     put(tmp_path / "in", "a.txt", "one")
 
