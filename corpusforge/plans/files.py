@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from corpusforge.functions import quality as Q
 from corpusforge.operators import corpus as C
 from corpusforge.operators import files as A
+from corpusforge.operators.numbering import numbered
 from corpusforge.plans.quality import _plain_sql
 from corpusforge.plans.registry import query
-from corpusforge.session import checkpoint_folder, checkpointed, removed, table
+from corpusforge.session import checkpoint_folder, checkpointed, table
 from corpusforge.sources import folders as FO
 from corpusforge.sources import views as V
 from corpusforge.streaming import capture as stream
@@ -48,20 +49,34 @@ def flt8(spark, d):
 
 
 # The files of the view, written below a folder of their own each: their names aren't unique.
-_DIRS = "CASE doc_id % 3 WHEN 0 THEN 'inbox/' WHEN 1 THEN 'chat/' ELSE 'scan/.git/' END || CASE WHEN doc_id % 21 = 5 THEN 'node_modules/' ELSE '' END || 'd' || doc_id"
+_TOP = "CASE doc_id % 3 WHEN 0 THEN 'inbox/' WHEN 1 THEN 'chat/' ELSE 'scan/.git/' END || CASE WHEN doc_id % 21 = 5 THEN 'node_modules/' ELSE '' END || "
+_DIRS = _TOP + "'d' || doc_id"
+# The same files in shared folders: the nth file of a name is in the nth folder, and the first ones of all names are dealt over some.
+_SHARED = _TOP + "CASE WHEN nth > 1 THEN 'd' || nth ELSE 's' || pmod(hash(name), 64) END"
 
 
 def _exported(spark, d):
     """The view's files as real files; their folder."""
-    folder = f"{checkpoint_folder(spark)}/files-{uuid.uuid4().hex}"
-    path = F.concat(F.expr(_DIRS), F.lit("/"), "name")
-    FO.exported(_files(spark, d).select(path.alias("path"), F.col("sample").alias("content")), folder).count()
+    return _written(_files(spark, d), _DIRS)
+
+
+def _written(rows, place):
+    folder = f"{checkpoint_folder(rows.sparkSession)}/files-{uuid.uuid4().hex}"
+    path = F.concat(F.expr(place), F.lit("/"), "name")
+    FO.exported(rows.select(path.alias("path"), F.col("sample").alias("content")), folder).count()
     return folder
 
 
+def _exported_together(spark, d):
+    """The view's files as real files, without a folder for each: a folder costs the store many times what a file does, to make and to delete."""
+    rows = _files(spark, d)
+    nth = numbered(rows.select("doc_id", "name").distinct(), ["name"], ["doc_id"], "nth")
+    return _written(rows.join(nth, ["doc_id", "name"], "left"), _SHARED)
+
+
 def _kept(rows, folder):
     rows = checkpointed(rows)
-    removed(rows.sparkSession, folder)
+    FO.deleted(rows.sparkSession, folder)
     return rows
 
 
@@ -86,7 +101,7 @@ def src3(spark, d):
 @query("st6_new_files", f"WITH {FILES} SELECT name, CASE WHEN NOT regexp_matches(coalesce(sample, ''), '\\S') THEN 'empty' ELSE 'read' END AS status, strlen(coalesce(sample, ''))::BIGINT AS length, sha256(coalesce(sample, '')) AS sha FROM v WHERE doc_id % 3 <> 2 AND name NOT LIKE '.%'")
 def st6(spark, d):
     """New files as a stream, each with what became of it."""
-    folder = _exported(spark, d)
+    folder = _exported_together(spark, d)
     rows = FO.new_texts(spark, folder).select("name", "status", "length", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
     return _kept(stream.drained(rows), folder)
 

@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusforge.operators import linkage as L
+from corpusforge.plans import files
+from corpusforge.session import removed
 from corpusforge.sources import folders as FO
 from corpusforge.streaming import capture as stream
 
@@ -196,3 +198,42 @@ def test_export_is_dealt_over_tasks(spark, tmp_path):
     rows = spark.range(64).coalesce(1).select(F.concat(F.lit("f"), "id").alias("path"), F.lit("x").alias("content"))
     done = FO.exported(rows, str(tmp_path)).select(F.spark_partition_id().alias("p")).distinct().count()
     assert done > 1 and len(os.listdir(tmp_path)) >= 64
+
+
+def test_a_folder_is_deleted_by_tasks(spark, tmp_path, monkeypatch):
+    """One folder of many files, many folders of one, deep ones and links: tasks leave nothing but empty folders to the driver, and what a link names stays."""
+    for i in range(300):
+        put(tmp_path, f"in/flat/f{i}", "x")
+        put(tmp_path, f"in/.many/d{i % 90}/e/f{i}", "x")
+    put(tmp_path, "out/kept", "x")
+    os.symlink(tmp_path / "out", tmp_path / "in/link")
+    os.symlink(tmp_path / "nothing", tmp_path / "in/flat/broken")
+    left = []
+
+    def last(session, folder):
+        left.extend(f for _, _, names in os.walk(folder) for f in names)
+        removed(session, folder)
+
+    monkeypatch.setattr(FO, "_DELETED_AT_ONCE", 40)
+    monkeypatch.setattr(FO, "removed", last)
+    FO.deleted(spark, f"file://{tmp_path}/in")
+    assert left == [] and os.listdir(tmp_path) == ["out"] and os.listdir(tmp_path / "out") == ["kept"]
+    FO.deleted(spark, str(tmp_path / "nothing"))
+
+
+def test_folders_of_a_level_are_listed_by_several_tasks(spark, tmp_path):
+    for i in range(64):
+        put(tmp_path, f"d{i}/f", "x")
+    assert FO.scanned(spark, str(tmp_path)).select(F.spark_partition_id().alias("p"), "path").distinct().groupBy("p").count().count() > 1
+
+
+def test_new_files_share_folders(spark, tmp_path):
+    """Names that come again are in other folders; all others share a few. A document in two rows is one file."""
+    ids = [*range(400), 7]
+    spark.createDataFrame([(i, f"text {i}", 10, "en", "s") for i in ids], "doc_id long, text string, n_chars long, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    folder = files._exported_together(spark, str(tmp_path))
+    found = {r.path: r.name for r in FO.scanned(spark, folder, ()).collect()}
+    seen = [f for d, _, names in os.walk(FO._store(folder)[1]) for f in names]
+    assert len(seen) == 400 and len({d.rpartition("/")[0] for d in found}) < 200
+    got = sorted(r.name for r in files.st6(spark, str(tmp_path)).collect())
+    assert got == sorted(r.name for r in files._files(spark, str(tmp_path)).where("doc_id % 3 <> 2 AND name NOT LIKE '.%'").distinct().collect())
