@@ -237,3 +237,16 @@ def test_new_files_share_folders(spark, tmp_path):
     assert len(seen) == 400 and len({d.rpartition("/")[0] for d in found}) < 200
     got = sorted(r.name for r in files.st6(spark, str(tmp_path)).collect())
     assert got == sorted(r.name for r in files._files(spark, str(tmp_path)).where("doc_id % 3 <> 2 AND name NOT LIKE '.%'").distinct().collect())
+
+
+def test_inbox_leaves_no_files_to_the_driver(spark, tmp_path, monkeypatch):
+    """The driver's own delete holds a folder's whole listing, so it gets the folder when it is empty."""
+    spark.createDataFrame([(i, f"text {i}", 10, "en", "s") for i in range(50)], "doc_id long, text string, n_chars long, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    left = []
+
+    def last(session, folder):
+        left.append([f for _, _, names in os.walk(FO._store(folder)[1]) for f in names])
+        removed(session, folder)
+
+    monkeypatch.setattr(FO, "removed", last)
+    assert files.src3(spark, str(tmp_path)).count() == 50 and left == [[]]
