@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusforge.sources.folders import exported
+from corpusforge.sources.folders import exported, found_texts
 
 #: Pages that list others.
 LISTS = ("index", "log")
@@ -19,11 +19,9 @@ def write_pages(pages: DataFrame, folder: str) -> int:
 
 def scan_pages(spark: SparkSession, folder: str, pattern: str = "*.md", skipped: tuple[str, ...] = LISTS) -> DataFrame:
     """(path, section, stem, modified, page_text) of all page files below a folder but lists of pages."""
-    # Spark's file sources leave out files without a byte.
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
-    rows = raw.select(
+    rows = found_texts(spark, folder, pattern).select(
         "path", F.regexp_extract("path", "([^/]*)/[^/]*$", 1).alias("section"), F.regexp_extract("path", "([^/]*)\\.[^./]*$", 1).alias("stem"),
-        F.col("modificationTime").alias("modified"), F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "\\n\\z", "").alias("page_text"),
+        "modified", F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "\\n\\z", "").alias("page_text"),
     )
     return rows.where(~F.col("stem").isin(*skipped))
 

@@ -10,6 +10,7 @@ from corpusforge.operators import linkage as L
 from corpusforge.operators import scholarly as S
 from corpusforge.operators import users
 from corpusforge.operators.numbering import numbered
+from corpusforge.sources import folders as FO
 from corpusforge.sources import pages as P
 from corpusforge.streaming import capture as stream
 
@@ -98,3 +99,17 @@ def test_latest_values(spark, tmp_path):
     spark.createDataFrame([("a", 1), ("a", 5), ("b", 2)], "k string, t int").write.parquet(str(tmp_path / "t"))
     got = {r.k: r.t for r in stream.latest_values(stream.read_stream(spark, str(tmp_path / "t")), ["k"], "t").collect()}
     assert got == {"a": 5, "b": 2}
+
+
+def test_pages_are_listed_by_tasks(spark, tmp_path):
+    """Pages come as Spark's reader of files gives them, though the driver lists none."""
+    for name in ("a/one.md", "a/b/two.md", "_no/x.md", ".no/x.md", "_metadata/x.md", "_k=v/x.md", "a/_no.md", "a/.no.md", "a/_k=v.md", "a/x.md._COPYING_", "a/three.txt", "a/é é.md"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("text\n")
+    (tmp_path / "a/none.md").write_text("")
+    columns = lambda rows, time: sorted((r.path, r[time], bytes(r.content)) for r in rows.collect())
+    for pattern in ("*.md", "*", "{one,t*}.[mt]?*", "x.md"):
+        reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(str(tmp_path))
+        assert columns(FO.found_texts(spark, str(tmp_path), pattern), "modified") == columns(reader, "modificationTime")
+    plan = P.scan_pages(spark, f"file://{tmp_path}")._jdf.queryExecution().executedPlan().toString()
+    assert "binaryFile" not in plan and P.scan_pages(spark, f"file://{tmp_path}").count() == 6
