@@ -70,3 +70,19 @@ def test_works_are_read_once_for_equality(spark):
     found = L.exact_matches(works, registry)
     assert [tuple(r) for r in found.collect()] == [("w1", 1, "name", 0.92)]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("work_id#") < 20
+
+
+def test_works_meet_distinct_asks(spark, monkeypatch):
+    """Many works that ask for few journals: each ask is looked up once, also if hashes of asks are equal at first, and rows without an id are one work in two ways."""
+    registry = spark.createDataFrame([(1, "0000-0019", "", "", "Alpha Journal of Letters"), (2, "", "", "0000-0027", "Beta Review of Studies and Notes")], "p_partkey long, issn string, issn_l string, eissn string, journal_name string")
+    rows = [(f"w{i}", "0000-0019", None, "", "x") for i in range(200)] + [(f"v{i % 50}", "", "", "", "beta review of  studies and Note") for i in range(100)] + [("v0", "", "", "0000-0027", "")]
+    rows += [("u", "0000-0018", "", "", None), (None, "0000-0019", "", "", "Beta Review of Studies and Notes"), (None, "", "", "", "q")]
+    works, asked, seeds = spark.createDataFrame(rows, WORK), [], []
+    exact, hashed = L.exact_matches, L._hashed
+    monkeypatch.setattr(L, "exact_matches", lambda works, registry: asked.append(works.count()) or exact(works, registry))
+    monkeypatch.setattr(L, "_hashed", lambda seed: seeds.append(seed) or (hashed(seed) if seed else F.lit(5).cast("long")))
+    found = L.match_works(works, registry)
+    assert asked == [6] and set(seeds) == {0, 1} and found.count() == 252
+    one = {(r.work_id, r.p_partkey, r.method, r.review) for r in found.where("work_id IS NULL OR work_id IN ('w7', 'v0', 'v1', 'u')").collect()}
+    assert one == {("w7", 1, "issn", False), ("v0", 2, "eissn", False), ("v1", 2, "similar", False), (None, 1, "issn", False), (None, 2, "similar", False)}
+    assert {tuple(r) for r in L.match_outcomes(works, registry).collect()} == {("issn", 200), ("similar", 98), ("eissn", 3), ("none", 3)}
